@@ -14,6 +14,24 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_files(spark, sf_dir):
+    from .token_files import token_files
+
+    return token_files(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
+
+
+def op7_token_counts(spark, sf_dir):
+    from .token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary(), limit=1024)
+
+
 def op8_source_mix(spark, sf_dir):
     from .mixing import mix
 
