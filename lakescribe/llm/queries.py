@@ -26,6 +26,15 @@ def op2_token_files(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
+def op6_toxicity(spark, sf_dir):
+    from .common import fold_bucket
+    from .toxicity import toxicity
+
+    bucket = fold_bucket(F.col("_label_id"), 4)
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learnable=bucket != 2, calibrating=bucket == 3)
+    return scored.select("doc_id", (fold_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op7_token_counts(spark, sf_dir):
     from .token_counts import token_counts
 
