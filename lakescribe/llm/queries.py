@@ -26,6 +26,15 @@ def op2_token_files(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
+def op4_quality(spark, sf_dir):
+    from .common import fold_bucket
+    from .quality import quality
+
+    bucket = fold_bucket(F.col("_label_id"), 5)
+    scored = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learnable=bucket != 0, fitting=bucket != 4)
+    return scored.select("doc_id", (fold_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op6_toxicity(spark, sf_dir):
     from .common import fold_bucket
     from .toxicity import toxicity
