@@ -33,3 +33,39 @@ t AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM c, b WHERE mine <= budget G
 SELECT q.doc_id, q.size, q.source_size, coalesce(q.target, 0) AS target, coalesce(t.taken, 0)::BIGINT AS taken
 FROM q LEFT JOIN t ON q.doc_id IS NOT DISTINCT FROM t.doc_id
 """
+
+
+def _found(kind: int, pattern: str, value_group: int, least: int) -> str:
+    """Matches of one kind: the text before each and the match itself, whose lengths add up to places."""
+    quoted = pattern.replace("'", "''")
+    whole = f"(?s)(.*?)({quoted})"
+    return f"""
+      SELECT r, doc_id, source, lang, {kind} AS kind, unnest(list_zip(pre, m, v, range(1, len(m) + 1))) AS z, pre, m FROM (
+        SELECT r, doc_id, source, lang, regexp_extract_all(t, '{whole}', 1) AS pre, regexp_extract_all(t, '{whole}', 2) AS m, regexp_extract_all(t, '{whole}', {value_group}) AS v
+        FROM d WHERE regexp_matches(t, '{quoted}'))"""
+
+
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+raw AS ({_found(0, _ASSIGN, 4, 12)} UNION ALL {_found(1, "AKIA[A-Z0-9]+", 2, 18)} UNION ALL {_found(2, "[0-9a-f]+", 2, 16)} UNION ALL {_found(3, "[A-Za-z0-9+_=-]+", 2, 20)}),
+p AS (
+  SELECT r, source, lang, kind, z[3] AS v,
+         (coalesce(list_sum(list_transform(pre[:z[4]], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[:z[4] - 1], lambda x: length(x))), 0))::BIGINT AS s, length(z[2]) AS n
+  FROM raw WHERE length(z[3]) >= [12, 18, 16, 20][kind + 1]
+), b AS (SELECT r, source, lang, kind, v, s, s + n AS e FROM p WHERE kind < 3 OR (regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]'))),
+c AS (SELECT * FROM b WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM b AS o WHERE o.r = b.r AND o.kind < 3 AND o.s < b.e AND b.s < o.e)),
+f AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS owners, max(kind = 0) AS assigned FROM c GROUP BY v),
+j AS (SELECT c.*, owners <= 1 AS live FROM c JOIN f USING (v) WHERE kind < 3 OR owners <= 1 OR assigned),
+x AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         string_agg(['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
+         string_agg(['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans,
+         count(*) FILTER (kind = 3) AS n_owned, count(*) FILTER (kind < 3 AND live) AS n_live, count(*) FILTER (kind < 3 AND NOT live) AS n_example
+  FROM j GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN x USING (r)
+"""

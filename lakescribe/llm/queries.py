@@ -26,6 +26,12 @@ def op2_token_files(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
+def op3_secret_scan(spark, sf_dir):
+    from .secrets import secret_scan
+
+    return secret_scan(table(spark, sf_dir, "documents"), owner_col="source", repository_cols=("source", "lang"))
+
+
 def op4_quality(spark, sf_dir):
     from .common import fold_bucket
     from .quality import quality
@@ -61,4 +67,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": oracles.EXACT, "op8_source_mix": oracles.MIX}
+    return {"op1_exact_dedup": oracles.EXACT, "op3_secret_scan": oracles.SECRETS, "op8_source_mix": oracles.MIX}
