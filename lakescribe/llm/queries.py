@@ -62,6 +62,12 @@ def op8_source_mix(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark, sf_dir):
+    from .decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
