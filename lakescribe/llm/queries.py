@@ -68,6 +68,12 @@ def op9_decontamination(spark, sf_dir):
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_near_dedup(spark, sf_dir):
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
