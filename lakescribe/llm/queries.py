@@ -41,6 +41,12 @@ def op4_quality(spark, sf_dir):
     return scored.select("doc_id", (fold_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_main_text(spark, sf_dir):
+    from .html_text import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark, sf_dir):
     from .common import fold_bucket
     from .toxicity import toxicity
