@@ -43,3 +43,14 @@ def text_of(name: str = "text") -> Column:
 def fold_bucket(column: Column, fold: int) -> Column:
     """crc32 of the id as text, modulo ``fold``."""
     return F.crc32(column.cast("string").cast("binary")) % fold
+
+
+#: So many ids (8 bytes each) may be sent to all executors; more are joined by a shuffle.
+SMALL_IDS = 1_000_000
+
+
+def with_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose id is among ``ids``, with all their columns. Texts are only shuffled where the ids are too many to be sent."""
+    ids = written(ids.select(F.col(id_col).alias("_kept_id")).distinct(), "kept")
+    few = ids.count() <= SMALL_IDS
+    return df.join(F.broadcast(ids) if few else ids, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
