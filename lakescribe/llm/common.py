@@ -51,6 +51,7 @@ SMALL_IDS = 1_000_000
 
 def with_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``df`` whose id is among ``ids``, with all their columns. Texts are only shuffled where the ids are too many to be sent."""
-    ids = written(ids.select(F.col(id_col).alias("_kept_id")).distinct(), "kept")
+    own = f"_kept_{uuid.uuid4().hex}"  # whatever columns the rows have
+    ids = written(ids.select(F.col(id_col).alias(own)).distinct(), "kept")
     few = ids.count() <= SMALL_IDS
-    return df.join(F.broadcast(ids) if few else ids, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    return df.join(F.broadcast(ids) if few else ids, F.col(id_col).eqNullSafe(F.col(own)), "left_semi")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import text_of, with_ids, written
 
 KEYS = ["_sha", "_len", "_xx"]
 
@@ -72,5 +72,4 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that stay, one per distinct text, with all their columns."""
-    ids = exact_groups(df, id_col, text_col, **options).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return df.join(ids, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([id_col])
+    return with_ids(df, exact_groups(df, id_col, text_col, **options).filter("kept"), id_col).dropDuplicates([id_col])
