@@ -6,6 +6,8 @@ documents; the last returns what the token files hold of each document.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,11 +39,12 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = written(mix(docs).filter("taken > 0").select(F.col("doc_id").alias("_taken_id"), F.expr("int(taken div size)").alias("_times")), "taken")
+    own, times = "_taken_" + uuid4().hex, "_times_" + uuid4().hex  # whatever columns the rows have
+    taken = written(mix(docs).filter("taken > 0").select(F.col("doc_id").alias(own), F.expr("int(taken div size)").alias(times)), "taken")
     # rows that repeat an id are queued each; they stand for one document here, which is taken as often as the most taken of them
-    taken = taken.groupBy("_taken_id").agg(F.max("_times").alias("_times"))
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    taken = taken.groupBy(own).agg(F.max(times).alias(times))
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(own)))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(own)).drop(own)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
