@@ -33,7 +33,7 @@ def scan_markdown(spark: SparkSession, directories: Mapping[str, str]) -> DataFr
     """(text, source_file, document_type) of the .md files of each type's directory, not of those below it; a directory that is missing is passed over."""
 
     def read(path: str) -> DataFrame:
-        return spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("source_file"))
+        return spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("source_file"))
 
     return _union(_per_type(spark, directories, read), spark, DOCUMENT)
 

@@ -15,7 +15,7 @@ from ..sources.files import exists
 
 def stream_markdown(spark: SparkSession, path: str, document_type: str) -> DataFrame:
     """New .md files of a directory as rows (text, source_file, document_type)."""
-    files = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.readStream.option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return files.select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("source_file"), F.lit(document_type).alias("document_type"))
 
 
