@@ -55,3 +55,11 @@ def with_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame
     ids = written(ids.select(F.col(id_col).alias(own)).distinct(), "kept")
     few = ids.count() <= SMALL_IDS
     return df.join(F.broadcast(ids) if few else ids, F.col(id_col).eqNullSafe(F.col(own)), "left_semi")
+
+
+def salts_for(rows: int, least: int = 64, each: int = 200_000, base: int = 2) -> int:
+    """Into how many parts (a power of ``base``) rows are dealt so that a part of one key has about ``each`` rows, even where all rows have that key."""
+    n = 1
+    while n < least or n * each < rows:
+        n *= base
+    return n

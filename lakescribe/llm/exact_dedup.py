@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, with_ids, written
+from .common import salts_for, text_of, with_ids, written
 
 KEYS = ["_sha", "_len", "_xx"]
 
@@ -35,11 +35,11 @@ def merge_runs(entries: DataFrame, keys: list[str], runs: int, fan_in: int, keep
     return entries.drop("_run")
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", runs: int = 64, fan_in: int = 8) -> DataFrame:
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", runs: int | None = None, fan_in: int = 8) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Equal means identical texts, null as empty (so null and "" are copies). ``keep`` is "largest" or
-    "smallest": the id that stays. Rows with a null id count in group_size; such a row stays only where
+    "smallest": the id that stays. ``runs`` grows with the rows unless given. Rows with a null id count in group_size; such a row stays only where
     its group has no other id, and its keep_id is then null and kept is true. Rows that repeat both id and text cannot be told apart:
     each is returned and each has the same flags. An empty table gives no rows. Other columns are ignored.
     """
@@ -52,10 +52,11 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.unhex(F.sha2(text, 256)).alias("_sha"),
             F.octet_length(text).cast("long").alias("_len"),
             F.xxhash64(text).alias("_xx"),
-            F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(runs)).cast("int").alias("_run"),
         ),
         "digests",
     )
+    runs = salts_for(rows.count(), base=fan_in) if runs is None else runs
+    rows = rows.withColumn("_run", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(runs)).cast("int"))
     pick = F.max if keep == "largest" else F.min
     first = rows.groupBy("_run", *KEYS).agg(pick("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
     merged = merge_runs(first, KEYS, runs, fan_in, keep)

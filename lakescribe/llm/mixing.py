@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import salts_for, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -48,19 +48,23 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat
 
 def mix(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, seed: str = "mix", ranges: int = 1024, time_ranges: int = 1024,
+    weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, seed: str = "mix", ranges: int | None = None, time_ranges: int | None = None,
 ) -> DataFrame:
     """One row per document: id, size, source_size, target, taken.
 
     size is the number of words; a null or empty text has none and is never taken. A null source is a source of
     its own, the last. Documents whose shuffle hashes tie are ordered by id, then size. Rows that repeat an id are documents of their
     own, as each row is queued. ``taken`` counts the words that the mix takes, repeats counted, so it is size times 0 to ``max_repeat``. An
-    empty table gives no rows; a table without words takes none. Other columns are ignored.
+    empty table gives no rows; a table without words takes none. The numbers of ranges grow with the rows unless given; results do not depend on them. Other columns are ignored.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
     docs = df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.alias("size"), hashed.alias("_h"))
-    docs = written(docs.withColumn("_range", F.floor(F.col("_h") * F.lit(ranges) / F.lit(1 << 48)).cast("int")), "sizes")
+    docs = written(docs, "sizes")
+    if ranges is None:
+        ranges = salts_for(docs.count(), least=1024)
+    time_ranges = min(ranges, 1 << 16) if time_ranges is None else time_ranges
+    docs = docs.withColumn("_range", F.floor(F.col("_h") * F.lit(ranges) / F.lit(1 << 48)).cast("int"))
 
     sums = docs.groupBy("_source", "_range").agg(F.sum("size").alias("_words"))
     sources = sums.groupBy("_source").agg(F.sum("_words").alias("source_size"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import salts_for, text_of, written
 
 #: The base patterns, with the least length of a value and the regular expression's group that holds it.
 BASE = {
@@ -51,7 +51,7 @@ def _spans(text: str, pattern: str, group: int, least: int):
 
 def secret_scan(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"),
-    few_owners: int = 1, salts: int = 32,
+    few_owners: int = 1, salts: int | None = None,
 ) -> DataFrame:
     """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_example.
 
@@ -71,6 +71,7 @@ def secret_scan(
     def with_kind(column: str, kind: int, *names: str):
         return F.transform(column, lambda s: F.struct(*[F.lit(kind).alias("kind") if n == "kind" else s[n].alias(n) for n in names]))
 
+    salts = salts_for(found.count()) if salts is None else salts
     per_kind = [with_kind(k, i, "kind", "start", "end", "hash") for i, k in enumerate([*BASE, "wide"])]
     base = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in BASE])
     outside = F.filter(per_kind[-1], lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
