@@ -84,7 +84,7 @@ def mix(
 
     # a document stands in the merged queue once for each pass
     def time(p):
-        return (F.col("_mid") + p * F.col("source_size")) / F.col("target")
+        return F.try_divide(F.col("_mid") + p * F.col("source_size"), F.col("target"))
 
     def slot(t):
         return F.least(F.floor(t * time_ranges), F.lit(time_ranges * 8)).cast("int")
@@ -92,20 +92,21 @@ def mix(
     passes = F.array(*[time(F.lit(p)) for p in range(max_repeat)])
     merged = queued.filter("size > 0").select("_id", "_source", "size", F.posexplode(passes).alias("_pass", "_time")).withColumn("_slot", slot(F.col("_time")))
     slots = merged.groupBy("_slot").agg(F.sum("size").alias("_words"))
-    total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("_budget"))
+    # three numbers come to the driver: the budget, the slot in which the words pass it, and the last time in that slot that still fits
+    budget = docs.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
     upto = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    crossing = (
-        slots.withColumn("_after", F.sum("_words").over(upto)).join(F.broadcast(total)).filter("_after > _budget")
-        .agg(F.min(F.struct("_slot", (F.col("_after") - F.col("_words")).alias("_before"), "_budget")).alias("_c")).select("_c.*")
-    )
-    inside = merged.join(F.broadcast(crossing), "_slot")
-    order = Window.partitionBy("_slot").orderBy("_time", F.col("_source").asc_nulls_last(), F.col("_id").asc_nulls_first(), "_pass")
-    fits = F.col("_before") + F.sum("size").over(order) - F.col("size") / 2 <= F.col("_budget")
-    last = inside.select("_time", fits.alias("_fits")).filter("_fits").agg(F.max("_time").alias("_last"))
-    cut = crossing.select(F.col("_slot").alias("_cut")).join(F.broadcast(last))
-    is_taken = lambda t: (F.col("_cut").isNull() | (slot(t) < F.col("_cut")) | ((slot(t) == F.col("_cut")) & (t <= F.coalesce("_last", F.lit(-1.0))))).cast("long")
-    times = sum((is_taken(time(F.lit(p))) for p in range(1, max_repeat)), is_taken(time(F.lit(0))))
-    return queued.join(F.broadcast(cut)).select(
+    crossing = slots.withColumn("_after", F.sum("_words").over(upto)).filter(F.col("_after") > budget).orderBy("_slot").head()
+    if crossing is None:  # nothing is above the budget
+        times = F.lit(max_repeat)
+    else:
+        cut, before = crossing["_slot"], crossing["_after"] - crossing["_words"]
+        order = Window.partitionBy("_slot").orderBy("_time", F.col("_source").asc_nulls_last(), F.col("_id").asc_nulls_first(), "_pass")
+        fits = F.sum("size").over(order) - F.col("size") / 2 <= budget - before
+        last = merged.filter(F.col("_slot") == cut).select("_time", fits.alias("_fits")).filter("_fits").agg(F.max("_time")).head()[0]
+        last = -1.0 if last is None else last
+        taken = [((slot(time(F.lit(p))) < cut) | ((slot(time(F.lit(p))) == cut) & (time(F.lit(p)) <= last))).cast("long") for p in range(max_repeat)]
+        times = sum(taken[1:], taken[0])
+    return queued.select(
         F.col("_id").alias(id_col), "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"),
         F.when(F.col("size") > 0, F.col("size") * times).otherwise(F.lit(0)).cast("long").alias("taken"),
     )
