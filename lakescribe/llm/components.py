@@ -5,33 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import salts_for, written
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(links: DataFrame, salts: int) -> DataFrame:
+    """Links (a, b) with _m, the least b of each a.
+
+    A node with very many links is dealt to ``salts`` parts by its neighbours: the least goes up from the parts and back down to them, so no task
+    gets all links of one node.
+    """
+    links = links.withColumn("_salt", F.pmod(F.xxhash64("b", F.lit(3)), F.lit(salts)).cast("int"))
+    parts = links.groupBy("a", "_salt").agg(F.min("b").alias("_part"))
+    least = parts.groupBy("a").agg(F.min("_part").alias("_m"))
+    return links.join(parts.select("a", "_salt").join(least, "a"), ["a", "_salt"]).drop("_salt")
+
+
+def _large_star(edges: DataFrame, salts: int) -> DataFrame:
     """Each larger neighbour of a node is linked to the least of the node and its neighbours."""
-    ways = _both_ways(edges)
-    least = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return ways.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    ways = _with_least(_both_ways(edges), salts).filter("b > a")
+    return ways.select(F.col("b").alias("a"), F.least("_m", "a").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, salts: int) -> DataFrame:
     """Each node and its smaller neighbours are linked to the least of these."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    others = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return others.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+    down = _with_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), salts)
+    pairs = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("_m").alias("b")), F.struct("a", F.col("_m").alias("b")))).alias("p")
+    return down.select(pairs).select("p.a", "p.b").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b): component is the least node that is reachable.
 
     Links to null and from a node to itself say nothing. Each round's links are written, so lineage stays short and lost executors lose
-    nothing; only a count and a fingerprint of each round come to the driver. A node with very many links is met by Spark's skew join.
+    nothing; only a count and a fingerprint of each round come to the driver.
     """
     edges = written(edges.select("a", "b").filter("a <> b").distinct(), "links")
     before = None
@@ -40,7 +50,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before or state[0] == 0:
             break
         before = state
-        edges = written(_small_star(_large_star(edges)), "links")
+        salts = salts_for(state[0], least=16)
+        edges = written(_small_star(_large_star(edges, salts), salts), "links")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select("b", "b").distinct().toDF("node", "component")).distinct()
