@@ -63,3 +63,10 @@ def salts_for(rows: int, least: int = 64, each: int = 200_000, base: int = 2) ->
     while n < least or n * each < rows:
         n *= base
     return n
+
+
+def slices(batches, rows: int = 1000):
+    """Arrow batches in slices of up to ``rows`` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)

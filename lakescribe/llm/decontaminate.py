@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of, written
+from .common import slices, text_of, written
 
 WINDOW = 13
 #: Terms whose lists are intersected before windows are compared in full.
@@ -76,7 +76,7 @@ def postings(rows: DataFrame, shared, kind: T.DataType) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = shared.value.terms
         get = terms.get
-        for batch in batches:
+        for batch in slices(batches):
             columns: list[list] = [[], [], [], []]
             for data in batch.column("_text").to_pylist():
                 words = words_of(data)
@@ -196,13 +196,11 @@ def _block(rows: DataFrame, q: Queries, kind: T.DataType, slop: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item", pa.string())])
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                matches, near = search(batch, q, slop)
-                found = [[{"start": a, "end": b, "item": q.ids[i]} for a, b, i in sorted(x)] for x in matches]
-                ids = [sorted(q.ids[i] for i in x) for x in near]
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), batch.column("n_words"), pa.array(found, pa.list_(span)), pa.array(ids, pa.list_(pa.string()))], ["_id", "_hash", "n_words", "matches", "near_items"])
+        for batch in slices(batches, 500):
+            matches, near = search(batch, q, slop)
+            found = [[{"start": a, "end": b, "item": q.ids[i]} for a, b, i in sorted(x)] for x in matches]
+            ids = [sorted(q.ids[i] for i in x) for x in near]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), batch.column("n_words"), pa.array(found, pa.list_(span)), pa.array(ids, pa.list_(pa.string()))], ["_id", "_hash", "n_words", "matches", "near_items"])
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("item", T.StringType())]))
     fields = [T.StructField("_id", kind), T.StructField("_hash", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("matches", span), T.StructField("near_items", T.ArrayType(T.StringType()))]

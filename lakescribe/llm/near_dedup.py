@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of, written
+from .common import salts_for, slices, text_of, written
 from .components import components
 
 SHINGLE = 5
 MINIMA, ROWS, BATCH = 128, 4, 32
 BANDS = MINIMA // ROWS
-KEPT_WORDS = 600_000
+KEPT_WORDS = 100_000
 #: Ids up to this many are sent to all executors (16 MB); more are joined by a shuffle.
 SMALL_IDS = 2_000_000
 _rng = np.random.default_rng(20)
@@ -182,7 +182,7 @@ def common(s: np.ndarray, t: np.ndarray) -> int:
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]):
     """Lists of the columns of consecutive rows with equal keys; one group is held at a time."""
     last, group = None, None
-    for batch in batches:
+    for batch in slices(batches):
         key_columns = [batch.column(k).to_pylist() for k in keys]
         data = [batch.column(c).to_pylist() for c in columns]
         for i, key in enumerate(zip(*key_columns)):
@@ -222,7 +222,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in slices(batches):
             n, digests, sigs = [], [], []
             for data in batch.column("_text").to_pylist():
                 s = shingle_set(data)
@@ -275,7 +275,7 @@ def exact_links(df: DataFrame, nodes: DataFrame, families: DataFrame, id_col: st
     texts = df.select(F.col(id_col).alias("node"), text_of(text_col).cast("binary").alias("_text")).join(kept, "node").select(F.col("node").alias("_id"), "component", "_size", "_text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             s = [shingle_set(x) for x in batch.column("_text").to_pylist()]
             sig = [signature(x).tobytes() if len(x) else b"\0" * 2 * MINIMA for x in s]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("component"), batch.column("_size"), pa.array(sig, pa.binary()), pa.array([x.tobytes() for x in s], pa.binary())], ["_id", "component", "_size", "sig", "set"])
@@ -295,7 +295,7 @@ def exact_links(df: DataFrame, nodes: DataFrame, families: DataFrame, id_col: st
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, miss: float = 1e-6, block: int = 512, salts: int = 64,
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, miss: float = 1e-6, block: int = 512, salts: int | None = None,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
@@ -305,6 +305,7 @@ def near_duplicates(
     An empty table gives no rows. Other columns are ignored.
     """
     table = written(signatures(df.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col), "signatures")
+    salts = salts_for(table.count()) if salts is None else salts
     classed = table.filter("n > 0 AND _id IS NOT NULL").withColumn("_salt", F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(salts)).cast("int"))
     partial = classed.groupBy("k1", "k2", "n", "_salt").agg(F.min("_id").alias("_least"))
     classes = partial.groupBy("k1", "k2", "n").agg(F.min("_least").alias("_rep"))

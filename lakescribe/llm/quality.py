@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of, written
+from .common import slices, text_of, written
 from .labelled import isotonic, labels_of
 
 STATISTICS = [
@@ -64,7 +64,7 @@ def with_statistics(df: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns and _x, the STATISTICS of column _text; texts stay in their partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = [statistics(t) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(x, pa.list_(pa.float64()))], [*keep, "_x"])
 
@@ -75,7 +75,7 @@ def matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray(batch.column("_x").flatten()).reshape(batch.num_rows, -1)
 
 
-def summed(df: DataFrame, function, groups: int = 64) -> list[np.ndarray] | None:
+def summed(df: DataFrame, function, groups: int = 16) -> list[np.ndarray] | None:
     """The sum over all batches of the arrays that ``function(batch)`` returns: by partition, by ``groups`` groups of partitions, and in all."""
 
     def add(into, arrays):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import slices, text_of
 
 
 def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
@@ -34,7 +34,7 @@ def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         else:
             e = encoder(vocabulary)
             lengths = lambda texts: [len(x) // e.width for x in e.encode(texts)]
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("_text").to_pylist()
             n = [x for part in by_bytes(texts) for x in lengths(part)]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["_id", "n_bytes", "n_tokens"])

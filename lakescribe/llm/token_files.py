@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, text_of, written
+from .common import shared_dir, slices, text_of, written
 
 #: Lengths of the four ranks of a control byte.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.int64)
@@ -64,7 +64,7 @@ def encoded(df: DataFrame, vocabulary: str, id_col: str, text_col: str, end_id:
 
         e = encoder(vocabulary)
         end = b"" if end_id is None else np.array([end_id], dtype=e.dtype).tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             texts, at = batch.column("_text").to_pylist(), 0
             for part in by_bytes(texts):
                 ids = [x + end for x in e.encode(part)]
@@ -80,7 +80,7 @@ def rank_table(ids: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for data, width in zip(batch.column("_ids").to_pylist(), batch.column("_width").to_pylist()):
                 n = np.bincount(np.frombuffer(data, dtype=f"<u{width}"))
                 if len(n) > len(total):
@@ -123,7 +123,7 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, id_col: str = "
             )
 
         kind = None
-        for batch in batches:
+        for batch in slices(batches):
             kind = batch.column("_id").type
             for doc, data, width in zip(batch.column("_id").to_pylist(), batch.column("_ids").to_pylist(), batch.column("_width").to_pylist()):
                 docs.append(doc)
@@ -157,7 +157,7 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", wit
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             for k in range(batch.num_rows):
                 r = {name: batch.column(name)[k] for name in batch.schema.names}
                 docs, counts = r["ids"].values, np.asarray(r["counts"].as_py(), dtype=np.int64)

@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-KEPT_PIECES = 800_000
+KEPT_PIECES = 450_000
 KEPT_LENGTH = 40
 BATCH_BYTES = 1 << 20
 
