@@ -11,7 +11,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakescribe.llm.common import fold_bucket, table, with_ids, written
+from lakescribe.llm.common import SMALL_IDS, fold_bucket, table, with_ids, written
 from lakescribe.llm.decontaminate import decontaminate
 from lakescribe.llm.mixing import mix
 from lakescribe.llm.near_dedup import near_duplicates
@@ -42,8 +42,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own, times = "_taken_" + uuid4().hex, "_times_" + uuid4().hex  # whatever columns the rows have
     taken = written(mix(docs).filter("taken > 0").select(F.col("doc_id").alias(own), F.expr("int(taken div size)").alias(times)), "taken")
     # rows that repeat an id are queued each; they stand for one document here, which is taken as often as the most taken of them
-    taken = taken.groupBy(own).agg(F.max(times).alias(times))
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(own)))
+    taken = written(taken.groupBy(own).agg(F.max(times).alias(times)), "taken")
+    few = taken.count() <= SMALL_IDS  # sent to all executors then, else joined by a shuffle
+    joined = docs.join(F.broadcast(taken) if few else taken, F.col("doc_id").eqNullSafe(F.col(own)))
     return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(own)).drop(own)
 
 
