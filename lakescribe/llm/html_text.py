@@ -11,6 +11,7 @@ the host are the template, and blocks that are mostly links are menus. Parts tha
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import slices, text_of, written
 
-#: A wrapper needs so many pages before a constant text counts as the host's template.
+#: A wrapper needs so many pages of different main texts before a constant text counts as the host's template.
 ENOUGH_PAGES = 5
 #: The model's bounds: elements deeper than this are taken for children of the last, and a wrapper keeps so many kinds of children of an element.
 DEPTH, CHILDREN = 40, 48
@@ -146,6 +147,11 @@ def parts(source: str) -> list[tuple]:
 VARIES = None
 
 
+def mark(text: str) -> str:
+    """Stands for the whole text: the text itself, or its beginning, length and digest where it is long. A text has no line break, so no two texts share a mark."""
+    return text if len(text) <= 200 else f"{text[:80]}\n{len(text)} {hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
+
+
 def key(node: list) -> str:
     return node[0] if node[0] != "()" else "(" + " ".join(key(k) for k in node[4]) + ")"
 
@@ -159,7 +165,7 @@ def wrapper_of(page: list[tuple]) -> list:
         if part[0] == "text":
             text = " ".join(html.unescape(part[1]).split())
             if text:
-                stack[-1][4].append(["#", False, False, text[:200], []])
+                stack[-1][4].append(["#", False, False, mark(text), []])
         elif part[0] == "open":
             if len(stack) > DEPTH:
                 extra += 1
@@ -261,7 +267,7 @@ def expression(node: list) -> str:
 
 
 def template_texts(wrapper: list, pages: int) -> set[tuple[str, str]]:
-    """(path, text) of the texts that stand at the same place of every page."""
+    """(path, mark) of the texts that stand at the same place of every page; ``pages`` of different main texts have been seen."""
     out: set[tuple[str, str]] = set()
     if pages < ENOUGH_PAGES:
         return out
@@ -302,7 +308,7 @@ def main_text(page: list[tuple], template: set[tuple[str, str]] = frozenset()) -
             if not out and (inside or not has_main):
                 text = html.unescape(part[1])
                 flat = " ".join(text.split())
-                if not has_main and flat and ("/" + "/".join(path), flat[:200]) in template:
+                if not has_main and flat and ("/" + "/".join(path), mark(flat)) in template:
                     continue
                 words.append(text)
                 size += len(flat)
@@ -338,16 +344,22 @@ def main_text(page: list[tuple], template: set[tuple[str, str]] = frozenset()) -
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", groups: int = 32) -> DataFrame:
-    """(host, pages, wrapper): a wrapper per host, as JSON, from all of its pages."""
+    """(host, pages, wrapper, different): a wrapper per host, as JSON, from all of its pages, and how many different main texts they have, counted up to ENOUGH_PAGES."""
+
+    def digest(page: list[tuple]) -> str:
+        return hashlib.blake2b(main_text(page).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts: dict[str, list] = {}
         part = TaskContext.get().partitionId() % groups
         for batch in slices(batches):
             for url, source in zip(batch.column("_url").to_pylist(), batch.column("_html").to_pylist()):
-                host, page = host_of(url), wrapper_of(parts(source))
-                known = hosts.get(host)
-                hosts[host] = [1, page] if known is None else [known[0] + 1, align(known[1], page)]
+                host, page = host_of(url), parts(source)
+                known, one = hosts.get(host), wrapper_of(page)
+                seen = set() if known is None else known[2]
+                if len(seen) < ENOUGH_PAGES:
+                    seen.add(digest(page))
+                hosts[host] = [1, one, seen] if known is None else [known[0] + 1, align(known[1], one), seen]
             if len(hosts) > 5000:
                 yield rows(hosts, part)
                 hosts = {}
@@ -355,8 +367,8 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", gro
 
     def rows(hosts: dict[str, list], part: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(hosts), pa.string()), pa.array([part] * len(hosts), pa.int32()), pa.array([h[0] for h in hosts.values()], pa.int64()), pa.array([json.dumps(h[1]) for h in hosts.values()], pa.string())],
-            ["host", "part", "pages", "wrapper"],
+            [pa.array(list(hosts), pa.string()), pa.array([part] * len(hosts), pa.int32()), pa.array([h[0] for h in hosts.values()], pa.int64()), pa.array([json.dumps(h[1]) for h in hosts.values()], pa.string()), pa.array([sorted(h[2])[:ENOUGH_PAGES] for h in hosts.values()], pa.list_(pa.string()))],
+            ["host", "part", "pages", "wrapper", "seen"],
         )
 
     def merge(keys: list[str]):
@@ -370,16 +382,16 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", gro
                             yield rows({last[0]: known}, last[-1] if len(keys) > 1 else 0)
                         last, known = k, None
                     one = json.loads(r["wrapper"])
-                    known = [r["pages"], one] if known is None else [known[0] + r["pages"], align(known[1], one)]
+                    known = [r["pages"], one, set(r["seen"])] if known is None else [known[0] + r["pages"], align(known[1], one), known[2] | set(r["seen"])]
             if known:
                 yield rows({last[0]: known}, last[-1] if len(keys) > 1 else 0)
 
         return run
 
-    schema = "host string, part int, pages long, wrapper string"
+    schema = "host string, part int, pages long, wrapper string, seen array<string>"
     own = pages.select(F.col(url_col).alias("_url"), text_of(html_col).alias("_html")).mapInArrow(first, schema)
     own = own.repartition("host", "part").sortWithinPartitions("host", "part", "wrapper").mapInArrow(merge(["host", "part"]), schema)
-    return own.repartition("host").sortWithinPartitions("host", "part").mapInArrow(merge(["host"]), schema).drop("part")
+    return own.repartition("host").sortWithinPartitions("host", "part").mapInArrow(merge(["host"]), schema).select("host", "pages", "wrapper", F.size("seen").alias("different"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -399,7 +411,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         templates: dict[str, set] = {}
         for batch in slices(batches):
             texts = []
-            for host, n, wrapper, source in zip(*(batch.column(c).to_pylist() for c in ("host", "pages", "wrapper", "_html"))):
+            for host, n, wrapper, source in zip(*(batch.column(c).to_pylist() for c in ("host", "different", "wrapper", "_html"))):
                 if host not in templates:
                     if len(templates) > 2000:
                         templates.clear()
@@ -408,5 +420,5 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["_id", "_url", "text", "n_chars"])
 
     schema = T.StructType([rows.schema["_id"], rows.schema["_url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    out = rows.select("_id", "_url", "_html", "host", "pages", "wrapper").mapInArrow(run, schema)
+    out = rows.select("_id", "_url", "_html", "host", "different", "wrapper").mapInArrow(run, schema)
     return out.select(F.col("_id").alias(id_col), F.col("_url").alias("url"), "text", "n_chars")

@@ -323,3 +323,21 @@ def test_wrappers_are_union_free_and_find_the_template():
     row = wrappers(pages).head()
     assert row.host == "w.example" and row.pages == 8
     assert list(events("<a b='>'>x</a>"))[0] == ("open", "a", " b='>'")
+
+
+def extracted(sources):
+    pages = session().createDataFrame([(i, f"http://h.example/{i}", s) for i, s in enumerate(sources)], "page_id long, url string, html string").repartition(4)
+    return [r.text for r in sorted(extract_main_text(pages).collect(), key=lambda r: r.page_id)]
+
+
+def test_long_texts_with_the_same_beginning_are_not_a_template():
+    same = "word " * 60
+    got = extracted([f"<div class=top>Welcome</div><div class=body>{same} page {i}</div>" for i in range(6)])
+    assert got == [f"{same} page {i}".replace("  ", " ") for i in range(6)]
+    assert extracted([f"<div class=top>{same}</div><div class=body>page {i}</div>" for i in range(6)]) == [f"page {i}" for i in range(6)]
+
+
+def test_copies_of_a_page_are_no_evidence_for_a_template():
+    page = "<h1>Title</h1><div class=body>The only text</div>"
+    assert extracted([page] * 7) == ["Title\nThe only text"] * 7
+    assert extracted([f"{page}<div class=ad>advert {i}</div>" for i in range(7)]) == ["Title\nThe only text"] * 7
