@@ -5,8 +5,9 @@ parts and repeated groups, and nothing else. It begins as the first page and is
 only one side has become optional; neighbours of equal shape become repeated groups. Aligning two wrappers is the same operation, so each
 task folds its own pages into a wrapper per host, and hosts' wrappers are aligned in two more levels; pages are not shuffled for it.
 
-Text is taken from the page's article (or main element). Where a page has neither, the wrapper decides: texts that stand at the same place of all pages of
-the host are the template, and blocks that are mostly links are menus. Parts that are named as navigation, adverts, forms, comments and the like are left out in any case.
+Text is taken from the page's article (or main element), or from the whole page where it has neither. There the wrapper decides: texts that stand at the same place of all
+pages of the host are the template, and blocks that hold nothing else are left out; a block with a slot stays whole. Lists of names add to it: parts that are named as navigation, adverts, forms, comments
+and the like are left out in any case. Outside articles, blocks that are mostly links are menus.
 """
 
 from __future__ import annotations
@@ -286,19 +287,21 @@ def template_texts(wrapper: list, pages: int) -> set[tuple[str, str]]:
 
 
 def main_text(page: list[tuple], template: set[tuple[str, str]] = frozenset()) -> str:
-    """The page's main text: blocks joined by newlines."""
+    """The page's main text: blocks joined by newlines. A block that holds texts of the template only is left out."""
     has_main = any(p[0] == "open" and not p[4] and (p[2] in ("article", "main") or (p[2] in ("div", "section") and "main" in p[3] and "content" in p[3])) for p in page)
     blocks: list[str] = []
     words: list[str] = []
     size = linked = 0
+    varies = False
 
     def flush() -> None:
-        nonlocal size, linked
+        nonlocal size, linked, varies
         text = " ".join("".join(words).split())
-        if text and (has_main or not linked or linked <= 0.6 * size):
+        if text and varies and (has_main or not linked or linked <= 0.6 * size):
             blocks.append(text)
         words.clear()
         size = linked = 0
+        varies = False
 
     stack: list[tuple[bool, bool, bool, bool, bool]] = []  # block, left out, in main, in a header, in a link
     path: list[str] = []
@@ -308,9 +311,8 @@ def main_text(page: list[tuple], template: set[tuple[str, str]] = frozenset()) -
             if not out and (inside or not has_main):
                 text = html.unescape(part[1])
                 flat = " ".join(text.split())
-                if not has_main and flat and ("/" + "/".join(path), mark(flat)) in template:
-                    continue
                 words.append(text)
+                varies = varies or bool(flat and not (template and ("/" + "/".join(path), mark(flat)) in template))
                 size += len(flat)
                 linked += len(flat) if link else 0
         elif part[0] == "open":

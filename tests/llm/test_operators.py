@@ -341,3 +341,9 @@ def test_copies_of_a_page_are_no_evidence_for_a_template():
     page = "<h1>Title</h1><div class=body>The only text</div>"
     assert extracted([page] * 7) == ["Title\nThe only text"] * 7
     assert extracted([f"{page}<div class=ad>advert {i}</div>" for i in range(7)]) == ["Title\nThe only text"] * 7
+
+
+def test_the_wrapper_decides_inside_articles():
+    page = "<article><h1>t{0}</h1><p>one {0}</p><p>two {0}</p><div class=x7>Get our letter</div><div class=by>By <b>author {0}</b> in Oslo</div></article>"
+    assert extracted([page.format(i) for i in range(6)]) == [f"t{i}\none {i}\ntwo {i}\nBy author {i} in Oslo" for i in range(6)]
+    assert "Get our letter" in extracted([page.format(i) for i in range(4)])[0]
