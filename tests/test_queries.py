@@ -18,3 +18,11 @@ def test_query(name):
 
 def test_entry_has_columns():
     assert entry.entry(session()).columns == ["query_id", "chunk_id", "rank", "score"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+@pytest.mark.parametrize(("name", "table", "key"), [("vector_topk_whole", "embeddings", "vec_id"), ("fts_topk_whole", "benchmark", "item_id"), ("search_batch_whole", "benchmark", "item_id")])
+def test_whole_searches_take_every_row_divisible_by_50(name, table, key):
+    spark = session()
+    want = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect() if r[0] % 50 == 0}
+    assert {r.query_id for r in entry.queries()[name](spark, SF).collect()} == want
