@@ -223,8 +223,11 @@ def context_line(spark, d):
 
 
 @query(r"SELECT doc_id, md5(substr(text, 1, 500)) AS key, substr(text, 1, 200) AS prefix, regexp_replace(substr(text, 1, 300), '([+\-!(){}\[\]^\"~*?:\\/])', '\\\1', 'g') AS escaped FROM documents")
-def keys_and_escapes(spark, d):
-    return t(spark, d, "documents").select("doc_id", tx.cache_key(F.col("text")).alias("key"), tx.prefix_key(F.col("text")).alias("prefix"), tx.escape_search(F.substring("text", 1, 300)).alias("escaped"))
+def keys_and_escapes(spark, d, of="substring(text, 1, 300)"):
+    return t(spark, d, "documents").select("doc_id", tx.cache_key(F.col("text")).alias("key"), tx.prefix_key(F.col("text")).alias("prefix"), tx.escape_search(F.expr(of)).alias("escaped"))
+
+
+whole("keys_and_escapes", {"substr(text, 1, 300)": "text"}, of="text")
 
 
 # ---- filters and listings ----
@@ -578,18 +581,24 @@ def page_markdown(spark, d):
 
 @query(f"""WITH {SPANS}, u AS (SELECT doc, page, y0, 0 AS kind_no, seq, text AS md FROM s WHERE seq % 5 = 0 UNION ALL SELECT s_suppkey, 1, s_suppkey % 20 * 20.0::DOUBLE, 1, s_suppkey, 'table ' || s_suppkey FROM supplier)
 SELECT doc, page, string_agg(md, E'\\n\\n' ORDER BY y0, kind_no, seq) AS md FROM u GROUP BY 1, 2""")
-def interleave(spark, d):
-    text = spans(spark, d).filter("seq % 5 = 0").select("doc", "page", "y0", F.lit(0).alias("kind_no"), "seq", F.col("text").alias("md"))
+def interleave(spark, d, which="seq % 5 = 0"):
+    text = spans(spark, d).filter(which).select("doc", "page", "y0", F.lit(0).alias("kind_no"), "seq", F.col("text").alias("md"))
     tables = boxes(spark, d).select("doc", "page", "y0", F.lit(1).alias("kind_no"), F.col("doc").alias("seq"), F.concat(F.lit("table "), "doc").alias("md"))
     return layout.interleaved(text, tables)
 
 
+whole("interleave", {" WHERE seq % 5 = 0": ""}, which="true")
+
+
 @query("""WITH c AS (SELECT l_suppkey AS "table", l_orderkey AS row, l_linenumber AS col, max(CASE WHEN l_quantity > 30 THEN l_returnflag END) AS value FROM lineitem WHERE l_suppkey <= 20 GROUP BY 1, 2, 3),
 h AS (SELECT "table", row, col, last_value(value IGNORE NULLS) OVER (PARTITION BY "table", row ORDER BY col ROWS UNBOUNDED PRECEDING) AS value FROM c)
 SELECT "table", row, col, last_value(value IGNORE NULLS) OVER (PARTITION BY "table", col ORDER BY row ROWS UNBOUNDED PRECEDING) AS value FROM h""")
-def forward_fill(spark, d):
+def forward_fill(spark, d, which="table <= 20"):
     cells = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("table"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"))
-    return layout.forward_filled(cells.agg(F.max(F.when(F.col("l_quantity") > 30, F.col("l_returnflag"))).alias("value")).filter("table <= 20"))
+    return layout.forward_filled(cells.agg(F.max(F.when(F.col("l_quantity") > 30, F.col("l_returnflag"))).alias("value")).filter(which))
+
+
+whole("forward_fill", {" WHERE l_suppkey <= 20": ""}, which="true")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 20 > 10 AND cov < 0.5 THEN 'native_text' WHEN p_size % 20 > 10 THEN 'mixed' WHEN cov > 0.95 OR p_size % 3 > 0 THEN 'scanned' ELSE 'empty' END AS page_type
