@@ -156,6 +156,8 @@ def search(batch: pa.RecordBatch, q: Queries, slop: int) -> tuple[list[list[tupl
         start = at[hit] + first + window - base[doc]
         for d, s in zip(doc.tolist(), start.tolist()):
             matches[d].append((s, s + n, i))
+            if slop:
+                near[d].add(i)
     return matches, near
 
 
