@@ -53,10 +53,11 @@ def secret_scan(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"),
     few_owners: int = 1, salts: int | None = None,
 ) -> DataFrame:
-    """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_example.
+    """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_example, max_owners, max_repositories.
 
     ``spans`` lists kind:start:end (code points, end exclusive) by start, then kind, comma-joined; ``base_sha256`` is the SHA-256 of the base spans listed so.
-    n_live and n_example count base spans whose value has at most ``few_owners`` owners, or more. A null text counts as empty and has no spans; a null owner or repository is one of its own.
+    n_live and n_example count base spans whose value has at most ``few_owners`` owners, or more: owners alone decide. max_owners and max_repositories are the
+    most owners and repositories that a value of the row's spans has in the corpus, 0 without spans. A null text counts as empty and has no spans; a null owner or repository is one of its own.
     Rows that repeat have the same spans each; an empty table gives no rows. Other columns are ignored.
     """
     rows = df.select(
@@ -89,6 +90,7 @@ def secret_scan(
     per_row = kept.groupBy("_row").agg(
         F.sort_array(F.collect_list(F.when(is_wide, F.struct("start", F.col("kind").alias("kind"), "end")))).alias("_added"),
         F.sum((~is_wide & F.col("_live")).cast("long")).alias("n_live"), F.sum((~is_wide & ~F.col("_live")).cast("long")).alias("n_example"),
+        F.max("owners").alias("max_owners"), F.max("repositories").alias("max_repositories"),
     )
 
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -100,4 +102,5 @@ def secret_scan(
         F.col("_id").alias(id_col), *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(listed(base_spans), 256).alias("base_sha256"), listed(F.concat(base_spans, F.coalesce("_added", none))).alias("spans"),
         F.coalesce(F.size("_added"), F.lit(0)).cast("long").alias("n_owned"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("max_owners", "max_repositories")],
     )

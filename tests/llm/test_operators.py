@@ -278,6 +278,14 @@ def test_secret_scan():
     assert by[2].n_example >= 1 and secret_scan(table([])).count() == 0
 
 
+def test_secret_scan_returns_owners_and_repositories(tmp_path):
+    value = "Dd4Dd4Dd4Dd4Dd4Dd4Dd4"
+    rows = [(1, f"see {value}", "hot", "en"), (2, f"see {value}", "hot", "fr"), (3, f"see {value}", "hot", "es"), (4, "deadbeefdeadbeef0", "a", "en"), (5, "deadbeefdeadbeef0", "b", "en"), (6, "nothing", "a", "en")]
+    session().createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_owned, r.n_live, r.n_example, r.max_owners, r.max_repositories) for r in queries()["op3_secret_scan_spread"](session(), str(tmp_path)).collect()}
+    assert got == {1: (1, 0, 0, 1, 3), 2: (1, 0, 0, 1, 3), 3: (1, 0, 0, 1, 3), 4: (0, 0, 1, 2, 2), 5: (0, 0, 1, 2, 2), 6: (0, 0, 0, 0, 0)}
+
+
 def labelled(n=240):
     rng = random.Random(9)
     docs, labels = [], []
