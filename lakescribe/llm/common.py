@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,16 +48,16 @@ def fold_bucket(column: Column, fold: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % fold
 
 
-#: So many ids (8 bytes each) may be sent to all executors; more are joined by a shuffle.
-SMALL_IDS = 1_000_000
-
-
 def with_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` whose id is among ``ids``, with all their columns. Texts are only shuffled where the ids are too many to be sent."""
+    """The rows of ``df`` whose id is among ``ids``, with all their columns.
+
+    The same plan at every size: rows and ids meet by a shuffle on the id, in which each row moves once, and nothing is broadcast. Adaptive execution splits
+    an id that very many rows repeat. Rows with a null id all stay or all go, as null is among ``ids`` or not; they do not move.
+    """
     own = f"_kept_{uuid.uuid4().hex}"  # whatever columns the rows have
     ids = written(ids.select(F.col(id_col).alias(own)).distinct(), "kept")
-    few = ids.count() <= SMALL_IDS
-    return df.join(F.broadcast(ids) if few else ids, F.col(id_col).eqNullSafe(F.col(own)), "left_semi")
+    known = df.filter(F.col(id_col).isNotNull()).join(ids.hint("shuffle_hash"), F.col(id_col) == F.col(own), "left_semi")
+    return known.unionByName(df.filter(F.col(id_col).isNull())) if ids.filter(F.col(own).isNull()).head(1) else known
 
 
 def salts_for(rows: int, least: int = 64, each: int = 200_000, base: int = 2) -> int:
@@ -65,8 +68,18 @@ def salts_for(rows: int, least: int = 64, each: int = 200_000, base: int = 2) ->
     return n
 
 
-def slices(batches, rows: int = 1000):
-    """Arrow batches in slices of up to ``rows`` rows, so that few texts are Python objects at a time."""
+def slices(batches, rows: int = 1000, limit: int = 4 << 20):
+    """Arrow batches in slices of up to ``rows`` rows and about ``limit`` bytes of text or binary data (one row at least), so that few texts are Python objects at a time."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        if not batch.num_rows:
+            continue
+        size = np.zeros(batch.num_rows, dtype=np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        upto, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(upto, before + limit, "right"))))
+            yield batch.slice(at, end - at)
+            at = end

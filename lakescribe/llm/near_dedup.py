@@ -5,12 +5,13 @@
 2. A band is four minima; representatives that agree in a band meet in a bucket. Buckets of equal members are one.
 3. In a bucket, pairs are compared by batches of 32 minima. With a uniform prior the posterior probability that a pair's similarity reaches the threshold is a binomial
    tail; a pair is given up as soon as that is less than ``miss``. What survives in a bucket is reported as a spanning forest, never as pairs.
-4. Survivors' components are families. Full sets of a family's members are sent to its task, where surviving pairs are verified exactly, the likeliest first, and pairs that are
+4. Survivors' components are families. Full sets of a family's members are sent to its tasks, where surviving pairs are verified exactly, the likeliest first, and pairs that are
    connected already are left out; a task reports a spanning forest of links.
 5. Components of the links, joined with classes, are the answer.
 
-Buckets and families of more than ``block`` members are split into blocks, and a task gets two blocks (or one, with itself), so that every pair of members meets in
-one task while no task holds more than two blocks. Nothing is capped or left out.
+Buckets and families of more than ``block`` members are dealt to chunks of about that size, and to each chunk come ``PIVOTS`` members of the whole group besides. All pairs of a
+chunk are compared. Where that leaves a group in several parts, the members outside its largest part, and only these, meet all members that are not in their own part, again by
+chunks. So a group of copies is sent about once, what has been connected is not compared again, and every pair has met or is connected at the end. Nothing is capped or left out.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ SHINGLE = 5
 MINIMA, ROWS, BATCH = 128, 4, 32
 BANDS = MINIMA // ROWS
 KEPT_WORDS = 100_000
-#: Ids up to this many are sent to all executors (16 MB); more are joined by a shuffle.
-SMALL_IDS = 2_000_000
+#: Members of a group of several chunks that come to each of its chunks, on average.
+PIVOTS = 16
 _rng = np.random.default_rng(20)
 _PLACE = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,8 +99,8 @@ def least_matches(threshold: float, miss: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def survivors(sig: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, miss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (x in left, y in right, matches) that sizes and signatures leave possible, most matches first; each unordered pair of members once."""
+def survivors(sig: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, miss: float, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (x in left, y in right, matches) that sizes and signatures leave possible, most matches first; each unordered pair of members once. Pairs of one ``part`` are left out."""
     needed = least_matches(threshold, miss)
     found = []
     same = left is right
@@ -109,6 +110,9 @@ def survivors(sig: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarra
         if same:
             keep = a < b
             a, b = a[keep], b[keep]
+        if part is not None:
+            keep = part[a] != part[b]
+            a, b = a[keep], b[keep]
         # the union has at least the larger set's size, the intersection at most the smaller's
         keep = np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9
         a, b = a[keep], b[keep]
@@ -147,11 +151,15 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return [(x, y) for x, y in zip(a.tolist(), b.tolist()) if forest.join(x, y)]
 
 
-def verified(sets: list[np.ndarray], sig: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, miss: float) -> list[tuple[int, int]]:
-    """A spanning forest of the exact links between members of ``left`` and ``right``."""
-    a, b, _ = survivors(sig, n, left, right, threshold, miss)
+def verified(sets: list[np.ndarray], sig: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, miss: float, part: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the exact links between members of ``left`` and ``right``; members of one ``part`` are connected already."""
+    a, b, _ = survivors(sig, n, left, right, threshold, miss, part)
     percent = round(threshold * 100)
     forest, links = Forest(len(n)), []
+    if part is not None:
+        for members in np.split(np.argsort(part, kind="stable"), np.flatnonzero(np.diff(np.sort(part))) + 1):
+            for i in members[1:].tolist():
+                forest.join(int(members[0]), i)
     at = 0
     while at < len(a):
         # a chunk is taken at a time, without the pairs that earlier links connect
@@ -196,24 +204,67 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[s
         yield last, group
 
 
-def _in_blocks(df: DataFrame, key: str, size: str, block: int) -> DataFrame:
-    """Rows for tasks: a group of up to ``block`` rows as it is, a larger one once for each pair of blocks that the row's own block is in.
+def first_chunks(members: DataFrame, key: str, block: int, pivots: int = PIVOTS) -> DataFrame:
+    """Rows (key, _id, _size, ...) with _chunk: each in a chunk of its group, pivots of groups of several chunks in all of these."""
+    chunks = F.ceil(F.col("_size") / block).cast("int")
+    own = F.pmod(F.xxhash64("_id", F.lit(77)), chunks).cast("int")
+    pivot = (F.col("_size") > block) & (F.pmod(F.xxhash64("_id", F.lit(78)), F.col("_size")) < pivots)
+    return members.withColumn("_chunk", F.explode(F.when(pivot, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(own))))
+
+
+def second_chunks(members: DataFrame, key: str, parts: DataFrame, block: int) -> DataFrame:
+    """Rows (key, _id, ...) of groups that are in several parts, with _part, _rest and _chunk.
 
-    Adds _lo, _hi (the blocks of the task) and _own (the row's block).
+    ``parts`` (node, component) are what the first pass has connected. Members outside their group's largest part are its rest (_rest 1), in chunks of their own; a
+    chunk of the rest meets each chunk of all members (_rest 0). Groups in one part have no rows.
     """
-    blocks = F.ceil(F.col(size) / block).cast("int")
-    own = F.pmod(F.xxhash64("_id", F.lit(77)), blocks).cast("int")
-    out = df.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    out = out.withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other")).drop("_other")
-    return out.repartition(key, "_lo", "_hi").sortWithinPartitions(key, "_lo", "_hi", "_id")
+    large = members.filter(F.col("_size") > block).join(parts.toDF("_node", "_of"), F.col("_id") == F.col("_node"), "left").withColumn("_part", F.coalesce("_of", "_id")).drop("_node", "_of")
+    counts = large.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    several = counts.groupBy(key).agg(F.max(F.struct("_n", "_part")).alias("_most"), F.sum("_n").alias("_all")).filter("_most._n < _all")
+    several = several.select(F.col(key), F.col("_most._part").alias("_largest"), F.ceil(F.col("_all") / block).cast("int").alias("_chunks"), F.ceil((F.col("_all") - F.col("_most._n")) / block).cast("int").alias("_rests"))
+    rows = large.join(several, key)
+    deal = lambda seed, into: F.array(F.pmod(F.xxhash64("_id", F.lit(seed)), F.col(into)).cast("int"))
+    every = lambda into: F.sequence(F.lit(0), F.col(into) - 1)
+    side = lambda df, rest, chunk, other: df.withColumn("_rest", F.lit(rest)).withColumn("_chunk", F.explode(chunk)).withColumn("_other", F.explode(other))
+    met = side(rows, 0, deal(77, "_chunks"), every("_rests")).unionByName(side(rows.filter("_part <> _largest"), 1, every("_chunks"), deal(79, "_rests")))
+    return met.withColumn("_chunk", F.struct("_chunk", "_other")).drop("_other", "_largest", "_chunks", "_rests")
+
+
+def in_tasks(df: DataFrame, key: str) -> DataFrame:
+    return df.repartition(key, "_chunk").sortWithinPartitions(key, "_chunk", "_id")
+
 
+def connected(members: DataFrame, key: str, payload: DataFrame, links_of, block: int) -> DataFrame:
+    """Links (a, b) that connect all members (key, _id, _size) of each group whose pairs ``links_of`` links, in two passes.
 
-def _sides(own: list[int], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    own = np.asarray(own)
-    if lo == hi:
-        left = np.arange(len(own))
-        return left, left
-    return np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+    ``links_of(columns of one task, left, right, part)`` are places of linked members; ``payload`` has the columns (_id, ...) that it needs.
+    """
+    columns = payload.columns
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: set[tuple[int, int]] = set()
+        for _, group in _grouped(batches, [key, "_chunk"], columns):
+            ids, everyone = group[0], np.arange(len(group[0]))
+            out.update((ids[x], ids[y]) for x, y in links_of(group, everyone, everyone, None))
+            if len(out) > 50_000:
+                yield _edges(out)
+                out.clear()
+        yield _edges(out)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in _grouped(batches, [key, "_chunk"], [*columns, "_part", "_rest"]):
+            rest, part = np.array(group.pop()), np.array(group.pop())
+            found = links_of(group, np.flatnonzero(rest == 1), np.flatnonzero(rest == 0), part)
+            yield _edges([(group[0][x], group[0][y]) for x, y in found])
+
+    dealt = in_tasks(first_chunks(members.join(payload, "_id"), key, block), key)
+    links = written(dealt.select(key, "_chunk", *columns).mapInArrow(first, "a long, b long"), "links")
+    if not members.filter(F.col("_size") > block).head(1):
+        return links
+    parts = written(components(links), "parts")
+    left = second_chunks(members, key, parts, block).join(payload, "_id")
+    more = in_tasks(left, key).select(key, F.to_json("_chunk").alias("_chunk"), *columns, "_part", "_rest").mapInArrow(second, "a long, b long")
+    return parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -246,56 +297,46 @@ def candidate_forest(nodes: DataFrame, threshold: float, miss: float, block: int
     buckets = banded.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"), F.bit_xor(h1).alias("_x1"), F.bit_xor(h2).alias("_x2")).filter("_size > 1")
     # buckets of equal members (by size and a 128-bit fingerprint) do the same work: one of them is enough
     buckets = buckets.groupBy("_size", "_x1", "_x2").agg(F.min("_bucket").alias("_bucket")).select("_bucket", "_size")
-    members = banded.join(buckets, "_bucket").join(nodes, "_id")
+    members = written(banded.join(buckets, "_bucket"), "members")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: set[tuple[int, int]] = set()
-        for (_, lo, hi), (ids, n, sig, own) in _grouped(batches, ["_bucket", "_lo", "_hi"], ["_id", "n", "sig", "_own"]):
-            table = np.array(sig, dtype="<i8").view("<u2")
-            a, b, _ = survivors(table, np.array(n), *_sides(own, lo, hi), threshold, miss)
-            out.update((ids[x], ids[y]) for x, y in spanning(a, b, len(ids)))
-            if len(out) > 50_000:
-                yield _edges(out)
-                out.clear()
-        yield _edges(out)
+    def links_of(group, left, right, part):
+        ids, n, sig = group
+        a, b, _ = survivors(np.array(sig, dtype="<i8").view("<u2"), np.array(n), left, right, threshold, miss, part)
+        return spanning(a, b, len(ids))
 
-    return _in_blocks(members, "_bucket", "_size", block).select("_bucket", "_lo", "_hi", "_id", "n", "sig", "_own").mapInArrow(run, "a long, b long")
+    return connected(members, "_bucket", nodes.select("_id", "n", "sig"), links_of, block)
 
 
 def _edges(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def exact_links(df: DataFrame, nodes: DataFrame, families: DataFrame, id_col: str, text_col: str, threshold: float, miss: float, block: int) -> DataFrame:
+def exact_links(df: DataFrame, families: DataFrame, id_col: str, text_col: str, threshold: float, miss: float, block: int) -> DataFrame:
     """Links (a, b), a spanning forest of all pairs of a family that survive the signatures and whose full sets reach the threshold."""
     sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
-    families = written(families.join(sizes, "component"), "families")
-    few = families.count() <= SMALL_IDS
-    kept = F.broadcast(families) if few else families
-    texts = df.select(F.col(id_col).alias("node"), text_of(text_col).cast("binary").alias("_text")).join(kept, "node").select(F.col("node").alias("_id"), "component", "_size", "_text")
+    families = written(families.join(sizes, "component").select(F.col("node").alias("_id"), "component", "_size"), "families")
+    # each text moves once, at every size: texts and members of families meet by a shuffle on the id
+    texts = df.select(F.col(id_col).alias("_id"), text_of(text_col).cast("binary").alias("_text")).filter("_id IS NOT NULL").join(families.select("_id").hint("shuffle_hash"), "_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             s = [shingle_set(x) for x in batch.column("_text").to_pylist()]
             sig = [signature(x).tobytes() if len(x) else b"\0" * 2 * MINIMA for x in s]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("component"), batch.column("_size"), pa.array(sig, pa.binary()), pa.array([x.tobytes() for x in s], pa.binary())], ["_id", "component", "_size", "sig", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sig, pa.binary()), pa.array([x.tobytes() for x in s], pa.binary())], ["_id", "sig", "set"])
 
-    with_sets = texts.mapInArrow(sets, "_id long, component long, _size long, sig binary, set binary")
+    with_sets = written(texts.mapInArrow(sets, "_id long, sig binary, set binary"), "sets", codec="uncompressed")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
-        for (_, lo, hi), (ids, sig, data, own) in _grouped(batches, ["component", "_lo", "_hi"], ["_id", "sig", "set", "_own"]):
-            table = np.frombuffer(b"".join(sig), dtype="<u2").reshape(-1, MINIMA)
-            s = [np.frombuffer(x, dtype=np.uint64) for x in data]
-            links = verified(s, table, np.array([len(x) for x in s]), *_sides(own, lo, hi), threshold, miss)
-            out += [(ids[x], ids[y]) for x, y in links]
-        yield _edges(out)
+    def links_of(group, left, right, part):
+        _, sig, data = group
+        table = np.frombuffer(b"".join(sig), dtype="<u2").reshape(-1, MINIMA)
+        s = [np.frombuffer(x, dtype=np.uint64) for x in data]
+        return verified(s, table, np.array([len(x) for x in s]), left, right, threshold, miss, part)
 
-    return _in_blocks(with_sets, "component", "_size", block).mapInArrow(run, "a long, b long")
+    return connected(families, "component", with_sets, links_of, block)
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, miss: float = 1e-6, block: int = 512, salts: int | None = None,
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, miss: float = 1e-6, block: int = 256, salts: int | None = None,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
@@ -312,7 +353,7 @@ def near_duplicates(
     nodes = written(classed.select("_id", "n", "k1", "k2", "sig").join(classes.withColumnRenamed("_rep", "_id"), ["_id", "k1", "k2", "n"]).select("_id", "n", "sig").dropDuplicates(["_id", "n", "sig"]), "nodes")
 
     families = components(candidate_forest(nodes, threshold, miss, block))
-    links = exact_links(df.withColumn(id_col, F.col(id_col).cast("long")), nodes, families, id_col, text_col, threshold, miss, block)
+    links = exact_links(df.withColumn(id_col, F.col(id_col).cast("long")), families, id_col, text_col, threshold, miss, block)
     found = components(links)
 
     reached = classes.join(found, F.col("_rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("component", "_rep").alias("_component"))

@@ -60,15 +60,15 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def with_statistics(df: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns and _x, the STATISTICS of column _text; texts stay in their partitions."""
+def with_statistics(df: DataFrame, keep: list[str], text: str = "_text") -> DataFrame:
+    """``keep`` columns and _x, the STATISTICS of column ``text`` (null: empty); texts stay in their partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            x = [statistics(t) for t in batch.column("_text").to_pylist()]
+            x = [statistics(t or "") for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(x, pa.list_(pa.float64()))], [*keep, "_x"])
 
-    return df.select(*keep, "_text").mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), T.StructField("_x", T.ArrayType(T.DoubleType()))]))
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), T.StructField("_x", T.ArrayType(T.DoubleType()))]))
 
 
 def matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -102,7 +102,7 @@ def summed(df: DataFrame, function, groups: int = 16) -> list[np.ndarray] | None
             yield pa.RecordBatch.from_arrays([pa.array([keys[0]], pa.int32()), pa.array([keys[1]]), pa.array([total.tobytes()], pa.binary())], ["part", "shape", "data"])
 
     schema = "part int, shape string, data binary"
-    parts = df.mapInArrow(partition, schema).repartition(groups, "part").mapInArrow(group, schema).collect()
+    parts = df.mapInArrow(partition, schema).repartition(groups, "part").sortWithinPartitions("part", "data").mapInArrow(group, schema).collect()
     if not parts:
         return None
     total = sum(np.frombuffer(r.data) for r in sorted(parts, key=lambda r: bytes(r.data)))
@@ -179,14 +179,37 @@ def quality(
     others the calibration. Only texts decide. A null text counts as empty and is scored like any other. Rows that repeat are scored each; an empty table gives no
     rows; where labels lack one class all scores are 1. Texts are read once, their statistics (a few numbers a document) are written and met with the labels.
     """
-    ids = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    table = written(with_statistics(ids, ["_id"]), "statistics")
+    table = written(with_statistics(docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")), ["_id"]), "statistics")
+    scored = scores(table, labels, learnable, fitting, id_col, label_col, ridge, width)
+    return scored.select(F.col("_id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def good_documents(
+    docs: DataFrame, labels: DataFrame, learnable: Column, fitting: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    threshold: float = 0.3, ridge: float = 0.3, width: float = 6.0,
+) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` predicts to be good, with all their columns.
+
+    Rows are written once beside their statistics, so that the decision is taken in the row: texts are read once and never move. Edge cases: see ``quality``; rows that
+    repeat, and rows with a null id, each go by their own text.
+    """
+    own = [f"_column{i}" for i in range(len(docs.columns))]
+    named = dict(zip(docs.columns, own))
+    rows = docs.toDF(*own)
+    table = written(with_statistics(rows, own, named[text_col]).withColumn("_id", F.col(named[id_col])), "statistics")
+    scored = scores(table, labels, learnable, fitting, id_col, label_col, ridge, width)
+    return scored.filter(F.col("score") >= threshold).select(*own).toDF(*docs.columns)
+
+
+def scores(table: DataFrame, labels: DataFrame, learnable: Column, fitting: Column, id_col: str, label_col: str, ridge: float, width: float) -> DataFrame:
+    """The rows of ``table`` (_id, _x, ...) with ``score`` for _x, learnt from those with labels."""
     known = labels_of(labels, label_col, id_col).filter(learnable)
-    rows = written(table.join(known, F.col("_id") == F.col("_label_id")).select("_label_id", "_label", "_x"), "labelled")
+    rows = written(table.select("_id", "_x").join(known, F.col("_id") == F.col("_label_id")).select("_label_id", "_label", "_x"), "labelled")
     fitted = fit(rows, fitting, ridge, width)
+    keep = [c for c in table.columns if c != "_x"]
     if fitted is None:
-        return table.select(F.col("_id").alias(id_col), F.lit(1.0).alias("score"), F.lit(1).alias("predicted"))
-    shared = docs.sparkSession.sparkContext.broadcast(fitted)
+        return table.select(*keep, F.lit(1.0).alias("score"))
+    shared = table.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         projection, weights, places, rates = shared.value
@@ -195,7 +218,6 @@ def quality(
                 raw = projection(matrix(batch)) @ weights
                 # between blocks the rate rises evenly; a thousandth goes by the raw score, so that order is kept within blocks
                 score = 0.999 * np.interp(raw, places, rates) + 0.001 / (1 + np.exp(-np.clip(4 * raw - 2, -30, 30)))
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(score)], ["_id", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], [*keep, "score"])
 
-    scored = table.mapInArrow(run, T.StructType([docs.select(F.col(id_col).alias("_id")).schema["_id"], T.StructField("score", T.DoubleType())]))
-    return scored.select(F.col("_id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return table.mapInArrow(run, T.StructType([*(table.schema[c] for c in keep), T.StructField("score", T.DoubleType())]))

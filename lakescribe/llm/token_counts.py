@@ -24,7 +24,7 @@ def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import by_bytes, encoder
+        from .tokens import encoder
 
         if vocabulary.endswith(".model"):
             import sentencepiece
@@ -36,8 +36,7 @@ def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             lengths = lambda texts: [len(x) // e.width for x in e.encode(texts)]
         for batch in slices(batches):
             texts = batch.column("_text").to_pylist()
-            n = [x for part in by_bytes(texts) for x in lengths(part)]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("n_bytes"), pa.array(lengths(texts), pa.int64())], ["_id", "n_bytes", "n_tokens"])
 
     kind = df.schema[id_col].dataType
     schema = T.StructType([T.StructField("_id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])

@@ -44,52 +44,63 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     padded[: len(code)] = code
     four = padded.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    used = np.arange(4, dtype=np.uint8) <= code[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    ends = np.cumsum(code, dtype=np.int64) + np.arange(1, len(code) + 1)
+    data, places = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint8), ends - code - 1
+    data[places] = ranks.astype(np.uint8)
+    for k in range(1, int(code.max(initial=0)) + 1):
+        longer = np.flatnonzero(code >= k)
+        data[places[longer] + k] = ranks[longer] >> 8 * k
+    return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` ranks that ``encode_ranks`` coded."""
     lengths = LENGTHS[np.frombuffer(control, dtype=np.uint8)].ravel()[:n]
-    out = np.zeros((n, 4), dtype=np.uint8)
-    out[np.arange(4) < lengths[:, None]] = np.frombuffer(data, dtype=np.uint8)
-    return out.view("<u4").ravel()
+    values, places = np.frombuffer(data, dtype=np.uint8), np.cumsum(lengths) - lengths
+    out = values[places].astype("<u4")
+    for k in range(1, int(lengths.max(initial=0))):
+        longer = np.flatnonzero(lengths > k)
+        out[longer] |= values[places[longer] + k].astype("<u4") << 8 * k
+    return out
 
 
 def encoded(df: DataFrame, vocabulary: str, id_col: str, text_col: str, end_id: int | None) -> DataFrame:
-    """(_id, _ids): the ids of each whole text as little-endian unsigned 32-bit or 16-bit integers, written once."""
+    """(_id, _ids, _width, _counts), written once: the ids of each whole text as little-endian unsigned 32-bit or 16-bit integers, and a row more
+    for each partition with nothing but the number of times that each id came there."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import by_bytes, encoder
+        from .tokens import encoder
 
         e = encoder(vocabulary)
         end = b"" if end_id is None else np.array([end_id], dtype=e.dtype).tobytes()
+        total, kind = np.zeros(0, dtype=np.int64), None
         for batch in slices(batches):
-            texts, at = batch.column("_text").to_pylist(), 0
-            for part in by_bytes(texts):
-                ids = [x + end for x in e.encode(part)]
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(at, len(part)), pa.array(ids, pa.binary()), pa.array([e.width] * len(part), pa.int8())], ["_id", "_ids", "_width"])
-                at += len(part)
-
-    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("_ids", T.BinaryType()), T.StructField("_width", T.ByteType())])
+            kind = batch.column("_id").type
+            ids = [x + end for x in e.encode(batch.column("_text").to_pylist())]
+            n = np.bincount(np.frombuffer(b"".join(ids), dtype=e.dtype))
+            if len(n) > len(total):
+                n, total = total, n
+            total[: len(n)] += n
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(ids, pa.binary()), pa.array([e.width] * len(ids), pa.int8()), pa.nulls(len(ids), pa.binary())], names)
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int8()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
+
+    names = ["_id", "_ids", "_width", "_counts"]
+    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("_ids", T.BinaryType()), T.StructField("_width", T.ByteType()), T.StructField("_counts", T.BinaryType())])
     return written(df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).mapInArrow(encode, schema), "ids")
 
 
 def rank_table(ids: DataFrame) -> DataFrame:
-    """(rank, token, n) of all ids of ``encoded``, most frequent first, ties by token."""
+    """(rank, token, n) of all ids of ``encoded``, most frequent first, ties by token. Only the partitions' counts are read."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
-        for batch in slices(batches):
-            for data, width in zip(batch.column("_ids").to_pylist(), batch.column("_width").to_pylist()):
-                n = np.bincount(np.frombuffer(data, dtype=f"<u{width}"))
-                if len(n) > len(total):
-                    total = np.concatenate([total, np.zeros(len(n) - len(total), dtype=np.int64)])
-                total[: len(n)] += n
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["token", "n"])
-
-    counts = ids.select("_ids", "_width").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("_counts").to_pylist():
+                total = np.frombuffer(data, dtype="<i8")
+                seen = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["token", "n"])
+
+    counts = ids.select("_counts").filter("_counts IS NOT NULL").mapInArrow(spread, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     return counts.select((F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1).alias("rank"), "token", "n")
 
 
@@ -139,7 +150,7 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, id_col: str = "
         T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("n_ids", T.LongType()), T.StructField("ids", T.ArrayType(ids.schema["_id"].dataType)),
         T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType()),
     ])
-    by_id = ids.repartitionByRange(F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), "_ids")
+    by_id = ids.filter("_ids IS NOT NULL").select("_id", "_ids", "_width").repartitionByRange(F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), "_ids")
     by_id.mapInArrow(blocks, schema).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 

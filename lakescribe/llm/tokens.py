@@ -3,7 +3,8 @@
 The byte-level pattern lets a single space between two non-space characters belong only to what follows
 it, so no token ever spans the place before such a space: a text may be cut there and the parts encoded on
 their own with the same ids. Texts are cut at all such places; most pieces are words that come again and again, and
-their ids are kept in a bounded table of the Python worker. Pieces that are not in it go to the library's model. A special string inside a text has no space in it, so it is never cut, and the library treats it as it does in whole texts
+their ids are kept in a bounded table of the Python worker. Pieces that are not in it go to the library in batches, many pieces joined by single spaces as one text, whose ids are cut
+where a token begins with a space. A special string inside a text has no space in it, so it is never cut, and a piece with one goes to the library on its own
 (``check_safe`` holds for tokenizers with that pattern, without normalizer and post-processor only; others encode whole texts).
 """
 
@@ -35,8 +36,13 @@ class PieceEncoder:
         self.dtype = np.dtype(f"<u{self.width}")
         self.safe = check_safe(spec)
         self.kept: dict[str, bytes] = {}
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that byte-level vocabularies write as themselves
-        self.signs = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in plain)}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Whether an id's token begins with the byte-level vocabularies' sign for a space: in texts cut at safe boundaries, only the first token of a piece does.
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        special = [t["content"] for t in spec.get("added_tokens", [])]
+        #: Pieces that go to the library one by one: white space inside, or a special string's first two characters.
+        self.odd = re.compile("|".join([r"\s", OTHER_SPACE.pattern, *sorted({re.escape(x[:2]) for x in special})]))
 
     def encode_whole(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -52,15 +58,18 @@ class PieceEncoder:
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of distinct pieces, each as it stands after a space."""
         out: dict[str, bytes] = {}
-        tokenize, sign, dtype = self.tokenizer.model.tokenize, self.signs, self.dtype
-        whole = []
-        for piece in pieces:
-            if ODD.search(piece):  # white space inside, a special string, or what the pattern below may see differently
-                whole.append(piece)
-                continue
-            words = WORDS.findall(" " + piece)
-            ids = [token.id for word in words for token in tokenize(word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(sign))]
-            out[piece] = np.array(ids, dtype=dtype).tobytes()
+        odd = self.odd.search
+        plain = [p for p in pieces if not odd(p)]
+        for part in by_bytes(plain, BATCH_BYTES // 8):
+            # many pieces are one text to the library; a boundary stands before each, and each has one space, its first character
+            (ids,) = self.encode_whole([" " + " ".join(part)])
+            places = np.flatnonzero(self.begins[ids])
+            if len(places) != len(part):
+                plain, out = [], {}
+                break
+            data, ends = ids.tobytes(), [*(places[1:] * self.width).tolist(), len(ids) * self.width]
+            out.update(zip(part, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+        whole = [p for p in pieces if p not in out]
         for piece, ids in zip(whole, self.encode_whole([" " + p for p in whole])):
             out[piece] = ids.tobytes()
         return out
@@ -86,10 +95,6 @@ class PieceEncoder:
         return out
 
 
-#: The published pattern of the vocabulary, for pieces of letters, digits and ASCII signs without white space inside.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+")
-#: Pieces that go to the library whole: all but ASCII without controls and '<|', and letters of Latin scripts.
-ODD = re.compile("[^\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]|<\\|")
 #: White space other than the space, beside which no boundary is.
 OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
