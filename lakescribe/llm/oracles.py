@@ -72,17 +72,40 @@ FROM d LEFT JOIN x USING (r)
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_PHRASE_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 PHRASES = rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-bw AS (SELECT item_id, least(13, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda i: array_to_string(w[i:i + least(13, len(w)) - 1], ' '))) AS g FROM b WHERE len(w) > 0),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_PHRASE_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_PHRASE_WORDS} AS w FROM benchmark),
+bw AS (SELECT item_id, least(13, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda i: w[i:i + least(13, len(w)) - 1])) AS g FROM b WHERE len(w) > 0),
 ns AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM d, ns WHERE len(w) >= n),
-h AS (SELECT r, n, i, item_id FROM (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM dw) JOIN bw USING (n, g)),
+h AS (SELECT r, n, i, item_id FROM (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM dw) JOIN (SELECT item_id, n, array_to_string(g, ' ') AS g FROM bw) USING (n, g)),
 p AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS place FROM h) GROUP BY 1),
-q AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY 1)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN p USING (r) LEFT JOIN q USING (r)
+q AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY 1),
+-- proximity: each place of a window's rarest word (by documents that have it; ties: the first), and every other word within 3 of its own place as seen from there
+o AS MATERIALIZED (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+f AS MATERIALIZED (SELECT word, count(DISTINCT r) AS n_docs FROM o SEMI JOIN (SELECT unnest(w) AS word FROM b) USING (word) GROUP BY 1),
+l AS MATERIALIZED (SELECT r, word, list(i) AS places FROM o SEMI JOIN f USING (word) GROUP BY 1, 2),
+g AS MATERIALIZED (SELECT row_number() OVER () AS id, item_id, n, g FROM (SELECT DISTINCT * FROM bw)),
+x AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY n_docs, j) AS rarity
+  FROM (SELECT id, item_id, n, unnest(g) AS word, unnest(range(1, n + 1)) AS j FROM g) JOIN f USING (word)
+),
+whole AS (SELECT id FROM x GROUP BY id HAVING count(*) = any_value(n)),
+c1 AS (SELECT x.id, x.item_id, x.n, o.r, o.i - x.j AS origin FROM x SEMI JOIN whole USING (id) JOIN o USING (word) WHERE x.rarity = 1),
+c2 AS MATERIALIZED (
+  SELECT c1.* FROM c1 WHERE n = 1
+  UNION ALL SELECT c1.* FROM c1 JOIN x ON x.id = c1.id AND x.rarity = 2 JOIN l ON l.r = c1.r AND l.word = x.word WHERE len(list_filter(places, lambda v: abs(v - origin - j) <= 3)) > 0
+),
+c3 AS (
+  SELECT c2.item_id, c2.r, c2.n, c2.id, c2.origin FROM c2 JOIN x ON x.id = c2.id JOIN l ON l.r = c2.r AND l.word = x.word
+  WHERE x.rarity = 1 OR len(list_filter(places, lambda v: abs(v - origin - j) <= 3)) > 0 GROUP BY ALL HAVING count(*) = c2.n
+),
+near AS (SELECT r, count(DISTINCT item_id) AS n_near_items FROM c3 GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(n_near_items, 0) AS n_near_items
+FROM d LEFT JOIN p USING (r) LEFT JOIN q USING (r) LEFT JOIN near USING (r)
 """
 
 NEAR = rf"""

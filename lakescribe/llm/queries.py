@@ -78,13 +78,6 @@ def op8_source_mix(spark, sf_dir):
 def op9_decontamination(spark, sf_dir):
     from .decontaminate import decontaminate
 
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near_items")
-
-
-def op9_decontamination_near(spark, sf_dir):
-    """As op9_decontamination, with the number of items that have a proximity match, which SQL does not express."""
-    from .decontaminate import decontaminate
-
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakescribe.llm import near_dedup as nd
 from lakescribe.llm.components import components
-from lakescribe.llm.decontaminate import Queries, benchmark_matches, decontaminate
+from lakescribe.llm.decontaminate import benchmark_matches, decontaminate
 from lakescribe.llm.decontaminate import words_of as phrase_words
 from lakescribe.llm.exact_dedup import exact_dedup, exact_groups
 from lakescribe.llm.html_text import align, events, expression, extract_main_text, main_text, parts, template_texts, wrapper_of, wrappers
@@ -212,8 +212,10 @@ def test_decontaminate(block_bytes):
     spark = session()
     bench = spark.createDataFrame([(i, t, 1, "x") for i, t in ITEMS], "item_id long, text string, _id int, item string")
     docs = table([(i, t, None) for i, t in PASSAGES])
-    got = sorted((tuple(r)[:6] for r in decontaminate(docs, bench, block_bytes=block_bytes).collect()), key=repr)
-    assert got == brute_phrases(PASSAGES, ITEMS)
+    for shard_words in (1 << 20, 100):
+        rows = decontaminate(docs, bench, block_bytes=block_bytes, shard_words=shard_words).collect()
+        assert sorted((tuple(r)[:6] for r in rows), key=repr) == brute_phrases(PASSAGES, ITEMS)
+        assert sorted(((r.doc_id, r.n_near_items) for r in rows), key=repr) == brute_loose(PASSAGES, ITEMS)
 
 
 def test_decontaminate_edges():
@@ -229,21 +231,20 @@ def test_decontaminate_edges():
 
 
 def brute_loose(docs, items, slop=3):
-    """Items with a proximity match of each document: every place of a query's rarest word, against the document's words one by one."""
+    """Items with a proximity match of each document: every place of a window's rarest word, against the document's words one by one."""
     texts = [phrase_words(t.encode() if t else None) for _, t in docs]
-    q = Queries([(str(i), t.encode()) for i, t in sorted({(i, t or "") for i, t in items})])
-    q.plan(np.array([sum(w in set(text) for text in texts) for w in q.terms]))
-    names = list(q.terms)
+    rarity = collections.Counter(w for text in texts for w in set(text))
     out = []
     for (d, _), text in zip(docs, texts):
         found = set()
-        for i, rarest, shared, first, final, n in q.queries:
-            word = lambda j: names[q.items[i][j]]  # noqa: B023, E731
-            for at in (k - rarest for k, w in enumerate(text) if w == word(rarest)):
-                loose = all(word(j) in text[max(0, at + j - slop) : max(0, at + j + slop + 1)] for j in shared)
-                exact = any(at + w >= 0 and text[at + w : at + w + n] == [word(j) for j in range(w, w + n)] for w in range(first, final + 1))
-                if exact or (shared and loose):
-                    found.add(q.ids[i])
+        for i, item in items:
+            words = phrase_words(item.encode() if item else None)
+            n = min(13, len(words))
+            for window in (words[k : k + n] for k in range(len(words) - n + 1) if n):
+                r = min(range(n), key=lambda j: (rarity[window[j]], j))
+                for p in (k for k, w in enumerate(text) if w == window[r]):
+                    if all(j == r or w in text[max(0, p + j - r - slop) : max(0, p + j - r + slop + 1)] for j, w in enumerate(window)):
+                        found.add(str(i))
         out.append((d, len(found)))
     return sorted(out, key=repr)
 
@@ -254,7 +255,7 @@ def test_registered_query_has_proximity_matches(tmp_path):
     docs = [*PASSAGES, (20, loose), (21, "a loneword here")]
     table([(i, t, None) for i, t in docs]).write.parquet(f"{tmp_path}/documents.parquet")
     session().createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    rows = queries()["op9_decontamination_near"](session(), str(tmp_path)).collect()
+    rows = queries()["op9_decontamination"](session(), str(tmp_path)).collect()
     assert sorted(((r.doc_id, r.n_near_items) for r in rows), key=repr) == brute_loose(docs, items)
     by = {r.doc_id: r for r in rows}
     assert by[20].n_items == 0 and by[20].n_near_items >= 1 and by[21].n_near_items == 1
