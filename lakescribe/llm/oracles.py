@@ -56,17 +56,21 @@ p AS (
   FROM raw WHERE length(z[3]) >= [12, 18, 16, 20][kind + 1]
 ), b AS (SELECT r, source, lang, kind, v, s, s + n AS e FROM p WHERE kind < 3 OR (regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]'))),
 c AS (SELECT * FROM b WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM b AS o WHERE o.r = b.r AND o.kind < 3 AND o.s < b.e AND b.s < o.e)),
-f AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS owners, max(kind = 0) AS assigned FROM c GROUP BY v),
-j AS (SELECT c.*, owners <= 1 AS live FROM c JOIN f USING (v) WHERE kind < 3 OR owners <= 1 OR assigned),
+f AS (
+  SELECT v, count(DISTINCT coalesce(source, chr(1))) AS owners, count(DISTINCT (coalesce(source, chr(1)), coalesce(lang, chr(1)))) AS repositories, max(kind = 0) AS assigned FROM c GROUP BY v
+),
+j AS (SELECT * FROM (SELECT c.*, owners, repositories, owners <= 1 AND repositories <= 2 AS live, assigned FROM c JOIN f USING (v)) WHERE kind < 3 OR live OR assigned),
 x AS (
   SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
          string_agg(['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
          string_agg(['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans,
-         count(*) FILTER (kind = 3) AS n_owned, count(*) FILTER (kind < 3 AND live) AS n_live, count(*) FILTER (kind < 3 AND NOT live) AS n_example
+         count(*) FILTER (kind = 3) AS n_owned, count(*) FILTER (kind < 3 AND live) AS n_live, count(*) FILTER (kind < 3 AND NOT live) AS n_example,
+         max(owners) AS max_owners, max(repositories) AS max_repositories
   FROM j GROUP BY r
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-       coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+       coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example,
+       coalesce(max_owners, 0) AS max_owners, coalesce(max_repositories, 0) AS max_repositories
 FROM d LEFT JOIN x USING (r)
 """
 

@@ -29,13 +29,6 @@ def op2_token_files(spark, sf_dir):
 def op3_secret_scan(spark, sf_dir):
     from .secrets import secret_scan
 
-    return secret_scan(table(spark, sf_dir, "documents"), owner_col="source", repository_cols=("source", "lang")).drop("max_owners", "max_repositories")
-
-
-def op3_secret_scan_spread(spark, sf_dir):
-    """As op3_secret_scan, with the most owners and repositories that hold a value of the row."""
-    from .secrets import secret_scan
-
     return secret_scan(table(spark, sf_dir, "documents"), owner_col="source", repository_cols=("source", "lang"))
 
 

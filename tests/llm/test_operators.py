@@ -290,10 +290,19 @@ def test_secret_scan():
 
 def test_secret_scan_returns_owners_and_repositories(tmp_path):
     value = "Dd4Dd4Dd4Dd4Dd4Dd4Dd4"
-    rows = [(1, f"see {value}", "hot", "en"), (2, f"see {value}", "hot", "fr"), (3, f"see {value}", "hot", "es"), (4, "deadbeefdeadbeef0", "a", "en"), (5, "deadbeefdeadbeef0", "b", "en"), (6, "nothing", "a", "en")]
+    rows = [(1, f"see {value}", "hot", "en"), (2, f"see {value}", "hot", "fr"), (3, f"see {value}", "hot", "es"), (4, "deadbeefdeadbeef0", "a", "en"), (5, "deadbeefdeadbeef0", "b", "en"), (6, "nothing", "a", "en"), (7, "see Ee5Ee5Ee5Ee5Ee5Ee5Ee5", "a", "en")]
     session().createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.n_owned, r.n_live, r.n_example, r.max_owners, r.max_repositories) for r in queries()["op3_secret_scan_spread"](session(), str(tmp_path)).collect()}
-    assert got == {1: (1, 0, 0, 1, 3), 2: (1, 0, 0, 1, 3), 3: (1, 0, 0, 1, 3), 4: (0, 0, 1, 2, 2), 5: (0, 0, 1, 2, 2), 6: (0, 0, 0, 0, 0)}
+    got = {r.doc_id: (r.n_owned, r.n_live, r.n_example, r.max_owners, r.max_repositories) for r in queries()["op3_secret_scan"](session(), str(tmp_path)).collect()}
+    assert got == {1: (0, 0, 0, 0, 0), 2: (0, 0, 0, 0, 0), 3: (0, 0, 0, 0, 0), 4: (0, 0, 1, 2, 2), 5: (0, 0, 1, 2, 2), 6: (0, 0, 0, 0, 0), 7: (1, 0, 0, 1, 1)}  # three repositories of one owner copy the first value
+
+
+def test_secret_scan_of_a_text_of_matches_is_linear():
+    import time
+
+    text = "deadbeefdeadbeef0 " * 290_000  # 5 MB
+    began = time.time()
+    row = secret_scan(table([(1, text, "a")])).head()
+    assert row.n_hex == 290_000 and row.spans.endswith(f"hex:{289_999 * 18}:{289_999 * 18 + 17}") and time.time() - began < 60
 
 
 def labelled(n=240):
