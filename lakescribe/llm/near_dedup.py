@@ -118,8 +118,8 @@ def survivors(sig: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarra
         a, b = a[keep], b[keep]
         matches = np.zeros(len(a), dtype=np.int32)
         for k, least in enumerate(needed):
-            part = slice(k * BATCH, (k + 1) * BATCH)
-            matches += (sig[a, part] == sig[b, part]).sum(1, dtype=np.int32)
+            batch = slice(k * BATCH, (k + 1) * BATCH)
+            matches += (sig[a, batch] == sig[b, batch]).sum(1, dtype=np.int32)
             keep = matches >= least
             a, b, matches = a[keep], b[keep], matches[keep]
         found.append((a, b, matches))
