@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 
-KEPT_PIECES = 450_000
+KEPT_PIECES = 600_000
 KEPT_LENGTH = 40
 BATCH_BYTES = 1 << 20
 
@@ -36,13 +36,14 @@ class PieceEncoder:
         self.dtype = np.dtype(f"<u{self.width}")
         self.safe = check_safe(spec)
         self.kept: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         #: Whether an id's token begins with the byte-level vocabularies' sign for a space: in texts cut at safe boundaries, only the first token of a piece does.
         self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         special = [t["content"] for t in spec.get("added_tokens", [])]
-        #: Pieces that go to the library one by one: white space inside, or a special string's first two characters.
-        self.odd = re.compile("|".join([r"\s", OTHER_SPACE.pattern, *sorted({re.escape(x[:2]) for x in special})]))
+        #: Pieces that go to the library one by one: a space inside, or a special string's first two characters.
+        self.odd = re.compile("|".join([" ", *sorted({re.escape(x[:2]) for x in special})]))
 
     def encode_whole(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -58,20 +59,34 @@ class PieceEncoder:
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of distinct pieces, each as it stands after a space."""
         out: dict[str, bytes] = {}
-        odd = self.odd.search
-        plain = [p for p in pieces if not odd(p)]
+        odd, ends_in_signs, kept, tails = self.odd.search, ENDS_IN_SIGNS.fullmatch, self.kept, self.tails
+        plain, with_tail = [], []
+        for piece in pieces:
+            if not odd(piece):
+                if m := ends_in_signs(piece):
+                    with_tail.append((piece, m[1], m[2]))
+                else:
+                    plain.append(piece)
+        # a word and the signs after it are tokens apart, and most words are known
+        plain += {core for _, core, _ in with_tail}.difference(kept, plain)
+        new = list({tail for _, _, tail in with_tail}.difference(tails))
+        tails.update(zip(new, (ids.tobytes() for ids in self.encode_whole(new))))
         for part in by_bytes(plain, BATCH_BYTES // 8):
             # many pieces are one text to the library; a boundary stands before each, and each has one space, its first character
             (ids,) = self.encode_whole([" " + " ".join(part)])
             places = np.flatnonzero(self.begins[ids])
             if len(places) != len(part):
-                plain, out = [], {}
+                out.clear()
                 break
             data, ends = ids.tobytes(), [*(places[1:] * self.width).tolist(), len(ids) * self.width]
             out.update(zip(part, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+        else:
+            out.update([(piece, (out.get(core) or kept[core]) + tails[tail]) for piece, core, tail in with_tail])
         whole = [p for p in pieces if p not in out]
         for piece, ids in zip(whole, self.encode_whole([" " + p for p in whole])):
             out[piece] = ids.tobytes()
+        if len(tails) > 10_000:
+            tails.clear()
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -95,6 +110,9 @@ class PieceEncoder:
         return out
 
 
+#: Pieces of letters with signs after them, which the published pattern takes for a word and one run of signs.
+SIGNS = r"""!"#$%&()*+,./:;<=>?@[\]^_`{|}~-"""
+ENDS_IN_SIGNS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([" + re.escape(SIGNS) + "]{1,8})")
 #: White space other than the space, beside which no boundary is.
 OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 

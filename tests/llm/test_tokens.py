@@ -24,19 +24,34 @@ def docs():
 
 def test_pieces_give_the_librarys_ids():
     rng = random.Random(1)
-    parts = ["a", "b", " ", "  ", "\n", "'s", "1", "é", ".", "\t", "<|endoftext|>", "\xa0", "漢", "\x1c", "​", "THE", "_", "<|", "²"]
+    parts = ["a", "b", " ", "  ", "\n", "'s", "1", "é", ".", "\t", "<|endoftext|>", "\xa0", "漢", "\x1c", "​", "THE", "_", "<|", "²", "word", ",", ".", "!?", "é", "\r", '"']
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(5000)]
     whole = Tokenizer.from_file(VOCABULARY).encode_batch(texts, add_special_tokens=False)
     assert [np.frombuffer(x, "<u2").tolist() for x in encoder(VOCABULARY).encode(texts)] == [e.ids for e in whole]
 
 
+def test_special_strings_of_other_vocabularies(tmp_path):
+    from tokenizers import AddedToken
+
+    library = Tokenizer.from_file(VOCABULARY)
+    library.add_special_tokens([AddedToken("[SEP]", special=True), AddedToken("zq", special=True)])
+    library.save(f"{tmp_path}/t.json")
+    texts = ["hello a [SEP] b", "x[SEP]y azqb zq. zq [SEP", "[SEP][SEP]  zq", "word, word. Word! it's \n\nnew.\nline a_b __ x-y"] * 3
+    got = [np.frombuffer(x, encoder(f"{tmp_path}/t.json").dtype).tolist() for x in encoder(f"{tmp_path}/t.json").encode(texts)]
+    assert encoder(f"{tmp_path}/t.json").safe and got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_counts(docs):
     want = [len(Tokenizer.from_file(VOCABULARY).encode(t or "", add_special_tokens=False).ids) for t in HARD]
     got = sorted(token_counts(docs, VOCABULARY).collect())
     assert [(r.doc_id, r.n_tokens, r.over_limit) for r in got] == [(i, n, n > 1024) for i, n in enumerate(want)]
     assert [r.n_bytes for r in got] == [len((t or "").encode()) for t in HARD]
     assert token_counts(docs.limit(0), VOCABULARY).count() == 0
-    assert token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).count() == len(HARD)
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = sorted(token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).collect())
+    assert [r.n_tokens for r in got] == [len(pieces.encode(t or "")) for t in HARD]
 
 
 def test_coding_round_trip():
