@@ -1,11 +1,11 @@
-"""Exact dedup by a tree merge of digest runs, in DataFrame operations only.
+"""Exact dedup by a tree merge of sorted digest runs, in DataFrame operations only.
 
 Every row is dealt to one of ``runs`` runs by a hash of its id, so that copies of one text, however
-many, are spread over all runs. Each run is reduced to one entry per digest. Then runs exchange their
-entries in rounds: in a round, ``fan_in`` neighbouring runs (a power of two, so that a round does the work of
-log2(fan_in) binomial rounds) merge into one, and entries of equal digest become one entry with the
-id to keep and the number of rows. After the last round one run holds one entry per distinct text.
-The answers go the way back: an entry per (run, digest) gets the id to keep, and rows meet the entry of
+many, are spread over all runs. Each run is reduced to one entry per digest, its head: the id to keep and the number of rows. Then runs exchange heads in
+rounds: in a round, ``fan_in`` neighbouring runs (a power of two, so that a round does the work of log2(fan_in) binomial rounds) become one. A run is laid out in slices of
+digest ranges, each sorted by digest; a task gets the same slice of the neighbours, has it in the order of digests, and goes over it once: entries of equal
+digest stand next to each other, and the first of them, which has the id to keep, stays as the head with the sum of their rows. So no task ever holds a whole run, and nothing but heads moves on.
+After the last round one run holds one entry per distinct text. The answers go the way back: an entry per (run, digest) gets the id to keep, and rows meet the entry of
 their own run. So no task ever holds more than runs' entries of one digest or a run's share of its rows.
 
 An entry's identity is (SHA-256, byte length, 64-bit hash): texts that only share a SHA-256 stay apart,
@@ -14,7 +14,7 @@ which is verified at each level as all three are keys of each merge. Only digest
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import salts_for, text_of, with_ids, written
@@ -22,17 +22,20 @@ from .common import salts_for, text_of, with_ids, written
 KEYS = ["_sha", "_len", "_xx"]
 
 
-def merge_runs(entries: DataFrame, keys: list[str], runs: int, fan_in: int, keep: str = "largest") -> DataFrame:
-    """Entries (_run, *keys, _keep, _n) of ``runs`` runs merged to one row per key, in rounds of ``fan_in``."""
-    pick = F.max if keep == "largest" else F.min
+def merge_runs(entries: DataFrame, keys: list[str], runs: int, fan_in: int, keep: str = "largest", slices: int = 64) -> DataFrame:
+    """Entries (_run, *keys, _keep, _n) of ``runs`` runs merged to one row per key, in rounds of ``fan_in``; the first key is binary and evenly distributed, as digests are."""
+    order = F.desc_nulls_last("_keep") if keep == "largest" else F.asc_nulls_last("_keep")
+    # the digest's first four bytes as a number, in so many ranges: the same order as the digests' own
+    lead = F.conv(F.hex(F.substring(keys[0], 1, 4)), 16, 10).cast("long")
+    entries = entries.withColumn("_slice", F.floor(lead * slices / (1 << 32)).cast("int"))
+    group = Window.partitionBy("_run", "_slice", *keys)
     while runs > 1:
         runs = -(-runs // fan_in)
-        entries = (
-            entries.withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int"))
-            .groupBy("_run", *keys)
-            .agg(pick("_keep").alias("_keep"), F.sum("_n").alias("_n"))
-        )
-    return entries.drop("_run")
+        entries = entries.withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int"))
+        # both windows find the task's rows in their order: there is one exchange and one sort in a round
+        entries = entries.repartition("_run", "_slice").sortWithinPartitions("_run", "_slice", *keys, order)
+        entries = entries.withColumn("_place", F.row_number().over(group.orderBy(order))).withColumn("_n", F.sum("_n").over(group)).filter("_place = 1").drop("_place")
+    return entries.drop("_run", "_slice")
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", runs: int | None = None, fan_in: int = 8) -> DataFrame:
@@ -55,11 +58,12 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ),
         "digests",
     )
-    runs = salts_for(rows.count(), base=fan_in) if runs is None else runs
+    count = rows.count()
+    runs = salts_for(count, base=fan_in) if runs is None else runs
     rows = rows.withColumn("_run", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(runs)).cast("int"))
     pick = F.max if keep == "largest" else F.min
     first = rows.groupBy("_run", *KEYS).agg(pick("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
-    merged = merge_runs(first, KEYS, runs, fan_in, keep)
+    merged = merge_runs(first, KEYS, runs, fan_in, keep, slices=salts_for(count))
     down = first.select("_run", *KEYS).join(merged, KEYS)
     out = rows.join(down, ["_run", *KEYS])
     return out.select(
