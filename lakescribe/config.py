@@ -13,7 +13,7 @@ from .functions import text as tx
 
 #: Columns of a chunk that results show, beside entities and custom fields, with their defaults.
 RESULT_DEFAULTS: dict[str, Any] = {
-    "text": "", "section_title": "", "content_type": "", "source_file": "", "document_type": "", "has_quantitative_data": False, "chunk_index": 0, "is_summary": False,
+    "text": "", "section_title": "", "content_type": "", "source_file": "", "document_type": "unknown", "has_quantitative_data": False, "chunk_index": 0, "is_summary": False,
     "context": "", "page_start": -1, "page_end": -1,
 }
 #: Columns that can always be filtered by.
@@ -93,7 +93,7 @@ class CorpusConfig:
 
     def defaults(self) -> dict[str, Any]:
         kinds = {"int": 0, "bool": False}
-        return {**{e: "" for e in self.entity_names}, **{f.name: kinds.get(f.type, "") for f in self.custom_fields}, **RESULT_DEFAULTS}
+        return {**{f.name: kinds.get(f.type, "") for f in self.custom_fields}, **{e: "" for e in self.entity_names}, **RESULT_DEFAULTS}
 
     def should_skip(self, title: Column) -> Column:
         return tx.skipped_title(title, self.skip_exact, self.skip_prefixes)
@@ -166,14 +166,19 @@ def strip_fences(answer: str) -> str:
     return answer.strip()
 
 
-def interpolated(template: str, config: CorpusConfig, default: str = "Search over {project_name}. {project_description}") -> str:
-    """A server's instructions with the project's names, entities, types and filters put in."""
-    listed = lambda names: ", ".join(names) or "(none)"
-    values = {
-        "project_name": config.name, "project_description": config.description, "language": config.language, "entity_names": listed(config.entity_names),
-        "document_types": listed([t.name for t in config.document_types]), "filters": listed(sorted(config.valid_filters)),
-    }
+#: What is said where the configuration has no instructions.
+DEFAULT_INSTRUCTIONS = "RAG server for {project_name}. {project_description}\n\nAvailable filters: {filter_list}\n\nDocument types:\n{document_types}"
+
+
+def interpolated(template: str, config: CorpusConfig, default: str = DEFAULT_INSTRUCTIONS) -> str:
+    """A server's instructions with the project's name and description, its entities and their number, filters, and types (one bullet a line) put in."""
+    types = [f"- {t.name}" for t in config.document_types]
+    # one replacement after another in this order, as the configuration format has it
+    values = [
+        ("project_name", config.name), ("project_description", config.description), ("entity_names", ", ".join(config.entity_names) or "(none)"), ("entity_count", str(len(config.entities))),
+        ("filter_list", ", ".join(sorted(config.valid_filters))), ("document_types", "\n".join(types) or "(none)"),
+    ]
     out = template or default
-    for key, value in values.items():
+    for key, value in values:
         out = out.replace(f"{{{key}}}", value)
     return out

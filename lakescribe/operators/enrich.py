@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .catalog import section_texts
+from ..sources.workspace import written
 from .manifest import cached
 
 
@@ -47,7 +49,10 @@ def embedded(chunks: DataFrame, encode: Callable[[list[str]], np.ndarray] | None
 
 
 def answered(rows: DataFrame, model: Callable[[str], str], prompt: Column, cache: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows with ``value``, the cache with what is new): the model is called for rows whose key is not cached, once per key; a failed call gives an empty value that is not kept."""
+    """(rows with ``value``, the cache with what is new): the model is called for rows whose key is not cached, once per key; a failed call gives an empty value that is not kept.
+
+    The answers are written before they are used, so that rows and cache have the same ones.
+    """
     hits, misses = cached(rows, cache, text_col)
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,10 +66,27 @@ def answered(rows: DataFrame, model: Callable[[str], str], prompt: Column, cache
             yield pd.DataFrame({"key": pdf["key"], "value": values})
 
     asked = misses.withColumn("prompt", prompt).groupBy("key").agg(F.min("prompt").alias("prompt")).mapInPandas(call, "key string, value string")
+    asked = written(asked, "answers")
     done = misses.join(asked, "key", "left").withColumn("value", F.coalesce("value", F.lit("")))
     return hits.unionByName(done), cache.unionByName(asked.filter("value <> ''"))
 
 
+def with_waits(model: Callable[[str], str], tries: int = 3, first: float = 5.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
+    """``model`` asked again where it is rate-limited (429 in what it raises), after 5 and 10 seconds; anything else, and the last try, raises."""
+
+    def ask(prompt: str) -> str:
+        for attempt in range(tries):
+            try:
+                return model(prompt)
+            except Exception as e:
+                if "429" not in str(e) or attempt == tries - 1:
+                    raise
+                sleep(first * 2**attempt)
+        raise ValueError("tries must be positive")
+
+    return ask
+
+
 def context_prompt(title: Column, excerpt: Column, chunk: Column) -> Column:
     return F.concat(F.lit("Document: "), title, F.lit("\n\nDocument text:\n"), F.substring(excerpt, 1, 3000), F.lit("\n\nPassage:\n"), F.substring(chunk, 1, 2000), F.lit("\n\nSay in two or three sentences what the passage is about within the document."))
 

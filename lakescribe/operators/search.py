@@ -7,11 +7,13 @@ with a rank limit, which Spark applies before the shuffle, so only a few rows pe
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.workspace import new_path
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -53,43 +55,73 @@ def nearest(chunks: DataFrame, vector: Sequence[float], k: int, metric: str = "c
     return chunks.withColumn("score", score).drop("vector").orderBy(F.desc("score"), "chunk_id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
 
 
+@dataclass(frozen=True)
+class TextIndex:
+    """A full-text index: ``postings`` (term, chunk_id, tf, doc_len), the number of chunks and their average length."""
+
+    postings: DataFrame
+    n: int
+    avg_len: float
+
+
 def postings(chunks: DataFrame, text_col: str = "text") -> DataFrame:
-    """The full-text index: (term, chunk_id, tf, doc_len). One exchange, by chunk and term, of counts that are summed before it."""
+    """(term, chunk_id, tf, doc_len). One exchange, by chunk and term, of counts that are summed before it. A chunk without words has one row without a term."""
     terms = chunks.select("chunk_id", tx.search_terms(F.coalesce(F.col(text_col), F.lit(""))).alias("_terms"))
-    flat = terms.select("chunk_id", F.size("_terms").alias("doc_len"), F.explode("_terms").alias("term"))
+    flat = terms.select("chunk_id", F.size("_terms").alias("doc_len"), F.explode_outer("_terms").alias("term"))
     return flat.groupBy("term", "chunk_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def index_statistics(chunks: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row: (n, avg_len) of the indexed chunks."""
-    n = F.size(tx.search_terms(F.coalesce(F.col(text_col), F.lit(""))))
-    return chunks.select(n.alias("_n")).agg(F.count(F.lit(1)).alias("n"), F.avg("_n").alias("avg_len"))
+def write_index(chunks: DataFrame, path: str, text_col: str = "text") -> TextIndex:
+    """Builds the index of ``chunks`` and replaces what is at ``path``: texts are split once, here, and never at query time.
+
+    Files are sorted by term, so that a query's terms are found by the files' statistics. The corpus' numbers lie beside the postings, one row.
+    """
+    spark = chunks.sparkSession
+    postings(chunks, text_col).sortWithinPartitions("term").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+    lengths = spark.read.parquet(f"{path}/postings").groupBy("chunk_id").agg(F.max("doc_len").alias("doc_len"))
+    lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avg_len")).write.mode("overwrite").parquet(f"{path}/statistics")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> TextIndex:
+    row = spark.read.parquet(f"{path}/statistics").head()
+    return TextIndex(spark.read.parquet(f"{path}/postings"), row["n"], row["avg_len"])
+
 
+def rebuild_index(chunks: DataFrame, path: str, sanity: str = "inundaciones", limit: int = 3) -> tuple[int, DataFrame]:
+    """Builds the index anew and tries it: the number of chunks, and the best of them for ``sanity``. Without chunks there is nothing to build: ValueError."""
+    if not chunks.select("chunk_id").head(1):
+        raise ValueError("no chunks to index")
+    index = write_index(chunks, path)
+    queries = chunks.sparkSession.createDataFrame([("0", sanity)], "query_id string, query string")
+    return index.n, text_search(chunks, queries, limit, index)
 
-def bm25(index: DataFrame, statistics: DataFrame, queries: DataFrame) -> DataFrame:
+
+def bm25(index: TextIndex, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) of the chunks that hold any of a query's terms; queries are (query_id, query).
 
-    The queries' distinct terms are sent to all executors (they are the stated, small side), so the index is reduced to them where it lies, before anything is exchanged.
+    The queries' distinct terms meet the postings by a join that Spark sends to all executors while they are few by its own measure; the index is reduced to them where it lies.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tx.search_terms(F.col("query")))).alias("term"))
-    hits = index.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    hits = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = frequency.join(F.broadcast(statistics)).select("term", "avg_len", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weights = terms.join(idf, "term")
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    return hits.join(F.broadcast(weights), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("idf") * tf), 9).alias("score"))
+    weights = terms.join(frequency, "term").select("query_id", "term", F.log1p((F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(float(index.avg_len))))
+    return hits.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("idf") * tf), 9).alias("score"))
 
 
-def text_search(chunks: DataFrame, queries: DataFrame, k: int, index: DataFrame | None = None, statistics: DataFrame | None = None, by: Sequence[str] = ("query_id",)) -> DataFrame:
+def text_search(chunks: DataFrame, queries: DataFrame, k: int, index: TextIndex | None = None, by: Sequence[str] = ("query_id",)) -> DataFrame:
     """The ``k`` best chunks of each query by BM25; scores are divided by the best of the returned rows.
 
-    ``index`` and ``statistics`` are those of the whole corpus; ``chunks`` may be filtered, the filter holds before the ranking.
+    ``index`` is that of the whole corpus (without one it is built in the shared folder); ``chunks`` may be filtered, the filter holds before the ranking. Ids alone are ranked: of the
+    chunks, only ids and the columns of ``by`` and of the filter are read until the best are known, whose texts are then fetched.
     """
-    index = postings(chunks) if index is None else index
-    statistics = index_statistics(chunks) if statistics is None else statistics
-    scored = bm25(index, statistics, queries).join(chunks, "chunk_id").filter("score > 0")
+    index = write_index(chunks, new_path(chunks.sparkSession, "text-index")) if index is None else index
+    own = [c for c in by if c != "query_id"]
+    scored = bm25(index, queries).join(chunks.select("chunk_id", *own), "chunk_id").filter("score > 0")
     best = top_k(scored, k, by)
-    return best.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy(*by)))
+    best = best.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy(*by)))
+    return chunks.drop(*own).join(best, "chunk_id")
 
 
 def marked(text: Column, is_summary: Column | None) -> Column:
@@ -169,10 +201,12 @@ def reranked(results: DataFrame, scores: DataFrame, k: int, by: Sequence[str] =
 
 
 def rerank_block(results: DataFrame, entities: Sequence[str] = ()) -> Column:
-    """A result as a scorer is shown it: number, entities, type and the first 500 characters."""
-    parts = [F.when(F.col(e) != "", F.concat(F.lit(f"{e}: "), F.col(e))) for e in entities if e in results.columns]
-    parts.append(F.concat(F.lit("Type: "), F.coalesce("document_type", F.lit(""))))
-    return F.concat(F.lit("["), (F.col("rank") - 1).cast("string"), F.lit("] "), F.concat_ws(" | ", *parts), F.lit("\n"), F.substring("text", 1, 500))
+    """A result as a scorer is shown it: number, entities (the type where there are none), type, section, and the first 500 characters."""
+    shown = lambda name, label: F.concat(F.lit(f"{label}: "), F.coalesce(F.col(name).cast("string"), F.lit("N/A")) if name in results.columns else F.lit("N/A"))
+    # fixed values: the labels that scorers are shown
+    first = [shown(e, e) for e in entities] or [shown("document_type", "Type")]
+    head = F.concat_ws(" | ", *first, shown("document_type", "Tipo"), shown("section_title", "Sección"))
+    return F.concat(F.lit("["), (F.col("rank") - 1).cast("string"), F.lit("] "), head, F.lit("\n"), F.substring(F.coalesce("text", F.lit("")), 1, 500))
 
 
 def absence(evidence: DataFrame, limit: int = 3, by: Sequence[str] = ("query_id",)) -> DataFrame:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import os
+import time
 from collections.abc import Callable, Sequence
+from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CorpusConfig
 from ..functions import text as tx
 from ..operators import catalog, filters, search
-from ..operators.enrich import hashed_embedding
+from ..operators.enrich import hashed_embedding, with_waits
+from ..sources.files import exists
+from ..sources.workspace import new_path
 
 MODES = ("semantic", "fts", "hybrid")
 MOST_VALUES, MOST_KEYWORDS, HYBRID_FETCH, RERANK_FETCH = 40, 10, 3, 4
@@ -24,14 +29,36 @@ class InvalidRequest(ValueError):
 class Engine:
     """Queries over chunks (chunk_id, text, vector, document_type, ...) with a full-text index and an encoder.
 
-    ``encode`` turns texts into vectors; without one, a stand-in that only knows shared words. ``scorer`` gives a score to each (query, text) for re-ranking.
+    ``encode`` turns texts into vectors; without one, a stand-in that only knows shared words. ``scorer`` answers a re-ranking prompt (query, shown results) with scores;
+    ``second_scorer`` is asked where that fails. Without a configuration there are no entities, boosts or filters but those that every table has. ``index`` is the stored
+    full-text index, built on first use where it is not given.
     """
 
-    def __init__(self, chunks: DataFrame, config: CorpusConfig, encode: Callable | None = None, scorer: Callable[[str, list[str]], str] | None = None, index: DataFrame | None = None):
-        self.chunks, self.config, self.spark = chunks, config, chunks.sparkSession
-        self.encode, self.scorer = encode or hashed_embedding, scorer
-        self.index = search.postings(chunks) if index is None else index
-        self.statistics = search.index_statistics(chunks)
+    def __init__(
+        self, chunks: DataFrame, config: CorpusConfig | None = None, encode: Callable | None = None, scorer: Callable[[str, list[str]], str] | None = None,
+        index: search.TextIndex | None = None, second_scorer: Callable[[str, list[str]], str] | None = None,
+    ):
+        self.chunks, self.config, self.spark = chunks, config or CorpusConfig("", "chunks"), chunks.sparkSession
+        # fixed values: what is shown of a chunk without a configuration
+        plain = ["text", "context", "section_title", "content_type", "has_quantitative_data", "document_type", "page_start", "page_end", "is_summary"]
+        self.result_fields = plain if config is None else config.result_fields
+        self.encode, self.scorers = encode or hashed_embedding, [s for s in (scorer, second_scorer) if s is not None]
+        self._index = index
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str | None = None, table: str | None = None, config: CorpusConfig | None = None, **options: Any) -> Engine:
+        """The engine over a stored table: ``path``/``table``, where the path is the one given, else CORPUS_DB_PATH, else a folder of the user's home, and
+        the table the one given, else the configuration's, else "chunks". A full-text index beside the table (``table``_fts) is opened with it. Only metadata is read."""
+        base = (path or os.environ.get("CORPUS_DB_PATH") or str(Path.home() / "corpus-rag" / "data")).rstrip("/")
+        place = f"{base}/{table or (config.table_name if config else 'chunks')}"
+        index = search.open_index(spark, f"{place}_fts") if "index" not in options and exists(spark, f"{place}_fts/statistics") else options.pop("index", None)
+        return cls(spark.read.parquet(place), config, index=index, **options)
+
+    @property
+    def index(self) -> search.TextIndex:
+        if self._index is None:
+            self._index = search.write_index(self.chunks, new_path(self.spark, "text-index"))
+        return self._index
 
     # -- search --
 
@@ -46,9 +73,10 @@ class Engine:
         rows = [(str(i), t, [float(x) for x in v]) for i, (t, v) in enumerate(zip(texts, vectors))]
         return self.spark.createDataFrame(rows, "query_id string, query string, query_vector array<float>")
 
-    def _mode(self, rows: DataFrame, queries: DataFrame, mode: str, limit: int, by: Sequence[str], boost: bool, semantic_weight: float, text_weight: float | None, rrf_k: int) -> DataFrame:
+    def found(self, rows: DataFrame, queries: DataFrame, mode: str, limit: int, by: Sequence[str] = ("query_id",), boost: bool = True, semantic_weight: float = 0.5, text_weight: float | None = None, rrf_k: int = search.RRF_K) -> DataFrame:
+        """The best of ``rows`` for each of (query_id, query, query_vector), all in one job."""
         vector = lambda k: search.vector_search(rows, queries, k, by)
-        text = lambda k: search.text_search(rows, queries.select("query_id", "query"), k, self.index, self.statistics, by)
+        text = lambda k: search.text_search(rows, queries.select("query_id", "query"), k, self.index, by)
         if mode == "semantic":
             out = vector(limit).drop("query")
         elif mode == "fts":
@@ -70,36 +98,38 @@ class Engine:
         if not query.strip():
             return rows.limit(0)
         fetch = limit * RERANK_FETCH if rerank else limit
-        found = self._mode(rows, self._queries([query]), mode if mode in MODES else "hybrid", fetch, ("query_id",), apply_precedence, semantic_weight, text_weight, rrf_k)
-        if rerank and self.scorer is not None:
-            found = self._reranked(query, found, limit)
+        found = self.found(rows, self._queries([query]), mode if mode in MODES else "hybrid", fetch, ("query_id",), apply_precedence, semantic_weight, text_weight, rrf_k)
+        if rerank and self.scorers:
+            found = self.reranked(query, found, limit)
         elif rerank:
             found = found.filter(F.col("rank") <= limit)
         extra = [c for c in ("score", "rank", "original_score", "precedence_boost", "rerank_score") if c in found.columns]
-        return search.shaped(found, self.config.result_fields, self.config.defaults(), extra)
-
-    def _reranked(self, query: str, found: DataFrame, limit: int) -> DataFrame:
-        """A scorer that fails, or whose answer cannot be read, leaves the order as it is."""
-        shown = found.orderBy("rank").select(search.rerank_block(found, self.config.entity_names).alias("b")).collect()
-        try:
-            answer = self.scorer(query, [r.b for r in shown])
-        except Exception:
-            return found.filter(F.col("rank") <= limit)
-        parsed = self.spark.createDataFrame([("0", answer)], "query_id string, answer string").select("query_id", search.parse_rerank_scores(F.col("answer")).alias("m"))
-        if parsed.head().m is None:
-            return found.filter(F.col("rank") <= limit)
-        scores = parsed.select("query_id", F.explode("m").alias("index", "rerank_score"))
-        return search.reranked(found, scores, limit)
+        return search.shaped(found, self.result_fields, self.config.defaults(), extra)
+
+    def reranked(self, query: str, found: DataFrame, limit: int) -> DataFrame:
+        """Scorers are asked in turn, each up to three times where it is rate-limited; where none gives an answer that can be read, the order stays as it is."""
+        shown = [r.b for r in found.orderBy("rank").select(search.rerank_block(found, self.config.entity_names).alias("b")).collect()]
+        for scorer in self.scorers:
+            try:
+                answer = with_waits(lambda q, ask=scorer: ask(q, shown), sleep=self.sleep)(query)
+            except Exception:
+                continue
+            parsed = self.spark.createDataFrame([("0", answer)], "query_id string, answer string").select("query_id", search.parse_rerank_scores(F.col("answer")).alias("m"))
+            if parsed.head().m is not None:
+                return search.reranked(found, parsed.select("query_id", F.explode("m").alias("index", "rerank_score")), limit)
+        return found.filter(F.col("rank") <= limit)
+
+    sleep = staticmethod(time.sleep)
 
     def search_batch(self, query: str, entity: str, values: Sequence[str], mode: str = "hybrid", limit_per_entity: int = 3, document_type: str | None = None, apply_precedence: bool = True) -> DataFrame:
-        """The best chunks of each of up to 40 values of an entity, in one job; the entity's column tells them apart. Summaries are included."""
-        if self.config.entity(entity) is None:
-            raise InvalidRequest(f"unknown entity {entity}")
+        """The best chunks of each of up to 40 values of an entity, or of any other valid filter, in one job; its column tells them apart. Summaries are included."""
+        if entity not in self.config.valid_filters:
+            raise InvalidRequest(f"'{entity}' is not a valid filter. Valid: {sorted(self.config.valid_filters)}")
         rows = filters.filtered(self.chunks, {"document_type": document_type}, self.config.valid_filters)
         if not query.strip() or not values:
             return rows.limit(0)
         rows = rows.filter(F.col(entity).isin(list(values)[:MOST_VALUES]))
-        return self._mode(rows, self._queries([query]), mode if mode in MODES else "hybrid", limit_per_entity, ("query_id", entity), apply_precedence, 0.5, None, search.RRF_K)
+        return self.found(rows, self._queries([query]), mode if mode in MODES else "hybrid", limit_per_entity, ("query_id", entity), apply_precedence, 0.5, None, search.RRF_K)
 
     def verify_absence(self, keywords: Sequence[str], limit: int = 3, entity: str | None = None, value: str | None = None) -> DataFrame:
         """Whether any of up to ten keywords occurs, with evidence: one row, none where nothing was found."""
@@ -108,7 +138,7 @@ class Engine:
         rows = self.chunks if entity is None else self.chunks.filter(F.col(entity) == value)
         words = [(str(i), i, k) for i, k in enumerate(list(keywords)[:MOST_KEYWORDS]) if k.strip()]
         queries = self.spark.createDataFrame(words, "query_id string, keyword_no int, keyword string")
-        found = search.text_search(rows, queries.select("query_id", F.col("keyword").alias("query")), limit, self.index, self.statistics)
+        found = search.text_search(rows, queries.select("query_id", F.col("keyword").alias("query")), limit, self.index)
         return search.absence(found.join(queries, "query_id").withColumn("query_id", F.lit("0")), limit).drop("query_id")
 
     # -- listings --

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import markdown as md
 from ..functions import text as tx
 from ..operators import catalog, chunking, enrich, evaluation, filters, layout, manifest, search
+from ..sources.workspace import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,16 +32,6 @@ def query(sql: str | None = None):
     return register
 
 
-def whole(name: str, changes: dict[str, str], **parameters) -> None:
-    """Registers ``name``_whole: the same query over all it is meant for, with its own SQL, which is that of ``name`` with ``changes``."""
-    sql = ORACLES[name]
-    for cut, all_of_it in changes.items():
-        assert cut in sql, (name, cut)
-        sql = sql.replace(cut, all_of_it)
-    f = QUERIES[name]
-    QUERIES[f"{name}_whole"], ORACLES[f"{name}_whole"] = lambda spark, d: f(spark, d, **parameters), sql
-
-
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -222,12 +213,10 @@ def context_line(spark, d):
     return t(spark, d, "documents").select("doc_id", tx.context_line([("city", F.col("lang")), ("region", F.col("source"))]).alias("context"))
 
 
-@query(r"SELECT doc_id, md5(substr(text, 1, 500)) AS key, substr(text, 1, 200) AS prefix, regexp_replace(substr(text, 1, 300), '([+\-!(){}\[\]^\"~*?:\\/])', '\\\1', 'g') AS escaped FROM documents")
-def keys_and_escapes(spark, d, of="substring(text, 1, 300)"):
-    return t(spark, d, "documents").select("doc_id", tx.cache_key(F.col("text")).alias("key"), tx.prefix_key(F.col("text")).alias("prefix"), tx.escape_search(F.expr(of)).alias("escaped"))
-
+@query(r"SELECT doc_id, md5(substr(text, 1, 500)) AS key, substr(text, 1, 200) AS prefix, regexp_replace(text, '([+\-!(){}\[\]^\"~*?:\\/])', '\\\1', 'g') AS escaped FROM documents")
+def keys_and_escapes(spark, d):
+    return t(spark, d, "documents").select("doc_id", tx.cache_key(F.col("text")).alias("key"), tx.prefix_key(F.col("text")).alias("prefix"), tx.escape_search(F.col("text")).alias("escaped"))
 
-whole("keys_and_escapes", {"substr(text, 1, 300)": "text"}, of="text")
 
 
 # ---- filters and listings ----
@@ -294,9 +283,8 @@ def top_per_group(spark, d):
 
 # ---- search ----
 
-# Query sets, as filters of ids. The plain queries take few; those named _whole take every row whose id is divisible by 50.
-FEW, EVERY_50TH = "{0} < 5", "{0} % 50 = 0"
-VQ = "vq AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 5)"
+# Query sets are every row whose id is divisible by 50.
+VQ = "vq AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0)"
 DOT = "list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * q[i]::DOUBLE))"
 
 
@@ -304,20 +292,20 @@ def vectors(spark, d):
     return t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("document_type"))
 
 
-def vector_queries(spark, d, which=FEW):
-    return t(spark, d, "embeddings").filter(which.format("vec_id")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+def vector_queries(spark, d):
+    return t(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 @query(f"""WITH {VQ}, s AS (SELECT query_id, vec_id AS chunk_id, label::VARCHAR AS document_type, round({DOT}, 6) AS score FROM embeddings, vq)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s) WHERE rank <= 10""")
-def vector_topk(spark, d, which=FEW):
-    return search.vector_search(vectors(spark, d), vector_queries(spark, d, which), 10)
+def vector_topk(spark, d):
+    return search.vector_search(vectors(spark, d), vector_queries(spark, d), 10)
 
 
 @query(f"""WITH {VQ}, s AS (SELECT query_id, vec_id AS chunk_id, label::VARCHAR AS document_type, round(2 * {DOT} - 1, 6) AS score FROM embeddings, vq WHERE label = 3)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s) WHERE rank <= 5""")
-def vector_filtered(spark, d, which=FEW):
-    return search.vector_search(filters.filtered(vectors(spark, d), {"document_type": "3"}, ["document_type"]), vector_queries(spark, d, which), 5, metric="l2sq")
+def vector_filtered(spark, d):
+    return search.vector_search(filters.filtered(vectors(spark, d), {"document_type": "3"}, ["document_type"]), vector_queries(spark, d), 5, metric="l2sq")
 
 
 def _bm25_sql(queries: str, where: str = "true") -> str:
@@ -333,11 +321,16 @@ tr AS (SELECT * FROM (SELECT query_id, chunk_id, text, document_type, lang, scor
 """
 
 
-BENCH = "SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id < 5"
+BENCH = "SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 50 = 0"
+
+
+def text_queries(spark, d):
+    return t(spark, d, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def text_queries(spark, d, which=FEW):
-    return t(spark, d, "benchmark").filter(which.format("item_id")).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+def indexed(chunks):
+    """The stored index of all chunks; each query builds it once and reads it from there."""
+    return search.write_index(chunks, new_path(chunks.sparkSession, "text-index"))
 
 
 def text_chunks(spark, d):
@@ -345,8 +338,8 @@ def text_chunks(spark, d):
 
 
 @query(f"WITH {_bm25_sql(BENCH)} x AS (SELECT * FROM tr WHERE rank <= 5) SELECT query_id, chunk_id, document_type, rank, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM x")
-def fts_topk(spark, d, which=FEW):
-    out = search.text_search(text_chunks(spark, d), text_queries(spark, d, which), 5)
+def fts_topk(spark, d):
+    out = search.text_search(text_chunks(spark, d), text_queries(spark, d), 5)
     return out.select("query_id", "chunk_id", "document_type", "rank", F.round("score", 6).alias("score"))
 
 
@@ -354,9 +347,9 @@ LANG = "lang = 'fr'"
 
 
 @query(f"WITH {_bm25_sql(BENCH, LANG)} x AS (SELECT * FROM tr WHERE rank <= 5) SELECT query_id, chunk_id, lang, rank, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM x")
-def fts_filtered(spark, d, which=FEW):
+def fts_filtered(spark, d):
     c = text_chunks(spark, d)
-    out = search.text_search(filters.filtered(c, {"lang": "fr"}, ["lang"]), text_queries(spark, d, which), 5, search.postings(c), search.index_statistics(c))
+    out = search.text_search(filters.filtered(c, {"lang": "fr"}, ["lang"]), text_queries(spark, d), 5, indexed(c))
     return out.select("query_id", "chunk_id", "lang", "rank", F.round("score", 6).alias("score"))
 
 
@@ -371,11 +364,11 @@ f AS (SELECT query_id, lang, k, sum(part) AS s, coalesce(arg_max(chunk_id, rank)
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, r0 NULLS LAST, r1 NULLS LAST)::INT AS rank FROM f),
 x AS (SELECT * FROM b WHERE rank <= 5)
 SELECT query_id, chunk_id, rank, round(s / max(s) OVER (PARTITION BY query_id), 6) AS score FROM x""")
-def hybrid_rrf(spark, d, which=FEW):
+def hybrid_rrf(spark, d):
     c = text_chunks(spark, d)
     both = c.join(vectors(spark, d).select("chunk_id", "vector"), "chunk_id")
-    sem = search.vector_search(both, vector_queries(spark, d, which), 15)
-    txt = search.text_search(both.drop("vector"), text_queries(spark, d, which), 15, search.postings(c), search.index_statistics(c))
+    sem = search.vector_search(both, vector_queries(spark, d), 15)
+    txt = search.text_search(both.drop("vector"), text_queries(spark, d), 15, indexed(c))
     names = ["query_id", "chunk_id", "text", "document_type", "lang", "score", "rank"]
     out = search.fuse(sem.select(names), txt.select(names), [F.col("lang"), tx.prefix_key(F.col("text"))], 5, semantic_weight=0.6)
     return out.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
@@ -385,19 +378,19 @@ def hybrid_rrf(spark, d, which=FEW):
 z AS (SELECT query_id, chunk_id, s AS original_score, {BOOST_SQL} * CASE WHEN chunk_id % 7 = 0 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS precedence_boost, rank AS r FROM y)
 SELECT query_id, chunk_id, original_score, precedence_boost, round(original_score * precedence_boost, 6) AS score,
   row_number() OVER (PARTITION BY query_id ORDER BY round(original_score * precedence_boost, 6) DESC, r)::INT AS rank FROM z""")
-def precedence_boost(spark, d, which=FEW):
-    found = search.text_search(text_chunks(spark, d), text_queries(spark, d, which), 10)
+def precedence_boost(spark, d):
+    found = search.text_search(text_chunks(spark, d), text_queries(spark, d), 10)
     found = found.withColumn("score", F.round("score", 6)).withColumn("is_summary", F.col("chunk_id") % 7 == 0)
     return search.boosted(found, BOOSTS).select("query_id", "chunk_id", "original_score", "precedence_boost", "score", "rank")
 
 
-@query(f"""WITH {_bm25_sql("SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id = 1")}
-g AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY raw DESC, chunk_id)::INT AS r FROM tr WHERE lang IN ('en', 'fr', 'es'))
-SELECT lang, chunk_id, r AS rank, round(raw / max(raw) OVER (PARTITION BY lang), 6) AS score FROM g WHERE r <= 3""")
-def search_batch(spark, d, which="{0} = 1", columns=("lang",)):
+@query(f"""WITH {_bm25_sql(BENCH)}
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY raw DESC, chunk_id)::INT AS r FROM tr WHERE lang IN ('en', 'fr', 'es'))
+SELECT query_id, lang, chunk_id, r AS rank, round(raw / max(raw) OVER (PARTITION BY query_id, lang), 6) AS score FROM g WHERE r <= 3""")
+def search_batch(spark, d):
     c = text_chunks(spark, d)
-    out = search.text_search(c.filter(F.col("lang").isin("en", "fr", "es")), text_queries(spark, d, which), 3, search.postings(c), search.index_statistics(c), by=("query_id", "lang"))
-    return out.select(*columns, "chunk_id", "rank", F.round("score", 6).alias("score"))
+    out = search.text_search(c.filter(F.col("lang").isin("en", "fr", "es")), text_queries(spark, d), 3, indexed(c), by=("query_id", "lang"))
+    return out.select("query_id", "lang", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 KEYWORDS = "SELECT * FROM (VALUES (0, 'the of'), (1, 'ciónes'), (2, 'zzzzqq'), (3, 'license')) AS v(query_id, query)"
@@ -415,22 +408,14 @@ def verify_absence(spark, d):
 
 @query(f"""WITH {_bm25_sql(BENCH)} x AS (SELECT * FROM tr WHERE rank <= 8), s AS (SELECT query_id, chunk_id, rank, CASE WHEN (rank - 1) % 3 = 0 THEN ((rank * 5 + query_id) % 10)::DOUBLE ELSE 0 END AS rerank_score FROM x)
 SELECT * FROM (SELECT query_id, chunk_id, rank, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank)::INT AS position FROM s) WHERE position <= 5""")
-def rerank_apply(spark, d, which=FEW):
-    found = search.text_search(text_chunks(spark, d), text_queries(spark, d, which), 8)
+def rerank_apply(spark, d):
+    found = search.text_search(text_chunks(spark, d), text_queries(spark, d), 8)
     entry = lambda i: F.format_string('{"index": %d, "score": %d}', F.lit(i), ((F.lit(i + 1) * 5 + F.col("query_id")) % 10).cast("int"))
-    answers = text_queries(spark, d, which).select("query_id", F.concat(F.lit("Scores: ["), F.concat_ws(", ", *map(entry, (0, 3, 6))), F.lit(", {")).alias("answer"))
+    answers = text_queries(spark, d).select("query_id", F.concat(F.lit("Scores: ["), F.concat_ws(", ", *map(entry, (0, 3, 6))), F.lit(", {")).alias("answer"))
     scores = answers.select("query_id", F.explode(search.parse_rerank_scores(F.col("answer"))).alias("index", "rerank_score"))
     return search.reranked(found, scores, 5).select("query_id", "chunk_id", "rank", "rerank_score", "position")
 
 
-for name in ("vector_topk", "vector_filtered"):
-    whole(name, {"vec_id < 5": "vec_id % 50 = 0"}, which=EVERY_50TH)
-for name in ("fts_topk", "fts_filtered", "precedence_boost", "rerank_apply"):
-    whole(name, {"item_id < 5": "item_id % 50 = 0"}, which=EVERY_50TH)
-whole("hybrid_rrf", {"vec_id < 5": "vec_id % 50 = 0", "item_id < 5": "item_id % 50 = 0"}, which=EVERY_50TH)
-whole("search_batch", {"item_id = 1": "item_id % 50 = 0", "PARTITION BY lang": "PARTITION BY query_id, lang", "SELECT lang,": "SELECT query_id, lang,"}, which=EVERY_50TH, columns=("query_id", "lang"))
-
-
 @query("""WITH e AS (SELECT text, doc_id, row_number() OVER (PARTITION BY substr(text, 1, 200) ORDER BY doc_id) AS n FROM documents) SELECT doc_id FROM e WHERE n = 1""")
 def dedup_prefix(spark, d):
     first = Window.partitionBy(F.xxhash64(tx.prefix_key(F.col("text"))), tx.prefix_key(F.col("text"))).orderBy("doc_id")
@@ -579,26 +564,22 @@ def page_markdown(spark, d):
     return layout.documents_markdown(layout.interleaved(parts), layout.titles(layout.with_levels(spans(spark, d))))
 
 
-@query(f"""WITH {SPANS}, u AS (SELECT doc, page, y0, 0 AS kind_no, seq, text AS md FROM s WHERE seq % 5 = 0 UNION ALL SELECT s_suppkey, 1, s_suppkey % 20 * 20.0::DOUBLE, 1, s_suppkey, 'table ' || s_suppkey FROM supplier)
+@query(f"""WITH {SPANS}, u AS (SELECT doc, page, y0, 0 AS kind_no, seq, text AS md FROM s UNION ALL SELECT s_suppkey, 1, s_suppkey % 20 * 20.0::DOUBLE, 1, s_suppkey, 'table ' || s_suppkey FROM supplier)
 SELECT doc, page, string_agg(md, E'\\n\\n' ORDER BY y0, kind_no, seq) AS md FROM u GROUP BY 1, 2""")
-def interleave(spark, d, which="seq % 5 = 0"):
-    text = spans(spark, d).filter(which).select("doc", "page", "y0", F.lit(0).alias("kind_no"), "seq", F.col("text").alias("md"))
+def interleave(spark, d):
+    text = spans(spark, d).select("doc", "page", "y0", F.lit(0).alias("kind_no"), "seq", F.col("text").alias("md"))
     tables = boxes(spark, d).select("doc", "page", "y0", F.lit(1).alias("kind_no"), F.col("doc").alias("seq"), F.concat(F.lit("table "), "doc").alias("md"))
     return layout.interleaved(text, tables)
 
 
-whole("interleave", {" WHERE seq % 5 = 0": ""}, which="true")
 
-
-@query("""WITH c AS (SELECT l_suppkey AS "table", l_orderkey AS row, l_linenumber AS col, max(CASE WHEN l_quantity > 30 THEN l_returnflag END) AS value FROM lineitem WHERE l_suppkey <= 20 GROUP BY 1, 2, 3),
+@query("""WITH c AS (SELECT l_suppkey AS "table", l_orderkey AS row, l_linenumber AS col, max(CASE WHEN l_quantity > 30 THEN l_returnflag END) AS value FROM lineitem GROUP BY 1, 2, 3),
 h AS (SELECT "table", row, col, last_value(value IGNORE NULLS) OVER (PARTITION BY "table", row ORDER BY col ROWS UNBOUNDED PRECEDING) AS value FROM c)
 SELECT "table", row, col, last_value(value IGNORE NULLS) OVER (PARTITION BY "table", col ORDER BY row ROWS UNBOUNDED PRECEDING) AS value FROM h""")
-def forward_fill(spark, d, which="table <= 20"):
+def forward_fill(spark, d):
     cells = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("table"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"))
-    return layout.forward_filled(cells.agg(F.max(F.when(F.col("l_quantity") > 30, F.col("l_returnflag"))).alias("value")).filter(which))
-
+    return layout.forward_filled(cells.agg(F.max(F.when(F.col("l_quantity") > 30, F.col("l_returnflag"))).alias("value")))
 
-whole("forward_fill", {" WHERE l_suppkey <= 20": ""}, which="true")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 20 > 10 AND cov < 0.5 THEN 'native_text' WHEN p_size % 20 > 10 THEN 'mixed' WHEN cov > 0.95 OR p_size % 3 > 0 THEN 'scanned' ELSE 'empty' END AS page_type

@@ -21,19 +21,8 @@ def test_entry_has_columns():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-@pytest.mark.parametrize(("name", "table", "key"), [("vector_topk_whole", "embeddings", "vec_id"), ("fts_topk_whole", "benchmark", "item_id"), ("search_batch_whole", "benchmark", "item_id")])
-def test_whole_searches_take_every_row_divisible_by_50(name, table, key):
+@pytest.mark.parametrize(("name", "table", "key"), [("vector_topk", "embeddings", "vec_id"), ("fts_topk", "benchmark", "item_id"), ("search_batch", "benchmark", "item_id")])
+def test_searches_take_every_row_divisible_by_50(name, table, key):
     spark = session()
     want = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect() if r[0] % 50 == 0}
     assert {r.query_id for r in entry.queries()[name](spark, SF).collect()} == want
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-def test_whole_layout_and_keys_take_all_rows():
-    spark = session()
-    lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_linenumber").distinct()
-    assert entry.queries()["forward_fill_whole"](spark, SF).count() == lines.count()
-    pages = {(r[0], r[1]) for r in lines.select("l_suppkey", "l_linenumber").collect()}
-    assert pages <= {(r.doc, r.page) for r in entry.queries()["interleave_whole"](spark, SF).select("doc", "page").collect()}
-    texts = {r.doc_id: len(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    assert all(len(r.escaped) >= texts[r.doc_id] for r in entry.queries()["keys_and_escapes_whole"](spark, SF).collect())
