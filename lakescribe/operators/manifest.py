@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import exists
+from ..sources.workspace import written
+
 MANIFEST = "key string, mtime double, md5 string, chunk_count long, document_type string"
 
 
@@ -49,11 +52,31 @@ def empty_manifest(spark: SparkSession) -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The stored manifest, empty where there is none."""
-    from ..sources.files import exists
-
     return spark.read.schema(MANIFEST).parquet(path) if exists(spark, path) else empty_manifest(spark)
 
 
+def write_manifest(files: DataFrame, path: str) -> None:
+    """The manifest with the time of writing (UTC); it must not be read from ``path`` itself while it is written."""
+    rows = written(files, "manifest").withColumn("indexed_at", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    rows.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+CACHE = "key string, value string"
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The stored answers (key, value); nothing where there are none or where they cannot be read."""
+    try:
+        return spark.read.schema(CACHE).parquet(path) if exists(spark, path) and spark.read.schema(CACHE).parquet(path).head(1) else spark.createDataFrame([], CACHE)
+    except Exception:  # a broken cache is an empty one, answers are asked for again
+        return spark.createDataFrame([], CACHE)
+
+
+def write_cache(cache: DataFrame, path: str) -> None:
+    """Replaces the stored answers, one per key; Spark commits the files together."""
+    written(cache.groupBy("key").agg(F.max("value").alias("value")), "cache").write.mode("overwrite").parquet(path)
+
+
 def cached(rows: DataFrame, cache: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(hits, misses) of rows against a cache (key, value) by the digest of their first 500 characters; hits have the value."""
     from ..functions.text import cache_key

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,13 +65,49 @@ def overwrite_types(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_type").parquet(path)
 
 
+def replace_types(chunks: DataFrame, path: str, types: Sequence[str]) -> None:
+    """The partitions of ``types`` become ``chunks``; a type of which no chunk is left loses its partition. ``chunks`` must not be read from ``path`` itself."""
+    spark = chunks.sparkSession
+    left = {r[0] for r in chunks.select("document_type").distinct().collect()}
+    overwrite_types(chunks, path)
+    for name in set(types) - left:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/document_type={name}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def append_chunks(chunks: DataFrame, path: str) -> None:
+    """Appends to the chunk table, columns by name: those that the table has and ``chunks`` has not are null, others are an error."""
+    stored = chunks.sparkSession.read.parquet(path)
+    if unknown := set(chunks.columns) - set(stored.columns):
+        raise ValueError(f"the table has no column {', '.join(sorted(unknown))}")
+    have = set(chunks.columns)
+    rows = chunks.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in stored.schema.fields])
+    rows.write.mode("append").partitionBy("document_type").parquet(path)
+
+
+def sample_directory(spark: SparkSession, path: str, max_files: int = 5, max_words: int = 2000) -> DataFrame:
+    """(file_name, directory, text) of the first files of a directory by name, cut to ``max_words`` words; bytes that are no UTF-8 are replaced. Nothing where there is no directory.
+
+    Names are ranked before contents are read, so only these files are opened.
+    """
+    from ..operators.catalog import sampled_files
+
+    if not exists(spark, path):
+        return spark.createDataFrame([], "file_name string, directory string, text string")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(path)
+    names = [r.path for r in files.select("path").orderBy("path").limit(max_files).collect()]
+    chosen = files.filter(F.col("path").isin(names)).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return sampled_files(chosen, max_files, max_words).withColumn("directory", F.lit(path.rstrip("/").rsplit("/", 1)[-1]))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_markdown(documents: DataFrame, path: str) -> None:
-    """(doc, md) as text files, a partition per document."""
-    documents.select(F.col("md").alias("value"), F.col("doc").cast("string").alias("doc")).write.mode("overwrite").partitionBy("doc").text(path)
+def write_markdown(documents: DataFrame, path: str, folders: int = 64) -> None:
+    """(doc, md) as a text file per document, dealt to ``folders`` folders by the document's hash, so that a folder's listing stays short."""
+    rows = documents.select(F.col("md").alias("value"), F.pmod(F.xxhash64(F.col("doc").cast("string")), F.lit(folders)).alias("folder"), F.col("doc").cast("string").alias("doc"))
+    rows.write.mode("overwrite").partitionBy("folder", "doc").text(path)
 
 
 def document_json(tables: DataFrame, images: DataFrame, pages: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunking import process_documents
 from ..operators.manifest import without_files
-from ..sources.files import exists
+from ..sources.files import exists, replace_types
+from ..sources.workspace import written
 
 
 def stream_markdown(spark: SparkSession, path: str, document_type: str) -> DataFrame:
@@ -20,19 +21,20 @@ def stream_markdown(spark: SparkSession, path: str, document_type: str) -> DataF
 
 
 def upsert(table: str, entities: Sequence[str] = ()):
-    """A batch function that puts a batch's chunks in place of those files' chunks; each batch writes a new version beside the last one, so a repeated batch gives the same table.
+    """A batch function that puts a batch's chunks in place of those files' chunks. Only the partitions of the batch's document types are rewritten, and nothing is kept twice.
 
-    Versions are folders ``table``/version=N with N the batch; the largest is current.
+    A batch that is repeated gives the same table.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        types = [r[0] for r in batch.select("document_type").distinct().collect()]  # as many as streams feed the table
         chunks = process_documents(batch, entities)
-        before = f"{table}/version={number - 1}"
-        if number > 0 and exists(spark, before):
+        if exists(spark, table):
             gone = batch.select(F.concat_ws("/", "document_type", "source_file").alias("key")).distinct()
-            chunks = without_files(spark.read.parquet(before), gone).unionByName(chunks, allowMissingColumns=True)
-        chunks.write.mode("overwrite").parquet(f"{table}/version={number}")
+            old = spark.read.parquet(table).filter(F.col("document_type").isin(types))
+            chunks = without_files(old, gone).unionByName(chunks, allowMissingColumns=True)
+        replace_types(written(chunks, "batch"), table, types)
 
     return run
 

@@ -64,7 +64,7 @@ def test_extraction(spark, config):
 
 def test_text_helpers(config):
     assert strip_fences("a\n```yaml\nx: 1\n```\nb") == strip_fences("```\nx: 1\n```") == strip_fences(" x: 1 ") == "x: 1"
-    assert interpolated("{project_name}: {entity_names}; {document_types}", config) == "Cities: city, region; report, memo"
+    assert interpolated("{project_name}: {entity_names}; {document_types}", config) == "Cities: city, region; - report\n- memo"
     assert "(none)" in interpolated("{entity_names}", parse_config({"project": {"name": "n", "table_name": "t"}})) and "Cities" in interpolated("", config)
 
 
@@ -169,7 +169,7 @@ def test_files_manifest_and_stream(spark, tmp_path):
     assert manifest.read_manifest(spark, f"{tmp_path}/nothing").count() == 0
     query = ingest(stream_markdown(spark, f"file://{docs}", "report"), f"file://{tmp_path}/table", f"file://{tmp_path}/check")
     query.awaitTermination(120)
-    assert {r.section_title for r in spark.read.parquet(f"{tmp_path}/table/version=0").collect()} == {"Changed", "Three"}
+    assert {r.section_title for r in spark.read.parquet(f"{tmp_path}/table").collect()} == {"Changed", "Three"}
     assert files.exists(spark, f"file://{tmp_path}/chunks/document_type=report")
 
 
