@@ -5,9 +5,9 @@ parts and repeated groups, and nothing else. It begins as the first page and is
 only one side has become optional; neighbours of equal shape become repeated groups. Aligning two wrappers is the same operation, so each
 task folds its own pages into a wrapper per host, and hosts' wrappers are aligned in two more levels; pages are not shuffled for it.
 
-Text is taken from the page's article (or main element), or from the whole page where it has neither. There the wrapper decides: texts that stand at the same place of all
-pages of the host are the template, and blocks that hold nothing else are left out; a block with a slot stays whole. Lists of names add to it: parts that are named as navigation, adverts, forms, comments
-and the like are left out in any case. Outside articles, blocks that are mostly links are menus.
+The article's slots are derived from a host's expression, once for all of its pages: those under an article (or main element), without parts that are named as navigation, adverts, forms, comments
+and the like, and without constants, which are texts that stand at the same place of all pages: the host's template. A page's main text is what it has in these slots. A page without an article has the
+slots outside; there, blocks that are mostly links are menus. A block that holds constants only is left out; a block with a slot stays whole.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,10 +27,11 @@ from pyspark.sql import types as T
 
 from .common import slices, text_of, written
 
-#: A wrapper needs so many pages of different main texts before a constant text counts as the host's template.
+#: Evidence: a constant text counts as the host's template once pages of so many different main texts have it.
 ENOUGH_PAGES = 5
-#: The model's bounds: elements deeper than this are taken for children of the last, and a wrapper keeps so many kinds of children of an element.
-DEPTH, CHILDREN = 40, 48
+#: An element's children beyond this number of places are one repeated group of optional kinds, in no order; nothing is left out of a wrapper but what lies deeper than DEPTH elements,
+#: where a page's own path decides by the same rules.
+DEPTH, CHILDREN = 200, 48
 #: Wrappers up to this size in all are sent to all executors; more are joined by host.
 SMALL_BYTES = 32 << 20
 
@@ -112,7 +114,7 @@ def names_of(attributes: str) -> tuple[set[str], bool]:
 def parts(source: str) -> list[tuple]:
     """The page in order: ("open", shape, name, words, hidden), ("close",), ("text", text), with implied ends made plain.
 
-    shape is the tag with the words of its class and id.
+    shape is the tag (with "!" where it is hidden) with the words of its class, id and role.
     """
     out: list[tuple] = []
     stack: list[str] = []
@@ -132,7 +134,7 @@ def parts(source: str) -> list[tuple]:
                 if same in stack and not any(x in ("ul", "ol", "table", "dl", "select") for x in stack[len(stack) - stack[::-1].index(same) :]):
                     pop(len(stack) - 1 - stack[::-1].index(same))
             words, hidden = names_of(value) if value and not value.isspace() else (set(), False)
-            out.append(("open", ".".join([name, *sorted(w for w in words if w and not w.isdigit())]), name, words, hidden))
+            out.append(("open", ".".join([name + "!" * hidden, *sorted(w for w in words if w and not w.isdigit())]), name, words, hidden))
             if name in VOID or value.endswith("/"):
                 out.append(("close",))
             else:
@@ -146,6 +148,8 @@ def parts(source: str) -> list[tuple]:
 # ---- wrappers: [shape, optional, repeated, text or None, children]; shape "#" is a text, "()" a group ----
 
 VARIES = None
+#: Marks the group of an element's children that have no place of their own.
+REST = "..."
 
 
 def mark(text: str) -> str:
@@ -154,7 +158,7 @@ def mark(text: str) -> str:
 
 
 def key(node: list) -> str:
-    return node[0] if node[0] != "()" else "(" + " ".join(key(k) for k in node[4]) + ")"
+    return node[0] if node[0] != "()" else REST if node[3] == REST else "(" + " ".join(key(k) for k in node[4]) + ")"
 
 
 def wrapper_of(page: list[tuple]) -> list:
@@ -224,6 +228,8 @@ def grouped(children: list[list], other: list[list]) -> list[list]:
 def align(a: list, b: list) -> list:
     """The least wrapper that has both, which are of equal shape."""
     out = [a[0], a[1] or b[1], a[2] or b[2], a[3] if a[3] == b[3] else VARIES, []]
+    if a[3] == REST and b[3] == REST:
+        return rest_of([*a[4], *b[4]])
     left, right = grouped(a[4], b[4]), grouped(b[4], a[4])
     x, y = [key(k) for k in left], [key(k) for k in right]
     if x == y:
@@ -247,18 +253,30 @@ def align(a: list, b: list) -> list:
             j += 1
     children = folded(children)
     if len(children) > CHILDREN:
-        required = sum(not c[1] for c in children)
-        room = max(0, CHILDREN - required)
-        kept = []
-        for c in children:
-            if not c[1] or room > 0:
-                kept.append(c)
-                room -= c[1]
-        children = kept
+        # optional children that come last lose their places
+        optional = [k for k, c in enumerate(children) if c[1]]
+        moved = set(optional[-(len(children) - CHILDREN + 1) :])
+        if moved:
+            children = [*(c for k, c in enumerate(children) if k not in moved), rest_of([children[k] for k in sorted(moved)])]
     out[4] = children
     return out
 
 
+def rest_of(nodes: list[list]) -> list:
+    """The repeated group of optional kinds that has all of ``nodes``, one of each kind."""
+    kinds: dict[str, list] = {}
+    todo = list(nodes)
+    while todo:
+        node = todo.pop(0)
+        if node[0] == "()":
+            todo[:0] = node[4]
+        elif node[0] in kinds:
+            kinds[node[0]] = align(kinds[node[0]], node)
+        else:
+            kinds[node[0]] = node
+    return ["()", True, True, REST, [[k[0], True, *k[2:]] for k in kinds.values()]]
+
+
 def expression(node: list) -> str:
     """A wrapper as text: <tag> ... </tag>, #slot, ( )?, ( )+."""
     inner = " ".join(expression(k) for k in node[4])
@@ -267,28 +285,61 @@ def expression(node: list) -> str:
     return f"( {body} ){sign}" if sign else body
 
 
-def template_texts(wrapper: list, pages: int) -> set[tuple[str, str]]:
-    """(path, mark) of the texts that stand at the same place of every page; ``pages`` of different main texts have been seen."""
-    out: set[tuple[str, str]] = set()
-    if pages < ENOUGH_PAGES:
-        return out
-    todo = [(wrapper, "")]
+@lru_cache(maxsize=100_000)
+def traits(shape: str) -> tuple[str, bool, bool, bool, bool, bool]:
+    """Of an element's shape: tag, whether it is a block, is left out by its tag, name or being hidden, is left out outside articles, begins an article, is shown."""
+    tag, *words = shape.split(".")
+    name, hidden, named = tag.rstrip("!"), tag.endswith("!"), set(words)
+    plain = name not in ("body", "html")
+    starts = name in ("article", "main") or (name in ("div", "section") and "main" in named and "content" in named)
+    out = hidden or name in LEFT_OUT or (bool(named & NAMED) and plain and name not in ("article", "main"))
+    return name, name not in INLINE, out, bool(named & NAMED_OUTSIDE) and plain, starts, not hidden
+
+
+#: What is known of a place from the elements above it: left out, in an article, in an article's header, in a link.
+NOWHERE = (False, False, False, False)
+
+
+def below(place: tuple[bool, bool, bool, bool], shape: str) -> tuple[bool, bool, bool, bool]:
+    """The place inside an element of ``shape`` that stands at ``place``."""
+    out, inside, header, link = place
+    name, block, left_out, left_outside, starts, _ = traits(shape)
+    within = (inside or (starts and not out)) and not starts
+    inside = inside or (starts and not out)
+    out = out or left_out or (left_outside and not inside)
+    if name == "header":
+        header, out = header or within, out or not within
+    elif header and within and block and name not in HEADINGS and name not in ("div", "hgroup"):
+        out = True
+    return out, inside, header, link or name == "a"
+
+
+def slots_of(wrapper: list, different: int) -> tuple[dict[str, tuple[bool, bool, bool, bool]], set[tuple[str, str]]]:
+    """A host's decisions: what is known of each place of its expression by path, and the constants as (path, mark).
+
+    Constants are texts that stand at the same place of every page, once ``different`` pages show that.
+    """
+    places: dict[str, tuple[bool, bool, bool, bool]] = {}
+    constants: set[tuple[str, str]] = set()
+    todo = [(wrapper, "", NOWHERE, different >= ENOUGH_PAGES)]
     while todo:
-        node, path = todo.pop()
+        node, path, place, always = todo.pop()
+        places[path] = place
         for k in node[4]:
-            if k[1]:
-                continue
             if k[0] == "#":
-                if k[3] is not VARIES:
-                    out.add((path, k[3]))
+                if always and not k[1] and k[3] is not VARIES:
+                    constants.add((path, k[3]))
+            elif k[0] == "()":
+                todo.append((k, path, place, always and not k[1]))
             else:
-                todo.append((k, path if k[0] == "()" else f"{path}/{k[0]}"))
-    return out
+                todo.append((k, f"{path}/{k[0]}", below(place, k[0]), always and not k[1]))
+    return places, constants
 
 
-def main_text(page: list[tuple], template: set[tuple[str, str]] = frozenset()) -> str:
-    """The page's main text: blocks joined by newlines. A block that holds texts of the template only is left out."""
-    has_main = any(p[0] == "open" and not p[4] and (p[2] in ("article", "main") or (p[2] in ("div", "section") and "main" in p[3] and "content" in p[3])) for p in page)
+def main_text(page: list[tuple], slots: tuple[dict, set] | None = None) -> str:
+    """The page's main text: what stands in the slots of its host, blocks joined by newlines. Without slots, and below the depth of wrappers, a path is decided by itself."""
+    places, constants = slots or ({}, set())
+    has_main = any(p[0] == "open" and traits(p[1])[4] and traits(p[1])[5] for p in page)
     blocks: list[str] = []
     words: list[str] = []
     size = linked = 0
@@ -303,43 +354,33 @@ def main_text(page: list[tuple], template: set[tuple[str, str]] = frozenset()) -
         size = linked = 0
         varies = False
 
-    stack: list[tuple[bool, bool, bool, bool, bool]] = []  # block, left out, in main, in a header, in a link
-    path: list[str] = []
-    out = inside = header = link = False
+    path, place = "", NOWHERE
+    stack: list[tuple] = []
     for part in page:
         if part[0] == "text":
+            out, inside, _, link = place
             if not out and (inside or not has_main):
                 text = html.unescape(part[1])
                 flat = " ".join(text.split())
                 words.append(text)
-                varies = varies or bool(flat and not (template and ("/" + "/".join(path), mark(flat)) in template))
+                varies = varies or bool(flat and not (constants and (path, mark(flat)) in constants))
                 size += len(flat)
                 linked += len(flat) if link else 0
         elif part[0] == "open":
-            _, shape, name, named, hidden = part
-            block = name not in INLINE
-            stack.append((block, out, inside, header, link))
-            path.append(shape)
-            if block:
+            shape = part[1]
+            stack.append((path, place, shape))
+            if traits(shape)[1]:
                 flush()
-            elif name == "br":
+            elif traits(shape)[0] == "br":
                 words.append(" ")
-            starts = name in ("article", "main") or (name in ("div", "section") and "main" in named and "content" in named)
-            inside = inside or (starts and not out)
-            within = inside and not starts
-            out = out or hidden or name in LEFT_OUT or (bool(named & NAMED) and name not in ("body", "html", "article", "main")) or (not inside and name not in ("body", "html") and bool(named & NAMED_OUTSIDE))
-            if name == "header":
-                if within:
-                    header = True
-                else:
-                    out = True
-            elif header and within and block and name not in HEADINGS and name not in ("div", "hgroup", "header"):
-                out = True
-            link = link or name == "a"
+            if len(stack) <= DEPTH:
+                path = f"{path}/{shape}"
+                place = places[path] if path in places else below(place, shape)
+            else:
+                place = below(place, shape)
         else:
-            block, out, inside, header, link = stack.pop()
-            path.pop()
-            if block:
+            path, place, shape = stack.pop()
+            if traits(shape)[1]:
                 flush()
     flush()
     return "\n".join(blocks)
@@ -410,15 +451,15 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     rows = rows.join(F.broadcast(found) if size <= SMALL_BYTES else found, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates: dict[str, set] = {}
+        slots: dict[str, tuple] = {}
         for batch in slices(batches):
             texts = []
             for host, n, wrapper, source in zip(*(batch.column(c).to_pylist() for c in ("host", "different", "wrapper", "_html"))):
-                if host not in templates:
-                    if len(templates) > 2000:
-                        templates.clear()
-                    templates[host] = template_texts(json.loads(wrapper), n) if wrapper else set()
-                texts.append(main_text(parts(source), templates[host]))
+                if host not in slots:
+                    if len(slots) > 2000:
+                        slots.clear()
+                    slots[host] = slots_of(json.loads(wrapper), n) if wrapper else ({}, set())
+                texts.append(main_text(parts(source), slots[host]))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["_id", "_url", "text", "n_chars"])
 
     schema = T.StructType([rows.schema["_id"], rows.schema["_url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
