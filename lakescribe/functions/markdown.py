@@ -34,7 +34,10 @@ def clean_markdown(text: Column) -> Column:
 
     marked = let(filled, lambda f: F.transform(f, lambda x, k: F.struct(x["at"].alias("at"), dropped(x["line"], F.get(f, k - 1)["line"]).alias("drop"))))
     drops = F.transform(F.filter(marked, lambda x: x["drop"]), lambda x: x["at"])
-    return let(drops, lambda d: F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(d, i)), "\n"))
+    # what stands between two dropped lines is a slice, so each line is looked at once
+    ends = F.concat(F.array(F.lit(-1)), drops, F.array(F.size(lines)))
+    between = lambda d: F.transform(F.sequence(F.lit(0), F.size(d) - 2), lambda k: F.slice(lines, F.get(d, k) + 2, F.get(d, k + 1) - F.get(d, k) - 1))
+    return let(ends, lambda d: F.array_join(F.flatten(between(d)), "\n"))
 
 
 def _blocks(text: Column) -> Column:

@@ -12,11 +12,25 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..functions import text as tx
+from ..functions.text import let
 
 RANGES = "array<struct<s:int,e:int>>"
 PIECE = "array<struct<section_title:string,section_level:int,header:string,body:string>>"
 
 
+def running_sums(sizes: Column, step: int = 256) -> Column:
+    """0 and the sums of the first 1, 2, ... numbers of an array: sums of steps first, and within a step from its beginning, so that no long array is copied for each number."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, n: a + n)
+    steps = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / step).cast("int")), lambda c: total(F.slice(sizes, c * step + 1, F.lit(step))))
+    before = F.aggregate(steps, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+
+    def upto(b: Column, i: Column) -> Column:
+        c = F.floor(i / step).cast("int")
+        return F.get(b, c) + total(F.slice(sizes, c * step + 1, i - c * step))
+
+    return let(before, lambda b: F.transform(F.sequence(F.lit(0), F.size(sizes)), lambda i: upto(b, i)))
+
+
 def split_paragraphs(text: Column, most: int = tx.MAX_SECTION_TOKENS, overlap: int = tx.OVERLAP_TOKENS) -> Column:
     """Runs of paragraphs of up to ``most`` tokens; each begins with those last paragraphs of the run before that have up to ``overlap`` tokens.
 
@@ -26,7 +40,7 @@ def split_paragraphs(text: Column, most: int = tx.MAX_SECTION_TOKENS, overlap: i
 
     def of(parts: Column) -> Column:
         sizes = F.transform(parts, tx.estimate_tokens)
-        sums = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        sums = let(sizes, running_sums)
 
         def ranges(sums: Column) -> Column:
             zero = F.struct(F.array().cast(RANGES).alias("out"), F.lit(0).alias("s"))

@@ -84,18 +84,24 @@ def outside_tables(spans: DataFrame, tables: DataFrame) -> DataFrame:
 def line_groups(spans: DataFrame) -> DataFrame:
     """Spans with ``line``: neighbours in order whose y0 is within 5 points of the y0 of the line's first span.
 
-    The anchor is the line's start, so this is a fold over each page's spans, in order.
+    The anchor is the line's start, so this is a fold over each page's spans, in order. It collects the places at which lines start, 256 at a time, so that no long array is
+    copied for each span; a span's line is the number of starts up to it, counted by a window over the page.
     """
-    zero = F.struct(F.array().cast("array<struct<seq:bigint,line:int>>").alias("out"), F.lit(-1).alias("line"), F.lit(None).cast("double").alias("y"))
+    starts = "array<bigint>"
+    zero = F.struct(F.array().cast(f"array<{starts}>").alias("done"), F.array().cast(starts).alias("open"), F.lit(None).cast("double").alias("y"))
 
     def step(a: Column, x: Column) -> Column:
-        same = F.coalesce(F.abs(x["y0"] - a["y"]) <= SAME_LINE, F.lit(False))
-        line = F.when(same, a["line"]).otherwise(a["line"] + 1)
-        return F.struct(F.concat(a["out"], F.array(F.struct(x["seq"].cast("bigint").alias("seq"), line.alias("line")))).alias("out"), line.alias("line"), F.when(same, a["y"]).otherwise(x["y0"]).alias("y"))
-
-    pages = spans.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct(F.col("seq"), F.col("y0").cast("double").alias("y0")))).alias("_s"))
-    lines = pages.select("doc", "page", F.explode(F.aggregate("_s", zero, step, lambda a: a["out"])).alias("_l")).select("doc", "page", "_l.*")
-    return spans.join(lines, ["doc", "page", "seq"])
+        full = F.size(a["open"]) >= 256
+        own = F.array(x["seq"])
+        opened = F.struct(F.when(full, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]).alias("done"), F.when(full, own).otherwise(F.concat(a["open"], own)).alias("open"), x["y0"].alias("y"))
+        return F.when(F.coalesce(F.abs(x["y0"] - a["y"]) <= SAME_LINE, F.lit(False)), a).otherwise(opened)
+
+    pages = spans.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("bigint").alias("seq"), F.col("y0").cast("double").alias("y0")))).alias("_s"))
+    found = F.aggregate("_s", zero, step, lambda a: F.concat(F.flatten(a["done"]), a["open"]))
+    begins = pages.select("doc", "page", F.explode(found).alias("seq")).withColumn("_begin", F.lit(1))
+    by_page = Window.partitionBy("doc", "page").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = spans.join(begins, ["doc", "page", "seq"], "left").select(*spans.columns, "_begin")
+    return joined.withColumn("line", (F.count("_begin").over(by_page) - 1).cast("int")).drop("_begin")
 
 
 def inline(text: Column, bold: Column, italic: Column, escape: bool = True) -> Column:
