@@ -557,7 +557,20 @@ def line_groups(spark, d):
     return layout.line_groups(spans(spark, d)).select("doc", "page", "seq", "line")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SPANS}, {LEVELS}, {ZONES},
+f AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.doc = s.doc AND z.norm = s.text AND ((zone = 'header' AND y0 < 72) OR (zone = 'footer' AND y1 > 720)))),
+cf AS (SELECT doc, font_size, sum(length(trim(text)))::BIGINT AS chars FROM f GROUP BY 1, 2),
+bf AS (SELECT *, first_value(font_size) OVER (PARTITION BY doc ORDER BY chars DESC, font_size) AS body FROM cf),
+lf AS (SELECT doc, font_size, CASE WHEN font_size > body THEN least(dense_rank() OVER (PARTITION BY doc ORDER BY font_size DESC), 6) ELSE 0 END::INT AS level FROM bf),
+o AS (SELECT f.*, lf.level, row_number() OVER (PARTITION BY doc, page ORDER BY seq) AS i FROM f JOIN lf USING (doc, font_size)),
+r AS (SELECT doc, page, seq, i, y0 AS anchor, 0 AS line FROM o WHERE i = 1 UNION ALL
+  SELECT o.doc, o.page, o.seq, o.i, CASE WHEN abs(o.y0 - r.anchor) <= 5 THEN r.anchor ELSE o.y0 END, CASE WHEN abs(o.y0 - r.anchor) <= 5 THEN r.line ELSE r.line + 1 END FROM r JOIN o ON o.doc = r.doc AND o.page = r.page AND o.i = r.i + 1),
+k AS (SELECT *, CASE WHEN is_bold AND is_italic THEN '***' WHEN is_bold THEN '**' WHEN is_italic THEN '*' ELSE '' END AS mark FROM r JOIN o USING (doc, page, seq)),
+g AS (SELECT doc, page, line, arg_min(level, seq) AS level, min(y0) AS y0, string_agg(trim(text), ' ' ORDER BY seq) AS heading, string_agg(mark || regexp_replace(text, '([*_])', '\\\\\\1', 'g') || mark, '' ORDER BY seq) AS body FROM k GROUP BY 1, 2, 3),
+m AS (SELECT doc, page, y0, line, CASE WHEN level > 0 THEN repeat('#', level) || ' ' || heading ELSE body END AS md FROM g),
+p AS (SELECT doc, page, string_agg(md, E'\\n\\n' ORDER BY y0, line, md) AS md FROM m WHERE trim(md) <> '' GROUP BY 1, 2),
+h AS (SELECT doc, coalesce(trim(arg_min(text, page * 1000000000000 + seq) FILTER (level = 1)), doc::VARCHAR) AS title FROM s JOIN lv USING (doc, font_size) GROUP BY doc)
+SELECT doc, '# ' || any_value(title) || E'\\n\\n' || string_agg('<!-- Page ' || page || ' -->' || E'\\n\\n' || md, E'\\n\\n' ORDER BY page) AS md FROM p JOIN h USING (doc) GROUP BY doc""")
 def page_markdown(spark, d):
     s = layout.line_groups(layout.with_levels(layout.without_running_text(spans(spark, d))))
     parts = layout.lines_to_markdown(s).select("doc", "page", "y0", F.lit(0).alias("kind_no"), F.col("line").cast("long").alias("seq"), "md")
