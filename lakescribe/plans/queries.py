@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..functions import text as tx
-from ..operators import catalog, chunking, enrich, evaluation, filters, layout, manifest, search
+from ..config import RESULT_DEFAULTS
+from ..operators import catalog, chunking, enrich, evaluation, filters, layout, manifest, pages, search
+from ..sources import pages as sources_pages
 from ..sources.workspace import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -602,6 +604,130 @@ def page_types(spark, d):
     return t(spark, d, "part").select("p_partkey", layout.page_type(F.col("p_size") % 20, layout.image_coverage(box, F.lit(100.0), F.lit(10.0)), F.col("p_size") % 3).alias("page_type"))
 
 
+# ---- pages of files ----
+
+HEADS = "hd AS (SELECT p_size AS doc, 1 AS page, p_partkey AS seq, CASE WHEN p_partkey % 5 = 0 THEN ' Anexo ' || p_partkey ELSE p_name END AS text, p_partkey % 4 AS heading_level FROM part)"
+
+
+def headings(spark, d):
+    text = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit(" Anexo "), "p_partkey")).otherwise(F.col("p_name"))
+    zero = [F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")]
+    return t(spark, d, "part").select(F.col("p_size").alias("doc"), F.lit(1).alias("page"), F.col("p_partkey").alias("seq"), text.alias("text"), (F.col("p_partkey") % 4).cast("int").alias("heading_level"), *zero)
+
+
+@query(f"WITH {HEADS} SELECT doc, seq, CASE WHEN text LIKE ' Anexo%' THEN 'anexo' ELSE 'main' END AS section_type, trim(text) AS title, heading_level FROM hd WHERE heading_level > 0")
+def section_markers(spark, d):
+    return pages.section_markers(headings(spark, d)).select("doc", "seq", "section_type", "title", "heading_level")
+
+
+@query(f"WITH {HEADS} SELECT doc, seq, text LIKE ' Anexo%' OR EXISTS (SELECT 1 FROM hd AS m WHERE m.doc = hd.doc AND m.heading_level = 3 AND trim(m.text) = trim(hd.text)) AS is_appendix FROM hd")
+def marked_headings(spark, d):
+    h = headings(spark, d)
+    return pages.marked_headings(h, pages.section_markers(h.filter("heading_level = 3"))).select("doc", "seq", "is_appendix")
+
+
+BATCH = "fl AS (SELECT DISTINCT 'f/' || event_id AS path FROM events), st AS (SELECT 'f/' || event_id AS path, CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'completed' END AS status FROM events WHERE event_id % 3 > 0)"
+
+
+def _batch(spark, d):
+    e = t(spark, d, "events").select(F.concat(F.lit("f/"), "event_id").alias("path"), "event_id")
+    failed = F.col("event_id") % 5 == 0
+    state = e.filter("event_id % 3 > 0").select("path", F.when(failed, "failed").otherwise("completed").alias("status"), F.when(failed, "broken").alias("error"), F.lit(1).cast("long").alias("pages"))
+    return e.select("path").distinct(), state
+
+
+@query(f"WITH {BATCH} SELECT path FROM fl WHERE path NOT IN (SELECT path FROM st)")
+def batch_pending(spark, d):
+    return sources_pages.pending(*_batch(spark, d))
+
+
+@query(f"WITH {BATCH} SELECT count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status IS NULL) AS pending FROM fl LEFT JOIN st USING (path)")
+def batch_numbers(spark, d):
+    return sources_pages.batch_numbers(*_batch(spark, d)).drop("failures")
+
+
+def order_pages(spark, d):
+    """orders as pages: of each customer's documents, with text, images and tables made of order and line facts."""
+    o, n = t(spark, d, "orders"), F.col("o_orderkey")
+    box = lambda x: F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), x.cast("double").alias("x1"), F.lit(10.0).alias("y1"))
+    image = lambda w: F.struct(F.lit(1).alias("xref"), w.cast("int").alias("width"), F.lit(120).alias("height"), F.lit("png").alias("format"), F.lit(None).cast("binary").alias("data"), (n % 2 == 0).alias("is_chart"))
+    row = lambda *cells: F.array(*[c.cast("string") for c in cells])
+    table = lambda rows: F.struct(box(F.lit(5)).alias("bbox"), F.lit(None).cast("array<string>").alias("header"), rows.alias("rows"))
+    wide = table(F.array(row(n, F.lit(None)), row(F.col("o_custkey"), F.col("o_orderstatus"))))
+    small = table(F.array(row(n)))
+    spans_ = F.array(F.struct(F.lit("near").alias("text"), F.lit(0.0).alias("x0"), F.lit(20.0).alias("y0"), F.lit(5.0).alias("x1"), F.lit(30.0).alias("y1")))
+    return o.select(
+        F.col("o_custkey").alias("doc"), n.alias("page"), F.lit(100.0).alias("width"), F.lit(100.0).alias("height"), F.when(n % 3 > 0, F.concat(F.lit("order number "), n)).otherwise("").alias("text"),
+        spans_.alias("spans"), F.when(n % 4 == 0, F.array(wide)).otherwise(F.array().cast(f"array<{sources_pages.TABLE}>")).alias("bordered"), F.array(wide, small).alias("borderless"),
+        F.when(n % 5 < 3, F.array(image(n % 7 * 40), image(F.lit(200)))).otherwise(F.array().cast(f"array<{sources_pages.IMAGE}>")).alias("images"), F.array(box(n % 11 * 100)).alias("image_boxes"),
+    )
+
+
+COVER = "least(o_orderkey % 11 * 1000.0::DOUBLE / 10000, 1.0)"
+KIND = f"CASE WHEN o_orderkey % 3 > 0 AND {COVER} < 0.5 THEN 'native_text' WHEN o_orderkey % 3 > 0 THEN 'mixed' WHEN {COVER} > 0.95 OR o_orderkey % 5 < 3 THEN 'scanned' ELSE 'empty' END"
+
+
+@query(f"SELECT o_custkey AS doc, count(*) AS total, count(*) FILTER ({KIND} = 'scanned') AS scanned, count(*) FILTER ({KIND} IN ('native_text', 'mixed')) AS native FROM orders GROUP BY 1")
+def document_totals(spark, d):
+    p = pages.analysed(order_pages(spark, d))
+    return p.groupBy("doc").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("page_type") == "scanned").alias("scanned"), F.count_if(F.col("page_type").isin("native_text", "mixed")).alias("native"))
+
+
+@query(f"SELECT o_custkey AS doc, o_orderkey AS page FROM orders WHERE {KIND} = 'scanned'")
+def pages_of_type(spark, d):
+    return pages.pages_of_type(pages.analysed(order_pages(spark, d)), "scanned")
+
+
+@query(f"""SELECT o_custkey AS doc, o_orderkey AS page, {KIND} AS page_type, CASE {KIND} WHEN 'empty' THEN '' WHEN 'scanned' THEN 'word ' || o_orderkey ELSE CASE WHEN o_orderkey % 3 > 0 THEN 'order number ' || o_orderkey ELSE '' END END AS text,
+  {KIND} = 'scanned' AS ocr_applied, CASE WHEN {KIND} = 'scanned' THEN 0.5::DOUBLE END AS confidence FROM orders""")
+def processed_pages(spark, d):
+    p = pages.analysed(order_pages(spark, d))
+    word = lambda x, c: F.struct(x.cast("string").alias("text"), F.lit(c).alias("confidence"))
+    words = p.filter("page_type = 'scanned'").select("doc", "page", F.array(word(F.lit("word"), 50.0), word(F.col("page"), -1.0)).alias("words"))
+    return pages.processed(p, words)
+
+
+@query("""SELECT o_custkey AS doc, o_orderkey AS page, 0 AS table_index, o_orderkey % 4 > 0 AS is_borderless, [o_orderkey::VARCHAR, ''] AS header_names, 2 AS row_count, 2 AS col_count, false AS needs_review FROM orders""")
+def page_tables(spark, d):
+    return pages.tables(order_pages(spark, d)).drop("bbox", "rows")
+
+
+@query("""SELECT o_custkey AS doc, o_orderkey AS page, i AS image_index, CASE WHEN i = 0 THEN o_orderkey % 7 * 40 ELSE 200 END::INT AS width, o_orderkey % 2 = 0 AS is_chart,
+  CASE WHEN i = 0 THEN (o_orderkey % 11 * 100)::DOUBLE ELSE 0 END AS x1, CASE WHEN i = 0 THEN 'near' ELSE '' END AS nearby_text
+FROM orders, range(2) r(i) WHERE o_orderkey % 5 < 3 AND (i = 1 OR o_orderkey % 7 * 40 >= 100)""")
+def page_images(spark, d):
+    return pages.images(order_pages(spark, d)).select("doc", "page", F.col("image_index").cast("long").alias("image_index"), "width", "is_chart", F.col("bbox.x1").alias("x1"), "nearby_text")
+
+
+@query("""WITH i AS (SELECT o_custkey AS doc, count(*) AS images, count(*) FILTER (o_orderkey % 2 = 0) AS charts FROM orders, range(2) r(i) WHERE o_orderkey % 5 < 3 AND (i = 1 OR o_orderkey % 7 * 40 >= 100) GROUP BY 1),
+t AS (SELECT o_custkey AS doc, count(*) AS tables FROM orders GROUP BY 1) SELECT doc, tables, coalesce(images, 0) AS images, coalesce(charts, 0) AS charts FROM t LEFT JOIN i USING (doc)""")
+def content_counts(spark, d):
+    p = order_pages(spark, d)
+    return pages.counts(pages.tables(p), pages.images(p))
+
+
+# ---- what scorers and callers are shown ----
+
+
+@query("""SELECT doc_id, '[' || (doc_id % 7) || '] lang: ' || coalesce(lang, 'N/A') || ' | region: N/A | Tipo: ' || coalesce(source, 'N/A') || ' | Sección: part ' || doc_id % 3 || E'\\n' || substr(text, 1, 500) AS block FROM documents""")
+def rerank_block(spark, d):
+    rows = t(spark, d, "documents").select("doc_id", "lang", F.col("source").alias("document_type"), F.concat(F.lit("part "), F.col("doc_id") % 3).alias("section_title"), "text", (F.col("doc_id") % 7 + 1).alias("rank"))
+    return rows.select("doc_id", search.rerank_block(rows, ["lang", "region"]).alias("block"))
+
+
+@query("""SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN '[RESUMEN IA] ' ELSE '' END || text AS text, coalesce(nullif(source, 'src1'), 'unknown') AS document_type, '' AS city, -1 AS page_start, doc_id % 3 = 0 AS is_summary, 1.0::DOUBLE / (1 + doc_id) AS score, doc_id + 1 AS rank FROM documents""")
+def result_rows(spark, d):
+    summary = F.col("doc_id") % 3 == 0
+    rows = t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.nullif("source", F.lit("src1")).alias("document_type"), summary.alias("is_summary"), (1 / (1 + F.col("doc_id"))).alias("score"), (F.col("doc_id") + 1).alias("rank"))
+    return search.shaped(rows, ["text", "document_type", "city", "page_start", "is_summary"], {"city": "", **RESULT_DEFAULTS})
+
+
+@query(f"""SELECT count(*) AS queries, {', '.join(f'round(avg({m}), 6) AS {m}' for m in ('p_at_5', 'p_at_10', 'recall_at_10', 'mrr', 'ndcg_at_5'))} FROM ({ORACLES["eval_metrics"]})""")
+def eval_report(spark, d):
+    out = evaluation.averages(eval_metrics(spark, d))
+    return out.select("queries", *[F.round(c, 6).alias(c) for c in out.columns if c != "queries"])
+
+
 # ---- models and streams ----
 
 
