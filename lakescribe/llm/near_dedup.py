@@ -204,34 +204,79 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[s
         yield last, group
 
 
-def first_chunks(members: DataFrame, key: str, block: int, pivots: int = PIVOTS) -> DataFrame:
-    """Rows (key, _id, _size, ...) with _chunk: each in a chunk of its group, pivots of groups of several chunks in all of these."""
-    chunks = F.ceil(F.col("_size") / block).cast("int")
-    own = F.pmod(F.xxhash64("_id", F.lit(77)), chunks).cast("int")
+def own_chunk(size: str, block: int):
+    """The chunk of a group of ``size`` members that a member is dealt to."""
+    return F.pmod(F.xxhash64("_id", F.lit(77)), F.ceil(F.col(size) / block)).cast("int")
+
+
+def first_chunks(members: DataFrame, block: int, pivots: int = PIVOTS) -> DataFrame:
+    """Rows (key, _id, _size, ...) with _chunk and _pivot: each in a chunk of its group, pivots of groups of several chunks in all of these."""
     pivot = (F.col("_size") > block) & (F.pmod(F.xxhash64("_id", F.lit(78)), F.col("_size")) < pivots)
-    return members.withColumn("_chunk", F.explode(F.when(pivot, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(own))))
+    chunks = F.when(F.col("_pivot"), F.sequence(F.lit(0), F.ceil(F.col("_size") / block).cast("int") - 1)).otherwise(F.array(own_chunk("_size", block)))
+    return members.withColumn("_pivot", pivot).withColumn("_chunk", F.explode(chunks))
 
 
-def second_chunks(members: DataFrame, key: str, parts: DataFrame, block: int) -> DataFrame:
-    """Rows (key, _id, ...) of groups that are in several parts, with _part, _rest and _chunk.
+def second_chunks(large: DataFrame, key: str, block: int) -> DataFrame:
+    """Rows (key, _id, _size, _part) of groups of several chunks, where _part is what the first pass has connected: those of groups in several parts, with _rest, _chunk and _other.
 
-    ``parts`` (node, component) are what the first pass has connected. Members outside their group's largest part are its rest (_rest 1), in chunks of their own; a
-    chunk of the rest meets each chunk of all members (_rest 0). Groups in one part have no rows.
+    Members outside their group's largest part are its rest (_rest 1), in chunks of their own; a chunk of the rest meets each chunk of all members (_rest 0). Groups in one part have no rows.
     """
-    large = members.filter(F.col("_size") > block).join(parts.toDF("_node", "_of"), F.col("_id") == F.col("_node"), "left").withColumn("_part", F.coalesce("_of", "_id")).drop("_node", "_of")
-    counts = large.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    several = counts.groupBy(key).agg(F.max(F.struct("_n", "_part")).alias("_most"), F.sum("_n").alias("_all")).filter("_most._n < _all")
-    several = several.select(F.col(key), F.col("_most._part").alias("_largest"), F.ceil(F.col("_all") / block).cast("int").alias("_chunks"), F.ceil((F.col("_all") - F.col("_most._n")) / block).cast("int").alias("_rests"))
-    rows = large.join(several, key)
-    deal = lambda seed, into: F.array(F.pmod(F.xxhash64("_id", F.lit(seed)), F.col(into)).cast("int"))
-    every = lambda into: F.sequence(F.lit(0), F.col(into) - 1)
+    large = large.withColumn("_own", own_chunk("_size", block))
+    counts = large.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"), F.max("_size").alias("_size"))
+    several = counts.groupBy(key).agg(F.max(F.struct("_n", "_part")).alias("_most"), F.sum("_n").alias("_all"), F.max("_size").alias("_size")).filter("_most._n < _all")
+    chunks = F.ceil(F.col("_size") / block).cast("int")
+    several = several.select(F.col(key), F.col("_most._part").alias("_largest"), chunks.alias("_chunks"), F.ceil((F.col("_all") - F.col("_most._n")) / block).cast("int").alias("_rests"))
+    # a group's row goes to each of its chunks, so that no task meets a whole group
+    rows = large.join(several.withColumn("_own", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))), [key, "_own"])
+    one, every = lambda c: F.array(c), lambda into: F.sequence(F.lit(0), F.col(into) - 1)
     side = lambda df, rest, chunk, other: df.withColumn("_rest", F.lit(rest)).withColumn("_chunk", F.explode(chunk)).withColumn("_other", F.explode(other))
-    met = side(rows, 0, deal(77, "_chunks"), every("_rests")).unionByName(side(rows.filter("_part <> _largest"), 1, every("_chunks"), deal(79, "_rests")))
-    return met.withColumn("_chunk", F.struct("_chunk", "_other")).drop("_other", "_largest", "_chunks", "_rests")
+    met = side(rows, 0, one(F.col("_own")), every("_rests")).unionByName(side(rows.filter("_part <> _largest"), 1, every("_chunks"), one(F.pmod(F.xxhash64("_id", F.lit(79)), F.col("_rests")).cast("int"))))
+    return met.drop("_own", "_largest", "_chunks", "_rests")
+
+
+LINK, LABEL, SAME = 0, 1, 2
+FOUND = "kind int, grp long, size long, a long, b long"
+
+
+def _found(rows) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["kind", "grp", "size", "a", "b"])
+
+
+def parts_of_chunk(group: int, size: int, ids: list[int], pivot: list[bool], links: list[tuple[int, int]]) -> list[tuple]:
+    """What a chunk of a group of several chunks says of its members' parts: the least pivot of a member's component in the chunk, else the least member, and which pivots are in one part."""
+    forest = Forest(len(ids))
+    for x, y in links:
+        forest.join(x, y)
+    roots = [forest.root(i) for i in range(len(ids))]
+    pivots: dict[int, list[int]] = {}
+    least: dict[int, int] = {}
+    for i, r in enumerate(roots):
+        least[r] = min(least.get(r, ids[i]), ids[i])
+        if pivot[i]:
+            pivots.setdefault(r, []).append(ids[i])
+    out = [(LABEL, group, size, ids[i], min(pivots[r]) if r in pivots else least[r]) for i, r in enumerate(roots) if not pivot[i]]
+    return out + [(SAME, group, size, p, min(own)) for own in pivots.values() for p in own]
+
+
+def labelled_parts(found: DataFrame) -> DataFrame:
+    """(grp, _id, _size, _part) of all members of groups of several chunks, from what their chunks say."""
 
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (groups, sizes, a, b) in _grouped(batches, ["grp"], ["grp", "size", "a", "b"]):
+            ids = sorted({*a, *b})
+            at = {x: i for i, x in enumerate(ids)}
+            forest = Forest(len(ids))
+            for x, y in zip(a, b):
+                forest.join(at[x], at[y])
+            yield _found([(SAME, groups[0], sizes[0], x, ids[forest.root(i)]) for i, x in enumerate(ids)])
 
-def in_tasks(df: DataFrame, key: str) -> DataFrame:
-    return df.repartition(key, "_chunk").sortWithinPartitions(key, "_chunk", "_id")
+    # a group has few pivots, however many members
+    same = found.filter(F.col("kind") == SAME).select("grp", "size", "a", "b").distinct().repartition("grp").sortWithinPartitions("grp")
+    pivots = written(same.mapInArrow(close, FOUND), "pivots").select("grp", "size", "a", "b")
+    root = pivots.select("grp", F.col("a").alias("b"), F.col("b").alias("_root"))
+    members = found.filter(F.col("kind") == LABEL).select("grp", "size", "a", "b").join(root, ["grp", "b"], "left").select("grp", "size", "a", F.coalesce("_root", "b").alias("b"))
+    return members.unionByName(pivots).toDF("grp", "_size", "_id", "_part")
 
 
 def connected(members: DataFrame, key: str, payload: DataFrame, links_of, block: int) -> DataFrame:
@@ -240,31 +285,35 @@ def connected(members: DataFrame, key: str, payload: DataFrame, links_of, block:
     ``links_of(columns of one task, left, right, part)`` are places of linked members; ``payload`` has the columns (_id, ...) that it needs.
     """
     columns = payload.columns
+    members = members.withColumnRenamed(key, "grp")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: set[tuple[int, int]] = set()
-        for _, group in _grouped(batches, [key, "_chunk"], columns):
-            ids, everyone = group[0], np.arange(len(group[0]))
-            out.update((ids[x], ids[y]) for x, y in links_of(group, everyone, everyone, None))
+        out: set[tuple] = set()
+        for (group, _), own in _grouped(batches, ["grp", "_chunk"], [*columns, "_size", "_pivot"]):
+            pivot, sizes = own.pop(), own.pop()
+            ids, everyone = own[0], np.arange(len(own[0]))
+            links = links_of(own, everyone, everyone, None)
+            out.update((LINK, 0, 0, ids[x], ids[y]) for x, y in links)
+            if sizes[0] > block:
+                out.update(parts_of_chunk(group, sizes[0], ids, pivot, links))
             if len(out) > 50_000:
-                yield _edges(out)
+                yield _found(out)
                 out.clear()
-        yield _edges(out)
+        yield _found(out)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in _grouped(batches, [key, "_chunk"], [*columns, "_part", "_rest"]):
-            rest, part = np.array(group.pop()), np.array(group.pop())
-            found = links_of(group, np.flatnonzero(rest == 1), np.flatnonzero(rest == 0), part)
-            yield _edges([(group[0][x], group[0][y]) for x, y in found])
-
-    dealt = in_tasks(first_chunks(members.join(payload, "_id"), key, block), key)
-    links = written(dealt.select(key, "_chunk", *columns).mapInArrow(first, "a long, b long"), "links")
-    if not members.filter(F.col("_size") > block).head(1):
+        for _, own in _grouped(batches, ["grp", "_chunk", "_other"], [*columns, "_part", "_rest"]):
+            rest, part = np.array(own.pop()), np.array(own.pop())
+            found = links_of(own, np.flatnonzero(rest == 1), np.flatnonzero(rest == 0), part)
+            yield _edges([(own[0][x], own[0][y]) for x, y in found])
+
+    dealt = first_chunks(members.join(payload, "_id"), block).repartition("grp", "_chunk").sortWithinPartitions("grp", "_chunk", "_id")
+    found = written(dealt.select("grp", "_chunk", *columns, "_size", "_pivot").mapInArrow(first, FOUND), "links")
+    links = found.filter(F.col("kind") == LINK).select("a", "b")
+    if not found.filter(F.col("kind") != LINK).head(1):
         return links
-    parts = written(components(links), "parts")
-    left = second_chunks(members, key, parts, block).join(payload, "_id")
-    more = in_tasks(left, key).select(key, F.to_json("_chunk").alias("_chunk"), *columns, "_part", "_rest").mapInArrow(second, "a long, b long")
-    return parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    again = second_chunks(written(labelled_parts(found), "parts"), "grp", block).join(payload, "_id").repartition("grp", "_chunk", "_other").sortWithinPartitions("grp", "_chunk", "_other", "_id")
+    return links.unionByName(again.select("grp", "_chunk", "_other", *columns, "_part", "_rest").mapInArrow(second, "a long, b long"))
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

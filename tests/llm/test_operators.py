@@ -146,12 +146,12 @@ def test_near_duplicates_edges():
 
 
 def test_a_group_is_sent_about_once():
-    members = session().range(32_768).select(F.lit(1).alias("component"), F.col("id").alias("_id"), F.lit(32_768).cast("long").alias("_size"))
-    assert nd.first_chunks(members, "component", 256).count() < 1.2 * 32_768
-    parts = members.select(F.col("_id").alias("node"), F.when(F.col("_id") % 100 == 0, F.col("_id")).otherwise(1).alias("component"))
-    left = nd.second_chunks(members, "component", parts, 256)  # a hundredth of the group is left
+    members = session().range(32_768).select(F.lit(1).cast("long").alias("grp"), F.col("id").alias("_id"), F.lit(32_768).cast("long").alias("_size"))
+    assert nd.first_chunks(members, 256).count() < 1.2 * 32_768
+    large = members.withColumn("_part", F.when(F.col("_id") % 100 == 0, F.col("_id")).otherwise(1))
+    left = nd.second_chunks(large, "grp", 256)  # a hundredth of the group is left
     assert left.filter("_rest = 0").count() == 2 * 32_768 and left.count() < 4 * 32_768
-    assert nd.second_chunks(members, "component", parts.withColumn("component", F.lit(1).cast("long")), 256).count() == 0
+    assert nd.second_chunks(large.withColumn("_part", F.lit(1).cast("long")), "grp", 256).count() == 0
 
 
 def test_bayes_bounds_follow_the_posterior():
