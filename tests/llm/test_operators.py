@@ -352,6 +352,69 @@ def test_kneser_ney_probabilities_add_up():
     assert other.gram[ORDER][0].tolist() == codes.tolist() and model.evidence([]).shape == (0,)
 
 
+def brute_evidence(ordinary, toxic, word):
+    """Kneser-Ney as in the papers, with dictionaries: orders up to SHARED from the sequences of both classes, each once."""
+    from lakescribe.llm.toxicity import DISCOUNT, SHARED
+
+    def padded(w):
+        return b" " * (ORDER - 1) + w + b" "
+
+    def ends(w):
+        return [padded(w)[i : i + ORDER] for i in range(len(w) + 1)]
+
+    n = {ORDER: [collections.Counter(g for w in words for g in ends(w)) for words in (ordinary, toxic)]}
+    for k in range(ORDER - 1, 0, -1):
+        above = n[k + 1]
+        kinds = [{g for c in above for g in c}] * 2 if k <= SHARED else [set(c) for c in above]
+        n[k] = [collections.Counter(g[1:] for g in kind) for kind in kinds]
+
+    def backoff(k, c, context):
+        own = {g: x for g, x in n[k][c].items() if g[:-1] == context}
+        return DISCOUNT * len(own) / sum(own.values()) if own else 1.0
+
+    def p(k, c, g):
+        if k == 1:
+            return (n[1][c][g] + 0.5) / (sum(n[1][c].values()) + 128)
+        total = sum(x for h, x in n[k][c].items() if h[:-1] == g[:-1])
+        return max(n[k][c][g] - DISCOUNT, 0) / max(total, 1) + backoff(k, c, g[:-1]) * p(k - 1, c, g[1:])
+
+    def ratio(k, g):
+        if any(g in x for x in n[k]):
+            return np.log(p(k, 1, g) / p(k, 0, g))
+        if k == 1:
+            return 0.0
+        known = any(h[:-1] == g[:-1] for x in n[k] for h in x)
+        return (np.log(backoff(k, 1, g[:-1]) / backoff(k, 0, g[:-1])) if known else 0.0) + ratio(k - 1, g[1:])
+
+    return sum(ratio(ORDER, g) for g in ends(word))
+
+
+def test_kneser_ney_against_brute_force():
+    ordinary, toxic = words_of("the cat sat on the mat and the other cat sat too"), words_of("the rat spat on the bat you rat")
+    counts = [dict(zip(*(x.tolist() for x in np.unique(grams(words)[0], return_counts=True)))) for words in (ordinary, toxic)]
+    codes = np.array(sorted({*counts[0], *counts[1]}), dtype=np.uint64)
+    model = Model(codes, np.array([[c.get(int(x), 0) for x in codes] for c in counts]))
+    words = [b"the", b"rat", b"cat", b"spat", b"zebra", b"mats", b"brat", b"s"]
+    assert np.allclose(model.evidence(words), [brute_evidence(ordinary, toxic, w) for w in words])
+
+
+def test_ridge_from_partition_sums_against_the_whole_matrix():
+    from lakescribe.llm.quality import Projection, fit
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 5))
+    y = (x[:, 0] + 0.3 * rng.normal(size=300) > 0.5).astype(int)
+    rows = session().createDataFrame([(i, int(b), a.tolist()) for i, (a, b) in enumerate(zip(x, y))], "_label_id long, _label int, _x array<double>").repartition(7)
+    projection, weights, places, rates = fit(rows, F.col("_label_id") % 5 != 0, 0.3, 6.0)
+    own = np.arange(300) % 5 != 0
+    p = Projection(x[own].mean(0), x[own].std(0), 6.0)(x[own])
+    w = np.where(y[own] > 0, own.sum() / (2 * y[own].sum()), own.sum() / (2 * (own.sum() - y[own].sum())))
+    penalty = np.full(p.shape[1], 0.3 * own.sum() / 1000)
+    penalty[-1] = 1e-9
+    assert np.allclose(weights, np.linalg.solve((p * w[:, None]).T @ p + np.diag(penalty), (p * w[:, None]).T @ y[own]), atol=1e-6)
+    assert all(np.diff(places) > 0) and all(np.diff(rates) > 0) and projection(x).shape == (300, len(weights))
+
+
 PAGES = [
     (1, "http://a.example/1", "<html><body><nav><a href=x>Menu</a></nav><article><h1>T &amp; x</h1><p>One\n two<p>Three<br>four <b>five</b></article><footer>f</footer>"),
     (2, "http://a.example/2", None), (3, None, ""), (4, "http://b.example/", '<div id="header">Site</div><div><p>Body &lt;1&gt;</p></div><div class="comments"><p>no</p></div><script>var t="</p>";</script><p>end'),
