@@ -6,7 +6,8 @@ to it (its own counted half, so that rounding is to the nearest document) divide
 All queues are merged by virtual time, and the merged queue is cut where the words reach the budget.
 
 Running sums are two-level: a table of sums per (source, hash range) is summed up, and rows are summed only within
-their own range, so a source with a third of all rows is spread over all ranges. The same is done
+their own range, so a source with a third of all rows is spread over all ranges. Rows of equal source, id and size are one entry with a count until their places are known, so an id that very many rows
+repeat is a few entries. The same is done
 with ranges of virtual time, where queues are dense alike, for the cut at the budget.
 """
 
@@ -64,9 +65,10 @@ def mix(
     if ranges is None:
         ranges = salts_for(docs.count(), least=1024)
     time_ranges = min(ranges, 1 << 16) if time_ranges is None else time_ranges
-    docs = docs.withColumn("_range", F.floor(F.col("_h") * F.lit(ranges) / F.lit(1 << 48)).cast("int"))
+    units = docs.groupBy("_source", "_id", "_h", "size").agg(F.count(F.lit(1)).alias("_copies")).withColumn("_all", F.col("size") * F.col("_copies"))
+    units = units.withColumn("_range", F.floor(F.col("_h") * F.lit(ranges) / F.lit(1 << 48)).cast("int"))
 
-    sums = docs.groupBy("_source", "_range").agg(F.sum("size").alias("_words"))
+    sums = units.groupBy("_source", "_range").agg(F.sum("_all").alias("_words"))
     sources = sums.groupBy("_source").agg(F.sum("_words").alias("source_size"))
     goal = targets(sources, weights, max_repeat)
     before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,9 +78,10 @@ def mix(
     )
     within = Window.partitionBy("_source", "_range").orderBy("_h", F.col("_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     queued = (
-        docs.withColumn("_upto", F.sum("size").over(within))
+        units.withColumn("_upto", F.sum("_all").over(within))
         .join(starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-        .select("_id", "_source", "_h", "size", "source_size", "target", (F.col("_start") + F.col("_upto") - F.col("size") / 2).alias("_mid"))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+        .select("_id", "_source", "_h", "size", "source_size", "target", (F.col("_start") + F.col("_upto") - F.col("_all") + F.col("size") * F.col("_copy") + F.col("size") / 2).alias("_mid"))
     )
     queued = written(queued, "queued")
 

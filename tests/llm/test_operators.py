@@ -107,6 +107,18 @@ def test_mix():
     assert mix(table([])).count() == 0 and mix(table([(1, None, None)])).head().taken == 0
 
 
+def test_mix_of_repeated_and_null_ids():
+    rows = [(None, "one two three", "a")] * 40 + [(5, "one two", "a")] * 30 + [(5, "one", "b")] * 20 + [(i, prose(3), "b") for i in range(10, 30)] + [(7, None, None)] * 3
+    got = mix(table(rows)).collect()
+    assert sorted(((r.doc_id, r.size) for r in got), key=repr) == sorted(((i, len((t or "").split())) for i, t, _ in rows), key=repr)
+    # a queues 180 words and b 80; 5 to 2 of 260 words in all
+    taken = {size: sum(r.taken for r in got if r.source_size == size) for size in (180, 80)}
+    target = {r.source_size: r.target for r in got}
+    assert all(abs(taken[size] - target[size]) <= 3 for size in taken) and sum(target[s] for s in taken) == pytest.approx(260)
+    again = mix(table(rows).repartition(5), ranges=4, time_ranges=4).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+
+
 def brute_near(rows, threshold=75):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []

@@ -51,3 +51,32 @@ def test_stages():
         start += len(ids)
     got = sorted(map(tuple, corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()))
     assert got == want
+
+
+def test_stages_on_edge_cases(tmp_path):
+    """Null ids and texts, empty and long texts, repeated rows and ids, no labels, and an empty table, through every stage."""
+    spark = session()
+    passage, same = " ".join(f"q{i}" for i in range(20)), " ".join(f"w{i}" for i in range(40))
+    rows = [(None, "alpha beta gamma delta eps zeta", "a"), (None, None, "a"), (1, None, None), (2, "", "b"), (3, same, "a"), (3, same, "a"), (5, same, "b"), (6, " ".join(f"l{i}" for i in range(30_000)), "b"), (7, passage, "c")]
+    docs = spark.createDataFrame([(i, t, s, "en", 1, "x") for i, t, s in rows], "doc_id long, text string, source string, lang string, _id int, score string")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {
+        "quality": [None, None, 1, 2, 3, 3, 5, 6, 7],  # no labels: all stay
+        "near_dedup": [None, None, 1, 2, 3, 3, 6, 7],
+        "decontamination": [None, None, 1, 2, 3, 3, 6],
+    }
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
+        if name == "tokens":
+            assert out.count() == docs.count()
+            break
+        assert out.columns == docs.columns
+        docs = written(out, "test")
+        ids = sorted((r.doc_id for r in docs.collect()), key=lambda x: (x is not None, x or 0))
+        if name in want:
+            assert ids == want[name], name
+        else:
+            assert set(ids) <= {None, 3, 6} and all(r.text for r in docs.collect())
