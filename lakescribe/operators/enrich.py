@@ -34,6 +34,42 @@ def mean_pooled(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)
 
 
+#: The tokens of a text that an encoder sees, and its threads.
+ENCODER_TOKENS, ENCODER_THREADS = 2048, 2
+
+
+def pooled_encoder(session, tokenizer, max_tokens: int = ENCODER_TOKENS) -> Callable[[list[str]], np.ndarray]:
+    """An encoder from an inference session (inputs input_ids, attention_mask and, if it has it, token_type_ids; token vectors first among its outputs) and a tokenizer: mean-pooled unit vectors."""
+    tokenizer.enable_truncation(max_tokens)
+    tokenizer.enable_padding()
+    wanted = {i.name for i in session.get_inputs()}
+
+    def encode(texts: list[str]) -> np.ndarray:
+        found = tokenizer.encode_batch(list(texts))
+        ids, mask = (np.array([getattr(e, name) for e in found], dtype=np.int64) for name in ("ids", "attention_mask"))
+        inputs = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+        return mean_pooled(session.run(None, {k: v for k, v in inputs.items() if k in wanted})[0], mask)
+
+    return encode
+
+
+def onnx_encoder(model: str, tokenizer: str) -> Callable[[list[str]], np.ndarray]:
+    """An encoder from an ONNX model and a tokenizer's JSON, at the same paths on every machine; each Python process opens them once, on first use."""
+    opened: list = []
+
+    def encode(texts: list[str]) -> np.ndarray:
+        if not opened:
+            import onnxruntime
+            from tokenizers import Tokenizer
+
+            options = onnxruntime.SessionOptions()
+            options.intra_op_num_threads, options.inter_op_num_threads = ENCODER_THREADS, 1
+            opened.append(pooled_encoder(onnxruntime.InferenceSession(model, options, providers=["CPUExecutionProvider"]), Tokenizer.from_file(tokenizer)))
+        return opened[0](texts)
+
+    return encode
+
+
 def embedded(chunks: DataFrame, encode: Callable[[list[str]], np.ndarray] | None = None, batch: int = 8, text_col: str = "text", context_col: str = "context") -> DataFrame:
     """``chunks`` with ``vector``: an Arrow function that runs the encoder over batches; the encoder is made once per Python worker by the function it is closed over."""
     encode = encode or hashed_embedding

@@ -18,7 +18,7 @@ def entity_of(results: DataFrame, columns: Sequence[str] = ENTITY_COLUMNS) -> Co
 
 def hits(results: DataFrame, queries: DataFrame, entity_columns: Sequence[str] = ENTITY_COLUMNS) -> DataFrame:
     """Results (query_id, rank, document_type, ...) with ``hit``: an expected document type and, if any is expected, an expected entity."""
-    rows = results.withColumn("_entity", entity_of(results, entity_columns)).join(F.broadcast(queries.select("query_id", "expected_document_types", "expected_entities")), "query_id")
+    rows = results.withColumn("_entity", entity_of(results, entity_columns)).join(queries.select("query_id", "expected_document_types", "expected_entities"), "query_id")
     right_type = F.coalesce(F.array_contains("expected_document_types", F.col("document_type")), F.lit(False))
     right_entity = (F.size(F.coalesce("expected_entities", F.array().cast("array<string>"))) == 0) | F.coalesce(F.array_contains("expected_entities", F.col("_entity")), F.lit(False))
     return rows.withColumn("hit", right_type & right_entity)

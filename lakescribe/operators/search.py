@@ -38,15 +38,26 @@ def top_k(scored: DataFrame, k: int, by: Sequence[str] = ("query_id",), score: s
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def vector_search(chunks: DataFrame, queries: DataFrame, k: int, by: Sequence[str] = ("query_id",), metric: str = "cosine", digits: int | None = 6) -> DataFrame:
-    """The ``k`` chunks (chunk_id, vector, ...) closest to each query (query_id, query_vector): exact, one scan of the chunks for all queries.
+#: Queries' vectors are sent to executors in blocks of so many bytes.
+QUERY_BLOCK = 16 << 20
 
-    Queries are the small side and sent to all executors, each chunk meets each query where it lies: nothing but the best rows is shuffled.
+
+def vector_search(chunks: DataFrame, queries: DataFrame, k: int, by: Sequence[str] = ("query_id",), metric: str = "cosine", digits: int | None = 6, block_bytes: int = QUERY_BLOCK) -> DataFrame:
+    """The ``k`` chunks (chunk_id, vector, ...) closest to each query (query_id, query_vector, ...): exact, one scan of the chunks for each block of queries.
+
+    Queries are the stated set: they go to all executors in blocks of a measured size, and each chunk meets each query of a block where it lies: nothing but the best rows is shuffled.
     """
-    pairs = chunks.crossJoin(F.broadcast(queries)) if "query_id" in queries.columns else chunks
+    bytes_of = F.coalesce(F.size("query_vector"), F.lit(0)) * 8 + 64
+    size = queries.agg(F.coalesce(F.sum(bytes_of.cast("long")), F.lit(0))).head()[0]
+    blocks = max(1, -(-size // block_bytes))
     score = similarity(F.col("vector"), F.col("query_vector"), metric)
-    scored = pairs.withColumn("score", F.round(score, digits) if digits is not None else score).drop("vector", "query_vector")
-    return top_k(scored, k, by)
+    out = None
+    for n in range(blocks):
+        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        scored = chunks.crossJoin(F.broadcast(own)).withColumn("score", F.round(score, digits) if digits is not None else score).drop("vector", "query_vector")
+        best = top_k(scored, k, by)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def nearest(chunks: DataFrame, vector: Sequence[float], k: int, metric: str = "cosine") -> DataFrame:
@@ -194,7 +205,7 @@ def reranked(results: DataFrame, scores: DataFrame, k: int, by: Sequence[str] =
 
     Ranks stay as they were.
     """
-    joined = results.withColumn("index", F.col("rank") - 1).join(F.broadcast(scores), [*by, "index"], "left").drop("index")
+    joined = results.withColumn("index", F.col("rank") - 1).join(scores, [*by, "index"], "left").drop("index")
     joined = joined.withColumn("rerank_score", F.coalesce("rerank_score", F.lit(0.0)))
     order = Window.partitionBy(*by).orderBy(F.desc("rerank_score"), "rank")
     return joined.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)

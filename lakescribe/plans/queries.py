@@ -175,7 +175,36 @@ def split_paragraphs(spark, d):
     return t(spark, d, "documents").select("doc_id", F.posexplode(chunking.split_paragraphs(text, 200, 50)).alias("piece", "text")).filter(tx.strip(F.col("text")) != "")
 
 
-@query()
+def _kind(body: str) -> str:
+    """Content type of a text in SQL."""
+    lines = f"list_filter(list_transform(string_split({body}, chr(10)), lambda x: trim(x, E' \\t\\r')), lambda x: x <> '')"
+    tables, lists = f"len(list_filter({lines}, lambda x: contains(x, '|')))", f"len(list_filter({lines}, lambda x: regexp_matches(x, '^[-*•]\\s|^\\d+[.)]\\s')))"
+    return f"CASE WHEN len({lines}) = 0 THEN 'prose' WHEN {tables} > len({lines}) * 0.4::DOUBLE THEN 'table' WHEN {lists} > len({lines}) * 0.4::DOUBLE THEN 'list' WHEN {tables} + {lists} > 0 THEN 'mixed' ELSE 'prose' END"
+
+
+QUANTITY = r"""(regexp_matches({0}, '\d+[.,]\d+\s*%') OR regexp_matches({0}, '\d+\s*%') OR regexp_matches({0}, '\$[\d,]+') OR regexp_matches({0}, '\d{{1,3}}(?:,\d{{3}})+')
+  OR regexp_matches({0}, '\d+\s*(?:personas|residentes|habitantes|viviendas|hogares|familias)'))"""
+PAGES = r"list_transform(regexp_extract_all({0}, '<!--\s*Page\s+(\d+)\s*-->', 1), lambda p: p::INT)"
+
+
+# sections of these documents are within a chunk's size, so none is cut: whole sections are chunks, small neighbours are merged
+@query(f"""WITH RECURSIVE {CONV},
+s AS (SELECT conv_id, main_no::INT AS pos, max(title) FILTER (level = 2) AS title,
+  string_agg(CASE WHEN level = 2 THEN content ELSE '### ' || title || E'\\n\\n' || content END, E'\\n\\n' ORDER BY turn) FILTER (level = 3 OR content <> '') AS body FROM n WHERE main_no > 0 GROUP BY 1, 2),
+b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS pos, count(*) OVER (PARTITION BY conv_id) AS last, title, content AS body FROM c WHERE conv_id IN (SELECT conv_id FROM flat)),
+fb AS (SELECT *, min(CASE WHEN pos < last AND {TOKENS.format('body')} >= 30 THEN pos END) OVER (PARTITION BY conv_id) AS begins FROM b),
+sec AS (SELECT conv_id, pos, title, coalesce(body, '') AS body FROM s UNION ALL SELECT conv_id, pos, title, body FROM fb WHERE body <> '' AND CASE WHEN pos < last THEN coalesce(pos >= begins, false) ELSE begins IS NOT NULL OR {TOKENS.format('body')} >= 100 END),
+pc AS (SELECT conv_id, title, body, 'city: c' || conv_id % 3 || E'\\n\\n## ' || title || E'\\n\\n' || body AS text, row_number() OVER (PARTITION BY conv_id ORDER BY pos)::INT AS i FROM sec WHERE lower(title) <> 'user 2' AND {TOKENS.format('body')} >= 100),
+w AS (SELECT *, len({WORDS.format('text')}) AS words, {TOKENS.format('text')} AS tokens FROM pc),
+r AS (
+  SELECT conv_id, i, 1 AS run, tokens < 200 AS open, words AS held FROM w WHERE i = 1
+  UNION ALL
+  SELECT w.conv_id, w.i, CASE WHEN fits THEN run ELSE run + 1 END, w.tokens < 200, CASE WHEN fits THEN held + w.words ELSE w.words END
+  FROM (SELECT r.*, n.tokens < 200 AND open AND floor(held * 1.3::DOUBLE)::INT + n.tokens <= 1500 AS fits FROM r JOIN w AS n ON n.conv_id = r.conv_id AND n.i = r.i + 1) AS r JOIN w ON w.conv_id = r.conv_id AND w.i = r.i + 1
+),
+m AS (SELECT conv_id, run, count(*) AS pieces, string_agg(text, E'\\n\\n' ORDER BY i) AS text, arg_min(title, i) AS title, arg_min(body, i) AS body, bool_or({QUANTITY.format('body')}) AS quantitative FROM w JOIN r USING (conv_id, i) GROUP BY 1, 2)
+SELECT conv_id::VARCHAR AS source_file, 'talk' AS document_type, 'c' || conv_id % 3 AS city, text, title AS section_title, 2 AS section_level, CASE WHEN pieces > 1 THEN {_kind('text')} ELSE {_kind('body')} END AS content_type,
+  quantitative AS has_quantitative_data, run - 1 AS chunk_index, coalesce(list_min({PAGES.format('text')}), -1) AS page_start, coalesce(list_max({PAGES.format('text')}), -1) AS page_end FROM m""")
 def process_documents(spark, d):
     docs = conversations_md(spark, d).select("text", F.col("conv_id").cast("string").alias("source_file"), F.lit("talk").alias("document_type"), F.concat(F.lit("c"), F.col("conv_id") % 3).alias("city"))
     return chunking.process_documents(docs, ["city"], skip_exact=["user 2"])

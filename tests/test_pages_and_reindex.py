@@ -216,6 +216,13 @@ def test_stored_index_is_rebuilt_and_ranks_alike(spark, tmp_path):
         search.rebuild_index(chunks.limit(0), f"file://{tmp_path}/none")
 
 
+def test_vector_queries_go_in_blocks(spark):
+    chunks = workspace.written(chunk_table(spark), "chunks").select("chunk_id", "vector")
+    queries = chunks.select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    one, many = (sorted((r.query_id, r.chunk_id, r.rank) for r in search.vector_search(chunks, queries, 2, block_bytes=b).collect()) for b in (1 << 20, 600))
+    assert one == many and len(one) == 10
+
+
 def test_instructions_and_defaults():
     config = parse_config(RAW)
     assert interpolated("{entity_count} {filter_list}", config) == "2 " + ", ".join(sorted(config.valid_filters))
@@ -257,3 +264,45 @@ def test_append_aligns_columns_by_name(spark, tmp_path):
     assert sorted(((r.text, r.n, r.document_type) for r in spark.read.parquet(path).collect())) == [("a", 1, "t"), ("b", None, "u")]
     with pytest.raises(ValueError):
         files.append_chunks(spark.createDataFrame([("u", "b")], "document_type string, other string"), path)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import yaml
+
+    from lakescribe.__main__ import main
+
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "Boston_1.md").write_text("## Part\n\n" + "inundaciones en la ciudad " * 60)
+    raw = {**RAW, "document_types": [{"name": "report", "directory": f"file://{tmp_path}/docs"}]}
+    (tmp_path / "c.yaml").write_text(yaml.safe_dump(raw))
+    common = ["--config", str(tmp_path / "c.yaml"), "--base", f"file://{tmp_path}/store"]
+    assert main(["reindex", *common, "--dry-run"], spark) == 0 and "new=1" in capsys.readouterr().out
+    assert main(["reindex", *common], spark) == 0 and "applied=True" in capsys.readouterr().out
+    assert main(["rebuild-index", *common], spark) == 0 and "1 found" in capsys.readouterr().out
+    (tmp_path / "q.json").write_text(json.dumps({"queries": [{"id": "1", "query": "inundaciones", "category": "c", "difficulty": "d", "expected_document_types": ["report"], "expected_entities": ["Boston"]}]}))
+    assert main(["evaluate", str(tmp_path / "q.json"), *common, "--mode", "fts", "--output", str(tmp_path / "out")], spark) == 0
+    assert '"avg_mrr": 1.0' in capsys.readouterr().out and list((tmp_path / "out").iterdir())
+    assert main(["reindex", "--config", str(tmp_path / "none.yaml")], spark) == 1
+
+
+def test_an_encoder_sees_so_many_tokens_and_gives_unit_vectors():
+    import types
+
+    import numpy as np
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tokenizer = Tokenizer(models.WordLevel({"[UNK]": 0, "a": 1, "b": 2}, unk_token="[UNK]"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
+    seen = []
+
+    class Session:
+        def get_inputs(self):
+            return [types.SimpleNamespace(name=n) for n in ("input_ids", "attention_mask")]
+
+        def run(self, _, inputs):
+            seen.append({k: v.shape for k, v in inputs.items()})
+            return [np.eye(3, dtype=np.float32)[inputs["input_ids"]]]
+
+    vectors = enrich.pooled_encoder(Session(), tokenizer)(["a " * 5000, "b a"])
+    assert seen == [{"input_ids": (2, 2048), "attention_mask": (2, 2048)}] and np.allclose(np.linalg.norm(vectors, axis=1), 1)
+    assert np.allclose(vectors[0], [0, 1, 0]) and np.allclose(vectors[1], [0, 2**-0.5, 2**-0.5])
