@@ -243,12 +243,16 @@ def _found(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["kind", "grp", "size", "a", "b"])
 
 
-def parts_of_chunk(group: int, size: int, ids: list[int], pivot: list[bool], links: list[tuple[int, int]]) -> list[tuple]:
-    """What a chunk of a group of several chunks says of its members' parts: the least pivot of a member's component in the chunk, else the least member, and which pivots are in one part."""
-    forest = Forest(len(ids))
+def roots_of(links: list[tuple[int, int]], n: int) -> list[int]:
+    """The least member of each member's component; members are in the order of their ids."""
+    forest = Forest(n)
     for x, y in links:
         forest.join(x, y)
-    roots = [forest.root(i) for i in range(len(ids))]
+    return [forest.root(i) for i in range(n)]
+
+
+def parts_of_chunk(group: int, size: int, ids: list[int], pivot: list[bool], roots: list[int]) -> list[tuple]:
+    """What a chunk of a group of several chunks says of its members' parts: the least pivot of a member's component in the chunk, else the least member, and which pivots are in one part."""
     pivots: dict[int, list[int]] = {}
     least: dict[int, int] = {}
     for i, r in enumerate(roots):
@@ -292,10 +296,11 @@ def connected(members: DataFrame, key: str, payload: DataFrame, links_of, block:
         for (group, _), own in _grouped(batches, ["grp", "_chunk"], [*columns, "_size", "_pivot"]):
             pivot, sizes = own.pop(), own.pop()
             ids, everyone = own[0], np.arange(len(own[0]))
-            links = links_of(own, everyone, everyone, None)
-            out.update((LINK, 0, 0, ids[x], ids[y]) for x, y in links)
+            # a task's components are reported as stars, each member linked to the least one, which takes fewer rounds to put together than chains
+            roots = roots_of(links_of(own, everyone, everyone, None), len(ids))
+            out.update((LINK, 0, 0, ids[i], ids[r]) for i, r in enumerate(roots) if i != r)
             if sizes[0] > block:
-                out.update(parts_of_chunk(group, sizes[0], ids, pivot, links))
+                out.update(parts_of_chunk(group, sizes[0], ids, pivot, roots))
             if len(out) > 50_000:
                 yield _found(out)
                 out.clear()
@@ -304,8 +309,9 @@ def connected(members: DataFrame, key: str, payload: DataFrame, links_of, block:
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in _grouped(batches, ["grp", "_chunk", "_other"], [*columns, "_part", "_rest"]):
             rest, part = np.array(own.pop()), np.array(own.pop())
-            found = links_of(own, np.flatnonzero(rest == 1), np.flatnonzero(rest == 0), part)
-            yield _edges([(own[0][x], own[0][y]) for x, y in found])
+            ids = own[0]
+            roots = roots_of(links_of(own, np.flatnonzero(rest == 1), np.flatnonzero(rest == 0), part), len(ids))
+            yield _edges([(ids[i], ids[r]) for i, r in enumerate(roots) if ids[i] != ids[r]])
 
     dealt = first_chunks(members.join(payload, "_id"), block).repartition("grp", "_chunk").sortWithinPartitions("grp", "_chunk", "_id")
     found = written(dealt.select("grp", "_chunk", *columns, "_size", "_pivot").mapInArrow(first, FOUND), "links")
