@@ -49,7 +49,7 @@ class Engine:
     def open(cls, spark: SparkSession, path: str | None = None, table: str | None = None, config: CorpusConfig | None = None, **options: Any) -> Engine:
         """The engine over a stored table: ``path``/``table``, where the path is the one given, else CORPUS_DB_PATH, else a folder of the user's home, and
         the table the one given, else the configuration's, else "chunks". A full-text index beside the table (``table``_fts) is opened with it. Only metadata is read."""
-        base = (path or os.environ.get("CORPUS_DB_PATH") or str(Path.home() / "corpus-rag" / "data")).rstrip("/")
+        base = (path or os.environ.get("CORPUS_DB_PATH") or str(Path.home() / "lakescribe" / "data")).rstrip("/")
         place = f"{base}/{table or (config.table_name if config else 'chunks')}"
         index = search.open_index(spark, f"{place}_fts") if "index" not in options and exists(spark, f"{place}_fts/statistics") else options.pop("index", None)
         return cls(spark.read.parquet(place), config, index=index, **options)
