@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lakescribe.llm.common import fold_bucket, table, with_ids, written
 from lakescribe.llm.decontaminate import decontaminate
-from lakescribe.llm.mixing import mix
+from lakescribe.llm.mixing import WORD, mix
 from lakescribe.llm.near_dedup import near_duplicates
 from lakescribe.llm.quality import good_documents
 from lakescribe.llm.queries import vocabulary
@@ -57,6 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own, times = "_taken_" + uuid4().hex, "_times_" + uuid4().hex  # whatever columns the rows have
     taken = mix(docs).filter("taken > 0").groupBy(F.col("doc_id").alias(own)).agg(F.max(F.expr("int(taken div size)")).alias(times))
     taken = written(taken, "taken")
+    docs = docs.filter(F.col("text").rlike(WORD))  # a row without words is not taken, whatever rows share its id
     joined = docs.filter("doc_id IS NOT NULL").join(taken.hint("shuffle_hash"), F.col("doc_id") == F.col(own)).drop(own)
     if null := taken.filter(F.col(own).isNull()).head(1):
         joined = joined.unionByName(docs.filter("doc_id IS NULL").withColumn(times, F.lit(null[0][times])))
