@@ -123,3 +123,143 @@ reach AS (SELECT a AS node, a AS seen FROM e2 UNION SELECT e2.b, reach.seen FROM
 m AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY 1)
 SELECT doc_id, len(s) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept FROM s LEFT JOIN m ON doc_id = node
 """
+
+
+def _or_less(*states: str) -> str:
+    return f"least({', '.join(states)})"
+
+
+def _cost(state: str, cost: str, letter: str) -> str:
+    """A state is its cost, padded, and the edits that follow: the least string is the cheapest, then the ASCII-least."""
+    return f"(lpad((substr({state}, 1, 9)::INT + {cost})::VARCHAR, 9, '0') || '{letter}' || substr({state}, 10))"
+
+
+def _repair() -> str:
+    """The edit automaton as a recursion from the last row to the first, with all edits kept as strings."""
+    goes, cut = "x.symbol = 8", "(CASE WHEN x.symbol >= 4 THEN 3 ELSE 0 END)"
+    nexts, keeps = ("v2", "v2", "v3", "v2"), {0: {0: "v1", 1: "v2"}, 1: {1: "v2"}, 2: {2: "v3"}, 3: {1: "v2"}}
+    w = []
+    for q in range(4):
+        keep = " ".join(f"WHEN x.symbol % 4 = {kind} THEN {_cost('d.' + to, cut, 'K')}" for kind, to in keeps[q].items())
+        rest = _or_less(_cost(f"d.v{q}", "4", "D"), _cost("d." + nexts[q], "3 + " + cut, "R"), f"coalesce(CASE {keep} END, '~')")
+        w.append(f"CASE WHEN {goes} THEN {_cost(f'd.v{q}', '4', 'D')} ELSE {rest} END AS w{q}")
+    two = _or_less("w2", _cost("w3", "3", "I"))
+    closed = [_or_less("w0", _cost(two, "3", "I")), _or_less("w1", _cost(two, "3", "I")), two, _or_less("w3", _cost("w2", "3", "I"))]
+    sp = r"chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+    crc = "crc"
+    return rf"""
+WITH RECURSIVE bits(k, c) AS (
+  SELECT i, i::BIGINT FROM range(256) t(i)
+), crc_table AS (
+  SELECT list(v ORDER BY k) AS tab FROM (
+    SELECT k, list_reduce([c] || range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS v FROM bits)
+), keyed AS (
+  SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), hashed AS (
+  SELECT keyed.*, xor(4294967295, list_reduce([4294967295] || list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::BIGINT),
+    lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8))) % 20 AS {crc} FROM keyed, crc_table
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN {crc} = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE {crc} WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+    unnest(CASE WHEN {crc} = 3 THEN [0, 1] ELSE [0] END) AS copy FROM hashed WHERE {crc} <> 0
+), placed AS (
+  SELECT conv_id, turn, role, text, row_number() OVER w AS pos, left(role, 1) AS initial, lag(left(role, 1)) OVER w AS before FROM hurt
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth, rtrim(text, {sp}) AS bare FROM placed
+), faulty AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    CASE initial WHEN 's' THEN 0 WHEN 'u' THEN 1 WHEN 'a' THEN 2 ELSE 3 END AS kind FROM seen
+), x AS (
+  SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 8 WHEN fault = 'truncated' THEN kind + 4 ELSE kind END AS symbol FROM faulty
+), facts AS (
+  SELECT conv_id, greatest(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate,
+    count_if(fault = 'truncated') AS truncated, count_if(pos > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n FROM x GROUP BY conv_id
+), d(conv_id, pos, v0, v1, v2, v3) AS (
+  SELECT conv_id, n + 1, '000000000', '000000006II', '000000003I', '000000000' FROM facts
+  UNION ALL
+  SELECT conv_id, pos, {closed[0]}, {closed[1]}, {closed[2]}, {closed[3]} FROM (
+    SELECT x.conv_id, x.pos, {', '.join(w)} FROM d JOIN x ON x.conv_id IS NOT DISTINCT FROM d.conv_id AND x.pos = d.pos - 1)
+), best AS (
+  SELECT conv_id, substr(v0, 1, 9)::BIGINT AS cost, substr(v0, 10) AS audit FROM d WHERE pos = 1
+), letters AS (
+  SELECT conv_id, unnest(range(1, length(audit) + 1)) AS k, audit FROM best
+), steps AS (
+  SELECT conv_id, k, audit[k] AS letter, count_if(audit[k] <> 'I') OVER w AS pos, count_if(audit[k] <> 'D') OVER w AS place FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+), made AS (
+  SELECT s.conv_id, s.k, s.letter, s.place, x.role, x.text, max(s.letter = 'K' AND s.place = 1 AND x.kind = 0) OVER (PARTITION BY s.conv_id) AS lead
+  FROM steps s LEFT JOIN x ON s.letter <> 'I' AND x.conv_id IS NOT DISTINCT FROM s.conv_id AND x.pos = s.pos
+), joined AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - CASE WHEN lead THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS whole
+  FROM made WHERE letter <> 'D' GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN joined j ON j.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+REPAIR = _repair()
+
+#: The reputation of hosts as in hosts.py, with three levels one by one.
+URLS = r"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), rules(site, start, v) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), r AS (
+  SELECT u.*, (SELECT max_by(site || start || ' ' || v, length(site || start)) FROM rules WHERE (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start)) AS hit FROM u
+), j AS (
+  SELECT page_id, host, path, split_part(hit, ' ', 1) AS rule, split_part(hit, ' ', 2) AS v FROM r
+), named AS (
+  SELECT *, split_part(host, '.', -1) AS last, array_to_string(string_split(host, '.')[-2:], '.') AS last2, array_to_string(string_split(host, '.')[-3:], '.') AS last3 FROM (SELECT DISTINCT host FROM u)
+), h AS (
+  SELECT host, CASE WHEN listed THEN last2 ELSE last END AS suffix, CASE WHEN listed THEN last3 ELSE last2 END AS domain FROM (
+    SELECT *, last2 IN ('ac.uk', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'com.ar', 'com.au', 'com.br', 'com.cn', 'com.mx', 'com.tr', 'gov.uk', 'org.au', 'org.uk') AS listed FROM named)
+), bh AS (
+  SELECT host, domain, suffix, count_if(v = 'block')::DOUBLE AS k, count(*)::DOUBLE AS n FROM j JOIN h USING (host) WHERE v IS NOT NULL GROUP BY 1, 2, 3
+), bd AS (SELECT domain, suffix, sum(k) AS k, sum(n) AS n FROM bh GROUP BY 1, 2
+), bs AS (SELECT suffix, sum(k) AS k, sum(n) AS n FROM bd GROUP BY 1
+), ba AS (SELECT coalesce(sum(k), 0) AS k, coalesce(sum(n), 0) AS n FROM bs
+), level(name, ck, cn, pk, pn) AS (
+  SELECT 's', bs.k, bs.n, ba.k, ba.n FROM bs, ba UNION ALL SELECT 'd', bd.k, bd.n, bs.k, bs.n FROM bd JOIN bs USING (suffix) UNION ALL SELECT 'h', bh.k, bh.n, bd.k, bd.n FROM bh JOIN bd USING (domain)
+), rho AS (
+  SELECT name, least(0.9, greatest(0.001, CASE WHEN sum(e * (cn - 1)) > 0 THEN (sum(cn * pow(ck / cn - pk / pn, 2)) - sum(e)) / sum(e * (cn - 1)) ELSE 0.001 END)) AS r
+  FROM (SELECT *, pk / pn * (1 - pk / pn) AS e FROM level) GROUP BY name
+), c AS (
+  SELECT coalesce(max(CASE WHEN name = 's' THEN (1 - r) / r END), 1) AS cs, coalesce(max(CASE WHEN name = 'd' THEN (1 - r) / r END), 1) AS cd, coalesce(max(CASE WHEN name = 'h' THEN (1 - r) / r END), 1) AS ch FROM rho
+), m AS (
+  SELECT h.host, (coalesce(bh.k, 0) + ch * (coalesce(bd.k, 0) + cd * (coalesce(bs.k, 0) + cs * (ba.k + 0.5) / (ba.n + 1)) / (coalesce(bs.n, 0) + cs)) / (coalesce(bd.n, 0) + cd)) / (coalesce(bh.n, 0) + ch) AS m, coalesce(bh.n, 0) + ch AS size
+  FROM h CROSS JOIN c CROSS JOIN ba LEFT JOIN bs USING (suffix) LEFT JOIN bd ON bd.domain = h.domain LEFT JOIN bh ON bh.host = h.host
+)
+SELECT page_id, j.host, path, rule, coalesce(v, CASE WHEN m.m - 1.645 * sqrt(m.m * (1 - m.m) / (size + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM j JOIN m ON m.host = j.host"""
+
+#: Frequent sets by growing them with the baskets that hold each; closed ones have no larger set with as many baskets.
+BASKETS = r"""
+WITH RECURSIVE b AS (
+  SELECT DISTINCT sale_id AS s, item_id AS i FROM sale_lines WHERE sale_id IS NOT NULL AND item_id IS NOT NULL
+), total AS (SELECT count(DISTINCT s) AS b FROM b
+), one AS (
+  SELECT i, list(s) AS held, count(*) AS n FROM b GROUP BY i HAVING count(*) >= 5 AND count(*) * 20000 >= (SELECT b FROM total)
+), kept AS (SELECT s, i FROM b WHERE i IN (SELECT i FROM one)
+), pair AS (
+  SELECT x.i AS a, y.i AS b FROM kept x JOIN kept y ON x.s = y.s AND x.i < y.i GROUP BY 1, 2 HAVING count(*) >= 5 AND count(*) * 20000 >= (SELECT b FROM total)
+), sets(items, last, held, n) AS (
+  SELECT [i], i, held, n FROM one
+  UNION ALL
+  SELECT items, last, held, len(held) FROM (
+    SELECT list_append(sets.items, pair.b) AS items, pair.b AS last, list_intersect(sets.held, one.held) AS held FROM sets JOIN pair ON pair.a = sets.last JOIN one ON one.i = pair.b)
+  WHERE len(held) >= 5 AND len(held) * 20000 >= (SELECT b FROM total)
+), parts AS (
+  SELECT items, n, c, list_filter(items, lambda x: x <> c) AS rest FROM (SELECT items, n, unnest(items) AS c FROM sets)
+), closed AS (
+  SELECT items, n FROM sets WHERE NOT EXISTS (SELECT 1 FROM parts WHERE parts.rest = sets.items AND parts.n = sets.n)
+), rules AS (
+  SELECT p.items, p.c, r.n AS a, o.n AS s FROM parts p JOIN closed USING (items) JOIN sets r ON r.items = p.rest JOIN one o ON o.i = p.c
+  WHERE 100 * p.n >= 60 * r.n AND p.n * (SELECT b FROM total) > r.n * o.n
+), listed AS (
+  SELECT items, count(*) AS n_rules, arg_min(c, (a, c)) AS best_item, string_agg(c || ':' || a || ':' || s, ';' ORDER BY c) AS text FROM rules GROUP BY items
+)
+SELECT array_to_string(items, ',') AS items, len(items)::BIGINT AS n_items, n::BIGINT AS support, coalesce(n_rules, 0)::BIGINT AS n_rules, best_item, sha256(coalesce(text, '')) AS rules_sha256
+FROM closed LEFT JOIN listed USING (items)"""

@@ -80,9 +80,37 @@ def op10_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    from .conversations import conversation_reports, damaged
+
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_reports(damaged(turns), turns)
+
+
+def op12_itemsets(spark, sf_dir):
+    from .itemsets import closed_itemsets
+
+    sets = closed_itemsets(table(spark, sf_dir, "sale_lines"))
+    best = F.array_min(F.transform("rules", lambda r: F.struct(r["a"].alias("a"), r["c"].alias("c"))))["c"]
+    listed = F.array_join(F.transform("rules", lambda r: F.concat_ws(":", r["c"].cast("string"), r["a"].cast("string"), r["s"].cast("string"))), ";")
+    items = F.array_join(F.transform("items", lambda i: i.cast("string")), ",")
+    sizes = [F.size(c).cast("long").alias(n) for c, n in (("items", "n_items"), ("rules", "n_rules"))]
+    return sets.select(items.alias("items"), sizes[0], "support", sizes[1], best.alias("best_item"), F.sha2(listed.cast("binary"), 256).alias("rules_sha256"))
+
+
+#: The rules that the contract names: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op13_url_filter(spark, sf_dir):
+    from .hosts import judged_urls
+
+    return judged_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": oracles.EXACT, "op3_secret_scan": oracles.SECRETS, "op8_source_mix": oracles.MIX, "op9_decontamination": oracles.PHRASES, "op10_near_dedup": oracles.NEAR}
+    return {"op1_exact_dedup": oracles.EXACT, "op3_secret_scan": oracles.SECRETS, "op8_source_mix": oracles.MIX, "op9_decontamination": oracles.PHRASES, "op10_near_dedup": oracles.NEAR, "op11_conversation_repair": oracles.REPAIR, "op12_itemsets": oracles.BASKETS, "op13_url_filter": oracles.URLS}
