@@ -1,4 +1,4 @@
-"""Command line: reindex, rebuild-index, evaluate, propose-config. Spark's own settings come from the environment or spark-submit."""
+"""Command line: reindex, rebuild-index, compact, evaluate, documents. Spark's own settings come from the environment or spark-submit."""
 
 from __future__ import annotations
 
@@ -27,6 +27,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--dry-run", action="store_true", help="only say what would change; a full run is done all the same")
     p = command("rebuild-index", "build the full-text index anew")
     p.add_argument("--query", default="inundaciones", help="tried on the new index")
+    p = command("compact", "rewrite the table without deleted rows and the index as one segment")
+    p.add_argument("--vacuum", action="store_true", help="delete what older versions hold")
     p = command("evaluate", "retrieval quality over a data set of queries")
     p.add_argument("dataset")
     p.add_argument("--mode", default="hybrid", choices=["hybrid", "semantic", "fts"])
@@ -45,21 +47,21 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         print(e, file=sys.stderr)
         return 1
     spark = spark or SparkSession.builder.appName("lakescribe").getOrCreate()
-    from .operators import search
     from .plans import evaluate, reindex
     from .plans.engine import Engine
     from .sources.files import scan_evaluation
 
-    place = f"{given.base.rstrip('/')}/{config.table_name}"
     if given.command == "reindex":
         print(reindex.run(spark, config, given.base, full_run=given.full, dry_run=given.dry_run))
     elif given.command == "rebuild-index":
         try:
-            n, found = search.rebuild_index(spark.read.parquet(place), f"{place}_fts", given.query)
+            n, found = reindex.rebuild_text_index(spark, config, given.base, given.query)
         except ValueError as e:
             print(e, file=sys.stderr)
             return 1
         print(f"{n} chunks, {found.count()} found for {given.query!r}")
+    elif given.command == "compact":
+        print(f"version {reindex.compact(spark, config, given.base, given.vacuum)}")
     elif given.command == "evaluate":
         per_query = evaluate.evaluate(Engine.open(spark, given.base, config=config), scan_evaluation(spark, given.dataset), given.mode, given.limit)
         values = evaluate.report(per_query, given.mode, given.limit)

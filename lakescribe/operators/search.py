@@ -7,15 +7,17 @@ with a rank limit, which Spark applies before the shuffle, so only a few rows pe
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources.workspace import new_path
+from .textindex import TextIndex, best_blocks, open_index, plan, write_index
 
-K1, B = 1.2, 0.75
+from .vectors import top_k, vector_search
+
+__all__ = ["TextIndex", "open_index", "top_k", "vector_search", "write_index"]
 RRF_K = 60
 SUMMARY_BOOST = 0.70
 SUMMARY_MARK = "[RESUMEN IA] "
@@ -32,73 +34,12 @@ def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
     return d if metric == "cosine" else 2 * d - 1
 
 
-def top_k(scored: DataFrame, k: int, by: Sequence[str] = ("query_id",), score: str = "score", ties: Sequence[str] = ("chunk_id",)) -> DataFrame:
-    """The ``k`` best rows of each ``by`` group with their rank from 1; equal scores by ``ties``."""
-    order = Window.partitionBy(*by).orderBy(F.desc(score), *ties)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-#: Queries' vectors are sent to executors in blocks of so many bytes.
-QUERY_BLOCK = 16 << 20
-
-
-def vector_search(chunks: DataFrame, queries: DataFrame, k: int, by: Sequence[str] = ("query_id",), metric: str = "cosine", digits: int | None = 6, block_bytes: int = QUERY_BLOCK) -> DataFrame:
-    """The ``k`` chunks (chunk_id, vector, ...) closest to each query (query_id, query_vector, ...): exact, one scan of the chunks for each block of queries.
-
-    Queries are the stated set: they go to all executors in blocks of a measured size, and each chunk meets each query of a block where it lies: nothing but the best rows is shuffled.
-    """
-    bytes_of = F.coalesce(F.size("query_vector"), F.lit(0)) * 8 + 64
-    size = queries.agg(F.coalesce(F.sum(bytes_of.cast("long")), F.lit(0))).head()[0]
-    blocks = max(1, -(-size // block_bytes))
-    score = similarity(F.col("vector"), F.col("query_vector"), metric)
-    out = None
-    for n in range(blocks):
-        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
-        scored = chunks.crossJoin(F.broadcast(own)).withColumn("score", F.round(score, digits) if digits is not None else score).drop("vector", "query_vector")
-        best = top_k(scored, k, by)
-        out = best if out is None else out.unionByName(best)
-    return out
-
-
 def nearest(chunks: DataFrame, vector: Sequence[float], k: int, metric: str = "cosine") -> DataFrame:
     """The ``k`` chunks closest to one vector, which is a literal of the plan: a scan and a bounded sort."""
     score = similarity(F.col("vector"), F.array(*[F.lit(float(x)) for x in vector]), metric)
     return chunks.withColumn("score", score).drop("vector").orderBy(F.desc("score"), "chunk_id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
 
 
-@dataclass(frozen=True)
-class TextIndex:
-    """A full-text index: ``postings`` (term, chunk_id, tf, doc_len), the number of chunks and their average length."""
-
-    postings: DataFrame
-    n: int
-    avg_len: float
-
-
-def postings(chunks: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, chunk_id, tf, doc_len). One exchange, by chunk and term, of counts that are summed before it. A chunk without words has one row without a term."""
-    terms = chunks.select("chunk_id", tx.search_terms(F.coalesce(F.col(text_col), F.lit(""))).alias("_terms"))
-    flat = terms.select("chunk_id", F.size("_terms").alias("doc_len"), F.explode_outer("_terms").alias("term"))
-    return flat.groupBy("term", "chunk_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def write_index(chunks: DataFrame, path: str, text_col: str = "text") -> TextIndex:
-    """Builds the index of ``chunks`` and replaces what is at ``path``: texts are split once, here, and never at query time.
-
-    Files are sorted by term, so that a query's terms are found by the files' statistics. The corpus' numbers lie beside the postings, one row.
-    """
-    spark = chunks.sparkSession
-    postings(chunks, text_col).sortWithinPartitions("term").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
-    lengths = spark.read.parquet(f"{path}/postings").groupBy("chunk_id").agg(F.max("doc_len").alias("doc_len"))
-    lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avg_len")).write.mode("overwrite").parquet(f"{path}/statistics")
-    return open_index(spark, path)
-
-
-def open_index(spark: SparkSession, path: str) -> TextIndex:
-    row = spark.read.parquet(f"{path}/statistics").head()
-    return TextIndex(spark.read.parquet(f"{path}/postings"), row["n"], row["avg_len"])
-
-
 def rebuild_index(chunks: DataFrame, path: str, sanity: str = "inundaciones", limit: int = 3) -> tuple[int, DataFrame]:
     """Builds the index anew and tries it: the number of chunks, and the best of them for ``sanity``. Without chunks there is nothing to build: ValueError."""
     if not chunks.select("chunk_id").head(1):
@@ -108,29 +49,20 @@ def rebuild_index(chunks: DataFrame, path: str, sanity: str = "inundaciones", li
     return index.n, text_search(chunks, queries, limit, index)
 
 
-def bm25(index: TextIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) of the chunks that hold any of a query's terms; queries are (query_id, query).
-
-    The queries' distinct terms meet the postings by a join that Spark sends to all executors while they are few by its own measure; the index is reduced to them where it lies.
-    """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tx.search_terms(F.col("query")))).alias("term"))
-    hits = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = terms.join(frequency, "term").select("query_id", "term", F.log1p((F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(float(index.avg_len))))
-    return hits.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("idf") * tf), 9).alias("score"))
-
-
 def text_search(chunks: DataFrame, queries: DataFrame, k: int, index: TextIndex | None = None, by: Sequence[str] = ("query_id",)) -> DataFrame:
     """The ``k`` best chunks of each query by BM25; scores are divided by the best of the returned rows.
 
-    ``index`` is that of the whole corpus (without one it is built in the shared folder); ``chunks`` may be filtered, the filter holds before the ranking. Ids alone are ranked: of the
-    chunks, only ids and the columns of ``by`` and of the filter are read until the best are known, whose texts are then fetched.
+    ``index`` is that of the whole corpus (without one it is built in the shared folder); ``chunks`` may be filtered, the filter holds before the ranking. Only blocks of the index that can hold one
+    of the best are scored (all of them where ``by`` asks for the best of groups), ids alone are ranked, and the texts of the best rows are fetched then.
     """
     index = write_index(chunks, new_path(chunks.sparkSession, "text-index")) if index is None else index
     own = [c for c in by if c != "query_id"]
-    scored = bm25(index, queries).join(chunks.select("chunk_id", *own), "chunk_id").filter("score > 0")
-    best = top_k(scored, k, by)
+    search = plan(index, queries)
+    if search is None:
+        scored = queries.select("query_id").limit(0).crossJoin(chunks.select("chunk_id").limit(0)).withColumn("score", F.lit(0.0))
+    else:
+        scored = search.scored(None if own else best_blocks(search, chunks.select("chunk_id"), k))
+    best = top_k(scored.join(chunks.select("chunk_id", *own), "chunk_id").filter("score > 0"), k, by)
     best = best.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy(*by)))
     return chunks.drop(*own).join(best, "chunk_id")
 

@@ -15,8 +15,9 @@ from ..config import CorpusConfig
 from ..functions import text as tx
 from ..operators import catalog, filters, search
 from ..operators.enrich import hashed_embedding, with_waits
-from ..sources.files import exists
+from ..sources.chunktable import ChunkTable
 from ..sources.workspace import new_path
+from .reindex import text_index
 
 MODES = ("semantic", "fts", "hybrid")
 MOST_VALUES, MOST_KEYWORDS, HYBRID_FETCH, RERANK_FETCH = 40, 10, 3, 4
@@ -46,12 +47,16 @@ class Engine:
         self._index = index
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str | None = None, table: str | None = None, config: CorpusConfig | None = None, **options: Any) -> Engine:
+    def open(cls, spark: SparkSession, path: str | None = None, table: str | None = None, config: CorpusConfig | None = None, version: int | None = None, **options: Any) -> Engine:
         """The engine over a stored table: ``path``/``table``, where the path is the one given, else CORPUS_DB_PATH, else a folder of the user's home, and
-        the table the one given, else the configuration's, else "chunks". A full-text index beside the table (``table``_fts) is opened with it. Only metadata is read."""
+        the table the one given, else the configuration's, else "chunks". A versioned table is opened at its newest version, or at ``version``, with the index that belongs to it; a plain
+        Parquet table with the index beside it (``table``_fts), if any. Only metadata is read."""
         base = (path or os.environ.get("CORPUS_DB_PATH") or str(Path.home() / "lakescribe" / "data")).rstrip("/")
         place = f"{base}/{table or (config.table_name if config else 'chunks')}"
-        index = search.open_index(spark, f"{place}_fts") if "index" not in options and exists(spark, f"{place}_fts/statistics") else options.pop("index", None)
+        stored = ChunkTable.open(spark, place, version)
+        if stored.schema is not None:
+            return cls(stored.rows(), config, **{"index": text_index(stored), **options})
+        index = search.open_index(spark, f"{place}_fts") if "index" not in options else options.pop("index")
         return cls(spark.read.parquet(place), config, index=index, **options)
 
     @property

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import markdown as md
 from ..functions import text as tx
 from ..config import RESULT_DEFAULTS
-from ..operators import catalog, chunking, enrich, evaluation, filters, layout, manifest, pages, search
+from ..operators import catalog, chunking, enrich, evaluation, filters, layout, manifest, pages, search, textindex, vectors as vector_operators
 from ..sources import pages as sources_pages
+from ..sources.chunktable import ChunkTable
 from ..sources.workspace import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -339,6 +340,24 @@ def vector_filtered(spark, d):
     return search.vector_search(filters.filtered(vectors(spark, d), {"document_type": "3"}, ["document_type"]), vector_queries(spark, d), 5, metric="l2sq")
 
 
+@query(f"""WITH {VQ}, s AS (SELECT query_id, vec_id AS chunk_id, label::VARCHAR AS document_type, round({DOT}, 6) AS score FROM embeddings, vq)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s) WHERE rank <= 10""")
+def vector_cells_all(spark, d):
+    """The index of cells, with all cells looked into: equal to the exact search."""
+    rows = vectors(spark, d)
+    index = vector_operators.write_vector_index(rows, new_path(spark, "vector-index"))
+    return search.vector_search(rows, vector_queries(spark, d), 10, index=index, probes=len(index.centres))
+
+
+@query(f"""SELECT count(*) * 10 AS pairs, true AS reached FROM embeddings WHERE vec_id % 50 = 0""")
+def vector_cells_recall(spark, d):
+    """Whether the ten nearest of every query are found by the cells that the index looks into by itself, to nine tenths at least."""
+    rows, asked = vectors(spark, d), vector_queries(spark, d)
+    index = vector_operators.write_vector_index(rows, new_path(spark, "vector-index"))
+    found = vector_operators.recall(search.vector_search(rows, asked, 10, index=index), search.vector_search(rows, asked, 10))
+    return found.select("pairs", (F.col("recall") >= 0.9).alias("reached"))
+
+
 def _bm25_sql(queries: str, where: str = "true") -> str:
     terms = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
     return f"""{CHUNKS}, bq AS ({queries}),
@@ -359,9 +378,9 @@ def text_queries(spark, d):
     return t(spark, d, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def indexed(chunks):
-    """The stored index of all chunks; each query builds it once and reads it from there."""
-    return search.write_index(chunks, new_path(chunks.sparkSession, "text-index"))
+def indexed(spark, d):
+    """The stored index of all chunks, built once for each version of the table and read from there by all queries."""
+    return textindex.index_for(text_chunks(spark, d), f"{d}/documents.parquet")
 
 
 def text_chunks(spark, d):
@@ -370,17 +389,53 @@ def text_chunks(spark, d):
 
 @query(f"WITH {_bm25_sql(BENCH)} x AS (SELECT * FROM tr WHERE rank <= 5) SELECT query_id, chunk_id, document_type, rank, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM x")
 def fts_topk(spark, d):
-    out = search.text_search(text_chunks(spark, d), text_queries(spark, d), 5)
+    out = search.text_search(text_chunks(spark, d), text_queries(spark, d), 5, indexed(spark, d))
     return out.select("query_id", "chunk_id", "document_type", "rank", F.round("score", 6).alias("score"))
 
 
+#: Documents after a refresh: a third came, every seventh of the others has another text, and of the rest every fifth is gone.
+REFRESHED = """chunks AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 <> 0 AND doc_id % 7 = 0 THEN text || ' license updated' ELSE text END AS text, source AS document_type, lang
+FROM documents WHERE doc_id % 3 = 0 OR doc_id % 7 = 0 OR doc_id % 5 <> 0)"""
+
+
+def before_and_after(spark, d):
+    """(rows before, rows that are gone or have changed, rows that come)."""
+    c = chunks_of(spark, d)
+    n = F.col("chunk_id")
+    changed = c.filter((n % 3 != 0) & (n % 7 == 0)).withColumn("text", F.concat("text", F.lit(" license updated")))
+    return c.filter(n % 3 != 0), c.filter((n % 3 != 0) & ((n % 7 == 0) | (n % 5 == 0))), c.filter(n % 3 == 0).unionByName(changed)
+
+
+@query(f"WITH {_bm25_sql(BENCH).replace(CHUNKS, REFRESHED, 1)} x AS (SELECT * FROM tr WHERE rank <= 5) SELECT query_id, chunk_id, document_type, rank, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM x")
+def index_refresh(spark, d):
+    """A search over an index to which a refresh has added a segment and tombstones: as if it had been built anew."""
+    before, gone, fresh = before_and_after(spark, d)
+    index = textindex.write_index(before, new_path(spark, "text-index"))
+    index = textindex.refresh_index(index, gone, fresh)
+    now = before.join(gone.select("chunk_id"), "chunk_id", "left_anti").unionByName(fresh)
+    return search.text_search(now, text_queries(spark, d), 5, index).select("query_id", "chunk_id", "document_type", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {REFRESHED} SELECT chunk_id, document_type, lang, md5(text) AS digest FROM chunks")
+def chunk_versions(spark, d):
+    """The rows of a versioned table after a refresh: commits of rows, deletes by file that are merged when it is read."""
+    before, gone, fresh = before_and_after(spark, d)
+    table = ChunkTable(spark, new_path(spark, "chunk-table"))
+    table.append(before)
+    table.publish()
+    table.delete_files(gone.select(F.concat_ws("/", "document_type", "source_file").alias("key")))
+    table.append(fresh)
+    table.publish()
+    return ChunkTable.open(spark, table.path).rows().select("chunk_id", "document_type", "lang", F.md5("text").alias("digest"))
+
+
 LANG = "lang = 'fr'"
 
 
 @query(f"WITH {_bm25_sql(BENCH, LANG)} x AS (SELECT * FROM tr WHERE rank <= 5) SELECT query_id, chunk_id, lang, rank, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM x")
 def fts_filtered(spark, d):
     c = text_chunks(spark, d)
-    out = search.text_search(filters.filtered(c, {"lang": "fr"}, ["lang"]), text_queries(spark, d), 5, indexed(c))
+    out = search.text_search(filters.filtered(c, {"lang": "fr"}, ["lang"]), text_queries(spark, d), 5, indexed(spark, d))
     return out.select("query_id", "chunk_id", "lang", "rank", F.round("score", 6).alias("score"))
 
 
@@ -399,7 +454,7 @@ def hybrid_rrf(spark, d):
     c = text_chunks(spark, d)
     both = c.join(vectors(spark, d).select("chunk_id", "vector"), "chunk_id")
     sem = search.vector_search(both, vector_queries(spark, d), 15)
-    txt = search.text_search(both.drop("vector"), text_queries(spark, d), 15, indexed(c))
+    txt = search.text_search(both.drop("vector"), text_queries(spark, d), 15, indexed(spark, d))
     names = ["query_id", "chunk_id", "text", "document_type", "lang", "score", "rank"]
     out = search.fuse(sem.select(names), txt.select(names), [F.col("lang"), tx.prefix_key(F.col("text"))], 5, semantic_weight=0.6)
     return out.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
@@ -410,7 +465,7 @@ z AS (SELECT query_id, chunk_id, s AS original_score, {BOOST_SQL} * CASE WHEN ch
 SELECT query_id, chunk_id, original_score, precedence_boost, round(original_score * precedence_boost, 6) AS score,
   row_number() OVER (PARTITION BY query_id ORDER BY round(original_score * precedence_boost, 6) DESC, r)::INT AS rank FROM z""")
 def precedence_boost(spark, d):
-    found = search.text_search(text_chunks(spark, d), text_queries(spark, d), 10)
+    found = search.text_search(text_chunks(spark, d), text_queries(spark, d), 10, indexed(spark, d))
     found = found.withColumn("score", F.round("score", 6)).withColumn("is_summary", F.col("chunk_id") % 7 == 0)
     return search.boosted(found, BOOSTS).select("query_id", "chunk_id", "original_score", "precedence_boost", "score", "rank")
 
@@ -420,7 +475,7 @@ g AS (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY raw DESC
 SELECT query_id, lang, chunk_id, r AS rank, round(raw / max(raw) OVER (PARTITION BY query_id, lang), 6) AS score FROM g WHERE r <= 3""")
 def search_batch(spark, d):
     c = text_chunks(spark, d)
-    out = search.text_search(c.filter(F.col("lang").isin("en", "fr", "es")), text_queries(spark, d), 3, indexed(c), by=("query_id", "lang"))
+    out = search.text_search(c.filter(F.col("lang").isin("en", "fr", "es")), text_queries(spark, d), 3, indexed(spark, d), by=("query_id", "lang"))
     return out.select("query_id", "lang", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -433,14 +488,14 @@ s AS (SELECT text, row_number() OVER (ORDER BY no, rank) AS n FROM u WHERE n = 1
 SELECT true AS found, (SELECT list(query ORDER BY no) FROM (SELECT DISTINCT no, query FROM e)) AS keywords_matched, (SELECT list(text ORDER BY n) FROM s WHERE n <= 3) AS evidence""")
 def verify_absence(spark, d):
     words = spark.createDataFrame([(0, "the of"), (1, "ciónes"), (2, "zzzzqq"), (3, "license")], "query_id int, query string")
-    found = search.text_search(text_chunks(spark, d), words, 3).drop("query").join(words.withColumnRenamed("query", "keyword"), "query_id")
+    found = search.text_search(text_chunks(spark, d), words, 3, indexed(spark, d)).drop("query").join(words.withColumnRenamed("query", "keyword"), "query_id")
     return search.absence(found.withColumn("keyword_no", F.col("query_id")).withColumn("query_id", F.lit(0)), 3).drop("query_id")
 
 
 @query(f"""WITH {_bm25_sql(BENCH)} x AS (SELECT * FROM tr WHERE rank <= 8), s AS (SELECT query_id, chunk_id, rank, CASE WHEN (rank - 1) % 3 = 0 THEN ((rank * 5 + query_id) % 10)::DOUBLE ELSE 0 END AS rerank_score FROM x)
 SELECT * FROM (SELECT query_id, chunk_id, rank, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank)::INT AS position FROM s) WHERE position <= 5""")
 def rerank_apply(spark, d):
-    found = search.text_search(text_chunks(spark, d), text_queries(spark, d), 8)
+    found = search.text_search(text_chunks(spark, d), text_queries(spark, d), 8, indexed(spark, d))
     entry = lambda i: F.format_string('{"index": %d, "score": %d}', F.lit(i), ((F.lit(i + 1) * 5 + F.col("query_id")) % 10).cast("int"))
     answers = text_queries(spark, d).select("query_id", F.concat(F.lit("Scores: ["), F.concat_ws(", ", *map(entry, (0, 3, 6))), F.lit(", {")).alias("answer"))
     scores = answers.select("query_id", F.explode(search.parse_rerank_scores(F.col("answer"))).alias("index", "rerank_score"))
@@ -463,7 +518,7 @@ SELECT query_id, round(coalesce(p_at_5, 0), 6) AS p_at_5, round(coalesce(p_at_10
   round(CASE WHEN n5 > 0 THEN dcg / list_sum(list_transform(range(1, n5 + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6) AS ndcg_at_5 FROM q LEFT JOIN m USING (query_id)""")
 def eval_metrics(spark, d):
     bench = t(spark, d, "benchmark")
-    found = search.text_search(text_chunks(spark, d), bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 10)
+    found = search.text_search(text_chunks(spark, d), bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 10, indexed(spark, d))
     n = F.col("item_id")
     entities = F.when(n % 2 == 0, F.array(F.lit("en"), F.lit("es"))).otherwise(F.array().cast("array<string>"))
     expected = bench.select(n.alias("query_id"), F.array(F.lit("src0"), F.concat(F.lit("src"), n % 5)).alias("expected_document_types"), entities.alias("expected_entities"))

@@ -1,7 +1,8 @@
-"""Keeping the chunk table, its full-text index and the manifest up to date with the Markdown directories.
+"""Keeping the chunk table, its full-text index and its manifest up to date with the Markdown directories.
 
-Beside the chunk table ``base``/``table`` lie its full-text index (``table``_fts) and its manifest (``table``_manifest). The manifest is written last, so a run that was stopped is
-done again by the next one, and as a refresh replaces files by type and name, doing it again changes nothing.
+All three are one versioned table (see ``sources.chunktable``): a refresh reads the files whose time moved, writes their chunks, the names of the files whose earlier rows are gone, a
+segment of the index and the manifest, and publishes all of it in one step. A run that is killed leaves the version before it, and is done again by the next one. What is written follows the
+change; nothing that is stored is rewritten but by merges of the index and ``compact``.
 """
 
 from __future__ import annotations
@@ -11,13 +12,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import CorpusConfig
-from ..operators import manifest, search
+from ..operators import manifest, search, textindex
 from ..operators.chunking import process_documents
 from ..operators.enrich import embedded
-from ..sources.files import exists, replace_types, scan_fingerprints, scan_markdown
+from ..sources.chunktable import ChunkTable, file_key
+from ..sources.files import scan_fingerprints, scan_markdown, scan_times
 from ..sources.workspace import written
 
 
@@ -42,46 +43,101 @@ def chunked(spark: SparkSession, config: CorpusConfig, documents: DataFrame, enc
     return embedded(chunks, encode)
 
 
+def place_of(config: CorpusConfig, base: str) -> str:
+    return f"{base.rstrip('/')}/{config.table_name}"
+
+
+def text_index(table: ChunkTable) -> search.TextIndex | None:
+    """The full-text index that belongs to this version of the table."""
+    kept = table.extra.get("index")
+    return search.TextIndex(table.spark, f"{table.path}/index", table.version, **kept) if kept else None
+
+
+def stored_manifest(spark: SparkSession, place: str) -> DataFrame:
+    """The manifest of the newest version: key, mtime, md5, chunk_count, document_type; empty where there is none."""
+    return ChunkTable.open(spark, place).manifest(manifest.MANIFEST)
+
+
+def current_files(spark: SparkSession, directories: Mapping[str, str], stored: DataFrame) -> DataFrame:
+    """(key, mtime, md5, document_type) of the files as they are now. Only files that are new or whose time moved are opened; the others' digests are the stored ones."""
+    times = written(scan_times(spark, directories).join(stored.select("key", F.col("mtime").alias("_mtime"), F.col("md5").alias("_md5")), "key", "left"), "times")
+    moved = times.filter("_mtime IS NULL OR _mtime <> mtime")
+    digests = scan_fingerprints(spark, directories, only=moved.select("path", "document_type")).select("key", "md5")
+    same = times.filter("_mtime = mtime").select("key", "mtime", F.col("_md5").alias("md5"), "document_type")
+    return same.unionByName(moved.join(digests, "key").select("key", "mtime", "md5", "document_type"))
+
+
 def incremental(spark: SparkSession, config: CorpusConfig, base: str, directories: Mapping[str, str] | None = None, encode: Callable | None = None, dry_run: bool = False) -> Report:
-    """Indexes new and modified files and removes those of modified and deleted ones. Only the document types with changes are rewritten.
+    """Indexes new and modified files and removes those of modified and deleted ones. Only their texts are read and only what is made of them is written.
 
-    Without a manifest all files are new. A dry run, and a run without changes, writes nothing.
+    Without a version all files are new. A dry run, and a run without changes, writes nothing to the table.
     """
-    place = f"{base.rstrip('/')}/{config.table_name}"
+    table = ChunkTable.open(spark, place_of(config, base))
     directories = dict(directories if directories is not None else config.directories)
-    current = written(scan_fingerprints(spark, directories), "files")
-    changes = written(manifest.diff_files(current, manifest.read_manifest(spark, f"{place}_manifest")).filter("status <> 'unmodified'"), "changes")
+    stored = table.manifest(manifest.MANIFEST)
+    current = written(current_files(spark, directories, stored), "files")
+    changes = written(manifest.diff_files(current, stored).filter("status <> 'unmodified'"), "changes")
     found = {r.status: r["count"] for r in changes.groupBy("status").count().collect()}
     numbers = [found.get(k, 0) for k in ("new", "modified", "deleted")]
     if dry_run or not any(numbers):
         return Report(*numbers, applied=False)
     anew = changes.filter("status <> 'deleted'").select("key")
-    documents = scan_markdown(spark, directories).withColumn("key", F.concat_ws("/", "document_type", "source_file")).join(anew, "key", "left_semi").drop("key")
-    fresh = chunked(spark, config, documents, encode)
-    touched = [r[0] for r in changes.select(F.substring_index("key", "/", 1)).distinct().collect()]  # document types, as many as the configuration has
-    old = spark.read.schema(fresh.schema).parquet(place) if exists(spark, place) else None
-    if old is not None:
-        fresh = manifest.refreshed(old.filter(F.col("document_type").isin(touched)), changes, fresh)
-    replace_types(written(fresh, "chunks"), place, touched)
-    return _finish(spark, place, current, numbers, fresh.schema)
+    fresh = chunked(spark, config, scan_markdown(spark, directories, only=anew), encode)
+    index = text_index(table)
+    gone = None
+    if table.schema is not None:
+        gone = written(table.rows().join(changes.select(F.col("key").alias("_key")), file_key() == F.col("_key"), "left_semi").select("chunk_id"), "gone")
+        table.delete_files(changes)
+    fresh = table.append(fresh)
+    if index is None:
+        index = search.write_index(table.rows(), f"{table.path}/index", publish=False)
+    else:
+        index = textindex.refresh_index(index, gone, fresh, publish=False)
+    counts = fresh.groupBy(file_key().alias("key")).agg(F.count(F.lit(1)).alias("chunk_count"))
+    kept = stored.join(changes.select("key"), "key", "left_anti").select("key", "chunk_count")
+    return _published(table, index, current.join(kept.unionByName(counts), "key", "left"), numbers)
 
 
 def full(spark: SparkSession, config: CorpusConfig, base: str, directories: Mapping[str, str] | None = None, encode: Callable | None = None) -> Report:
-    """Indexes all files anew."""
-    place = f"{base.rstrip('/')}/{config.table_name}"
+    """Indexes all files anew, as a new version."""
+    before = ChunkTable.open(spark, place_of(config, base))
+    table = ChunkTable(spark, before.path, before.version)
     directories = dict(directories if directories is not None else config.directories)
     current = written(scan_fingerprints(spark, directories), "files")
-    chunks = chunked(spark, config, scan_markdown(spark, directories), encode)
-    chunks.write.mode("overwrite").partitionBy("document_type").parquet(place)
-    return _finish(spark, place, current, [current.count(), 0, 0], chunks.schema)
-
-
-def _finish(spark: SparkSession, place: str, current: DataFrame, numbers: list[int], schema: T.StructType) -> Report:
-    """Index and manifest of the table as it is now; a table without files has the schema of its chunks."""
-    chunks = spark.read.schema(schema).parquet(place)
-    search.write_index(chunks, f"{place}_fts")
-    manifest.write_manifest(manifest.counted_manifest(current, chunks), f"{place}_manifest")
-    return Report(*numbers, applied=True, chunks=chunks.count(), files=current.count())
+    chunks = table.append(chunked(spark, config, scan_markdown(spark, directories), encode))
+    index = search.write_index(chunks, f"{table.path}/index", publish=False)
+    return _published(table, index, manifest.counted_manifest(current, chunks), [current.count(), 0, 0])
+
+
+def _published(table: ChunkTable, index: search.TextIndex, files: DataFrame, numbers: list[int]) -> Report:
+    """Writes the manifest and makes rows, index and manifest the next version."""
+    table.write_files(files.select("key", "mtime", "md5", F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"), "document_type"))
+    table.extra = {**table.extra, "index": index.document()}
+    table.publish()
+    return Report(*numbers, applied=True, chunks=index.n, files=table.manifest(manifest.MANIFEST).count())
+
+
+def rebuild_text_index(spark: SparkSession, config: CorpusConfig, base: str, sanity: str = "inundaciones", limit: int = 3) -> tuple[int, DataFrame]:
+    """Builds the table's index anew, publishes it with the rows as they are, and tries it: the number of chunks, and the best of them for ``sanity``. ValueError without chunks."""
+    table = ChunkTable.open(spark, place_of(config, base))
+    if table.schema is None or not table.rows().select("chunk_id").head(1):
+        raise ValueError("no chunks to index")
+    index = search.write_index(table.rows(), f"{table.path}/index", publish=False)
+    table.extra = {**table.extra, "index": index.document()}
+    table.publish()
+    return index.n, search.text_search(table.rows(), spark.createDataFrame([("0", sanity)], "query_id string, query string"), limit, text_index(table))
+
+
+def compact(spark: SparkSession, config: CorpusConfig, base: str, vacuum: bool = False) -> int:
+    """Rows as one commit without deletes and the index as one segment, as a new version, which is returned. With ``vacuum`` what older versions hold goes."""
+    table = ChunkTable.open(spark, place_of(config, base))
+    index = textindex.merge_segments(text_index(table), publish=False)
+    table.extra = {**table.extra, "index": index.document()}
+    table = table.compact()
+    if vacuum:
+        table.vacuum()
+        textindex.vacuum_index(index)
+    return table.version
 
 
 def run(spark: SparkSession, config: CorpusConfig, base: str, full_run: bool = False, dry_run: bool = False, **options) -> Report:

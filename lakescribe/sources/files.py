@@ -29,23 +29,59 @@ def _union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFram
     return out
 
 
-def scan_markdown(spark: SparkSession, directories: Mapping[str, str]) -> DataFrame:
-    """(text, source_file, document_type) of the .md files of each type's directory, not of those below it; a directory that is missing is passed over."""
+#: Files of so many are named in one scan.
+PORTION = 10_000
+
+
+def _scans(spark: SparkSession, path: str, pattern: str, only: list[str] | None, read) -> list[DataFrame]:
+    """Scans of a directory's files, or of the named ones alone, a portion of names each: a scan opens no other file."""
+    if only is None:
+        return [read(spark.read.option("pathGlobFilter", pattern), path)]
+    return [read(spark.read, only[at : at + PORTION]) for at in range(0, len(only), PORTION)]
 
-    def read(path: str) -> DataFrame:
-        return spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("source_file"))
 
-    return _union(_per_type(spark, directories, read), spark, DOCUMENT)
+def _named(only: DataFrame | None, name: str, path: str) -> list[str] | None:
+    """Paths of the files of type ``name`` among the keys or paths of ``only``. Names alone come to the driver, which lists directories anyway."""
+    if only is None:
+        return None
+    if "path" in only.columns:
+        return [r.path for r in only.filter(F.col("document_type") == name).select("path").toLocalIterator()]
+    keys = only.filter(F.startswith(F.col("key"), F.lit(f"{name}/"))).select("key")
+    return [f"{path.rstrip('/')}/{r.key[len(name) + 1 :]}" for r in keys.toLocalIterator()]
 
 
-def scan_fingerprints(spark: SparkSession, directories: Mapping[str, str], pattern: str = "*.md") -> DataFrame:
-    """(key, mtime, md5, document_type, file_name) of files; key is type/file."""
+def scan_markdown(spark: SparkSession, directories: Mapping[str, str], only: DataFrame | None = None) -> DataFrame:
+    """(text, source_file, document_type) of the .md files of each type's directory, not of those below it; a directory that is missing is passed over.
+
+    With ``only`` (key: type/name) no other files are opened.
+    """
+    parts = []
+    for name, path in directories.items():
+        if exists(spark, path):
+            read = lambda r, p: r.text(p, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("source_file"))
+            parts += [x.withColumn("document_type", F.lit(name)) for x in _scans(spark, path, "*.md", _named(only, name, path), read)]
+    return _union(parts, spark, DOCUMENT)
+
+
+def scan_times(spark: SparkSession, directories: Mapping[str, str], pattern: str = "*.md") -> DataFrame:
+    """(key, mtime, document_type, path) of files. None is opened."""
 
     def read(path: str) -> DataFrame:
         files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-        return files.select(F.col("modificationTime").cast("double").alias("mtime"), F.md5("content").alias("md5"), F.element_at(F.split("path", "/"), -1).alias("file_name"))
+        return files.select(F.col("modificationTime").cast("double").alias("mtime"), "path", F.element_at(F.split("path", "/"), -1).alias("file_name"))
+
+    out = _union(_per_type(spark, directories, read), spark, "mtime double, path string, file_name string, document_type string")
+    return out.select(F.concat_ws("/", "document_type", "file_name").alias("key"), "mtime", "document_type", "path")
+
 
-    out = _union(_per_type(spark, directories, read), spark, "mtime double, md5 string, file_name string, document_type string")
+def scan_fingerprints(spark: SparkSession, directories: Mapping[str, str], pattern: str = "*.md", only: DataFrame | None = None) -> DataFrame:
+    """(key, mtime, md5, document_type, file_name) of files; key is type/file. With ``only`` (path, document_type) no other files are opened."""
+    parts = []
+    for name, path in directories.items():
+        if exists(spark, path):
+            read = lambda r, p: r.format("binaryFile").load(p).select(F.col("modificationTime").cast("double").alias("mtime"), F.md5("content").alias("md5"), F.element_at(F.split("path", "/"), -1).alias("file_name"))
+            parts += [x.withColumn("document_type", F.lit(name)) for x in _scans(spark, path, pattern, _named(only, name, path), read)]
+    out = _union(parts, spark, "mtime double, md5 string, file_name string, document_type string")
     return out.select(F.concat_ws("/", "document_type", "file_name").alias("key"), "mtime", "md5", "document_type", "file_name")
 
 
@@ -108,14 +144,3 @@ def write_markdown(documents: DataFrame, path: str, folders: int = 64) -> None:
     """(doc, md) as a text file per document, dealt to ``folders`` folders by the document's hash, so that a folder's listing stays short."""
     rows = documents.select(F.col("md").alias("value"), F.pmod(F.xxhash64(F.col("doc").cast("string")), F.lit(folders)).alias("folder"), F.col("doc").cast("string").alias("doc"))
     rows.write.mode("overwrite").partitionBy("folder", "doc").text(path)
-
-
-def document_json(tables: DataFrame, images: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc, json) with statistics and the ids of tables and images, from (doc, page, table_index, rows), (doc, page, image_index, ...) and (doc, page, page_type)."""
-    t = tables.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "table_index", F.format_string("p%d_t%d", "page", "table_index").alias("id")))).alias("tables"))
-    i = images.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "image_index", F.format_string("p%d_i%d", "page", "image_index").alias("id")))).alias("images"))
-    p = pages.groupBy("doc").agg(F.count(F.lit(1)).alias("total_pages"), F.count_if(F.col("page_type") == "scanned").alias("scanned_pages"), F.count_if(F.col("page_type").isin("native_text", "mixed")).alias("native_pages"))
-    out = p.join(t, "doc", "left").join(i, "doc", "left")
-    count = lambda c: F.coalesce(F.size(c), F.lit(0))
-    statistics = F.struct("total_pages", "scanned_pages", "native_pages", count("tables").alias("table_count"), count("images").alias("image_count"))
-    return out.select("doc", F.to_json(F.struct(F.lit("1.0.0").alias("version"), F.col("doc").alias("source"), statistics.alias("statistics"), "tables", "images")).alias("json"))

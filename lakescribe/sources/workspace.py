@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -28,3 +29,13 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def table_version(spark: SparkSession, path: str) -> str:
+    """A fingerprint of what lies at ``path`` just now: a digest of its files' names, sizes and times. No file is opened."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, seen = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True), []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:32]

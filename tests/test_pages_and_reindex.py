@@ -121,7 +121,7 @@ def test_reindex(spark, tmp_path):
     assert not files.exists(spark, f"{base}/chunks")
     first = reindex.incremental(spark, config, base, where)
     assert (first.new, first.applied, first.files) == (2, True, 2)
-    stored = manifest.read_manifest(spark, f"{base}/chunks_manifest")
+    stored = reindex.stored_manifest(spark, f"{base}/chunks")
     assert {r.key: r.chunk_count > 0 for r in stored.collect()} == {"report/Boston_2024_a.md": True, "report/Miami_2023_b.md": True}
     assert not reindex.incremental(spark, config, base, where).applied  # nothing has changed
     (docs / "Boston_2024_a.md").unlink()
