@@ -14,10 +14,12 @@ which is verified at each level as all three are keys of each merge. Only digest
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import salts_for, text_of, with_ids, written
+from .common import salts_for, text_of, written
 
 KEYS = ["_sha", "_len", "_xx"]
 
@@ -75,6 +77,14 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that stay, one per distinct text, with all their columns."""
-    return with_ids(df, exact_groups(df, id_col, text_col, **options).filter("kept"), id_col).dropDuplicates([id_col])
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", **options) -> DataFrame:
+    """The rows of ``df`` that stay, one per distinct text, with all their columns.
+
+    Rows are told apart by id and text: ids that repeat, null ones too, lose no text. Of rows that repeat id and text one stays.
+    """
+    own = f"_{uuid4().hex}"  # whatever columns the rows have
+    groups = exact_groups(df, id_col, text_col, keep=keep, **options).filter("kept").select(F.col(id_col).alias(own), F.col("text_sha256").alias(own + "s"))
+    groups = written(groups.dropDuplicates([own, own + "s"]), "kept")
+    rows = df.withColumn(own + "d", F.sha2(F.encode(text_of(text_col), "UTF-8"), 256))
+    met = rows.join(groups.hint("shuffle_hash"), F.col(own + "d").eqNullSafe(F.col(own + "s")) & F.col(id_col).eqNullSafe(F.col(own)), "left_semi")
+    return met.dropDuplicates([id_col, own + "d"]).drop(own + "d")
