@@ -16,6 +16,8 @@ import hashlib
 import html
 import json
 import re
+from bisect import bisect_left
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -51,6 +53,10 @@ NAMED = {
 }
 NAMED_OUTSIDE = {"header", "masthead", "topbar", "banner", "logo"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Blocks that are an article's own text: in an article they are no template, and are left out by their names only where all words name an advert or the like.
+TEXT_LEVEL = {"p", "li", "dd", "dt", "td", "th", "caption", "figcaption", "blockquote", "pre", *HEADINGS}
+#: Words of NAMED that an article's own paragraphs have in their class as well.
+COMMON_WORDS = {"form", "notice", "notices", "alert", "notification", "search", "skip", "reply", "related", "login", "promotion"}
 CLOSES_P = {"p", "div", "ul", "ol", "li", "dl", "table", "section", "article", "aside", "nav", "header", "footer", "main", "form", "blockquote", "pre", "figure", "hr", "address", "fieldset", "details", *HEADINGS}
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -68,8 +74,9 @@ def host_of(url: str | None) -> str:
 def events(source: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, value): ("open", tag, attributes), ("close", tag, ""), ("text", "", raw text). Raw elements come without content; comments do not come."""
     at, n = 0, len(source)
+    last = source.rfind(">")  # a tag that begins behind it has no end, and none is looked for again and again
     while at < n:
-        m = _TOKEN.search(source, at)
+        m = _TOKEN.search(source, at) if at < last else None
         if m is None:
             yield "text", "", source[at:]
             return
@@ -118,29 +125,41 @@ def parts(source: str) -> list[tuple]:
     """
     out: list[tuple] = []
     stack: list[str] = []
+    held: Counter = Counter()  # how many elements of a name are open
 
     def pop(to: int) -> None:
         while len(stack) > to:
-            stack.pop()
+            held[stack.pop()] -= 1
             out.append(("close",))
 
+    def last(name: str) -> int:
+        at = len(stack) - 1
+        while stack[at] != name:
+            at -= 1
+        return at
+
     for kind, name, value in events(source):
         if kind == "text":
             out.append(("text", value))
         elif kind == "open":
-            if name in CLOSES_P and "p" in stack:
-                pop(len(stack) - 1 - stack[::-1].index("p"))
+            if name in CLOSES_P and held["p"]:
+                pop(last("p"))
             for same in SAME_CLOSES.get(name, ()):
-                if same in stack and not any(x in ("ul", "ol", "table", "dl", "select") for x in stack[len(stack) - stack[::-1].index(same) :]):
-                    pop(len(stack) - 1 - stack[::-1].index(same))
+                if held[same]:
+                    at = len(stack) - 1
+                    while stack[at] != same and stack[at] not in ("ul", "ol", "table", "dl", "select"):
+                        at -= 1
+                    if stack[at] == same:
+                        pop(at)
             words, hidden = names_of(value) if value and not value.isspace() else (set(), False)
             out.append(("open", ".".join([name + "!" * hidden, *sorted(w for w in words if w and not w.isdigit())]), name, words, hidden))
             if name in VOID or value.endswith("/"):
                 out.append(("close",))
             else:
                 stack.append(name)
-        elif name in stack:
-            pop(len(stack) - 1 - stack[::-1].index(name))
+                held[name] += 1
+        elif held[name]:
+            pop(last(name))
     pop(0)
     return out
 
@@ -215,14 +234,83 @@ def folded(children: list[list]) -> list[list]:
 
 def grouped(children: list[list], other: list[list]) -> list[list]:
     """``children`` with sequences that the other side has as a repeated group put into such a group."""
-    for group in (o for o in other if o[0] == "()"):
-        want, keys, at = [key(k) for k in group[4]], [key(c) for c in children], 0
-        while at + len(want) <= len(children):
-            if keys[at : at + len(want)] == want:
-                children = [*children[:at], ["()", False, True, None, children[at : at + len(want)]], *children[at + len(want) :]]
-                keys = [key(c) for c in children]
-            at += 1
-    return children
+    wants = {tuple(key(k) for k in o[4]) for o in other if o[0] == "()" and o[3] != REST}
+    if not wants:
+        return children
+    lengths, keys, out, at = sorted({len(w) for w in wants}), [key(c) for c in children], [], 0
+    while at < len(children):
+        n = next((n for n in lengths if tuple(keys[at : at + n]) in wants), 0)
+        out.append(["()", False, True, None, children[at : at + n]] if n else children[at])
+        at += n or 1
+    return out
+
+
+#: Stretches of children up to this product of lengths are compared by a table.
+TABLE = 10_000
+
+
+def common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places (in x, in y) of a common subsequence, ascending: the longest of short stretches; longer ones are first cut where a key occurs once on both sides.
+
+    Work is linear in the lengths but for sorting, memory too, however many children there are.
+    """
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        i, m, j, n = todo.pop()
+        while i < m and j < n and x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < m and j < n and x[m - 1] == y[n - 1]:
+            m, n = m - 1, n - 1
+            out.append((m, n))
+        if i == m or j == n:
+            continue
+        if (m - i) * (n - j) <= TABLE:
+            longest = [[0] * (n - j + 1) for _ in range(m - i + 1)]
+            for p in range(m - i - 1, -1, -1):
+                for q in range(n - j - 1, -1, -1):
+                    longest[p][q] = longest[p + 1][q + 1] + 1 if x[i + p] == y[j + q] else max(longest[p + 1][q], longest[p][q + 1])
+            p = q = 0
+            while p < m - i and q < n - j:
+                if x[i + p] == y[j + q]:
+                    out.append((i + p, j + q))
+                    p, q = p + 1, q + 1
+                elif longest[p + 1][q] >= longest[p][q + 1]:
+                    p += 1
+                else:
+                    q += 1
+            continue
+        ones, others = Counter(x[i:m]), Counter(y[j:n])
+        place = {k: q for q, k in enumerate(y[j:n], j) if others[k] == 1}
+        pairs = [(p, place[x[p]]) for p in range(i, m) if ones[x[p]] == 1 and x[p] in place]
+        tops: list[int] = []
+        links: list[tuple[int, int]] = []
+        for k, (_, q) in enumerate(pairs):  # the longest ascending run of places
+            at = bisect_left(tops, q)
+            tops[at : at + 1] = [q]
+            links[at : at + 1] = [(k, at)]
+            pairs[k] = (*pairs[k], links[at - 1][0] if at else -1)
+        if pairs:
+            k, before = links[-1][0], (m, n)
+            while k >= 0:
+                p, q, k = pairs[k]
+                out.append((p, q))
+                todo.append((p + 1, before[0], q + 1, before[1]))
+                before = (p, q)
+            todo.append((i, before[0], j, before[1]))
+        else:  # no key to cut at: each takes the next place that is left
+            places: dict[str, deque] = {}
+            for q in range(j, n):
+                places.setdefault(y[q], deque()).append(q)
+            for p in range(i, m):
+                own = places.get(x[p])
+                while own and own[0] < j:
+                    own.popleft()
+                if own:
+                    j = own.popleft() + 1
+                    out.append((p, j - 1))
+    return sorted(out)
 
 
 def align(a: list, b: list) -> list:
@@ -235,22 +323,13 @@ def align(a: list, b: list) -> list:
     if x == y:
         out[4] = [align(p, q) for p, q in zip(left, right)]
         return out
-    longest = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            longest[i][j] = longest[i + 1][j + 1] + 1 if x[i] == y[j] else max(longest[i + 1][j], longest[i][j + 1])
     i = j = 0
     children: list[list] = []
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            children.append(align(left[i], right[j]))
-            i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and longest[i + 1][j] >= longest[i][j + 1]):
-            children.append([left[i][0], True, *left[i][2:]])
-            i += 1
-        else:
-            children.append([right[j][0], True, *right[j][2:]])
-            j += 1
+    for p, q in [*common(x, y), (len(x), len(y))]:
+        children += [[k[0], True, *k[2:]] for k in (*left[i:p], *right[j:q])]
+        if p < len(x):
+            children.append(align(left[p], right[q]))
+        i, j = p + 1, q + 1
     children = folded(children)
     if len(children) > CHILDREN:
         # optional children that come last lose their places
@@ -265,11 +344,11 @@ def align(a: list, b: list) -> list:
 def rest_of(nodes: list[list]) -> list:
     """The repeated group of optional kinds that has all of ``nodes``, one of each kind."""
     kinds: dict[str, list] = {}
-    todo = list(nodes)
+    todo = deque(nodes)
     while todo:
-        node = todo.pop(0)
+        node = todo.popleft()
         if node[0] == "()":
-            todo[:0] = node[4]
+            todo.extendleft(reversed(node[4]))
         elif node[0] in kinds:
             kinds[node[0]] = align(kinds[node[0]], node)
         else:
@@ -286,14 +365,15 @@ def expression(node: list) -> str:
 
 
 @lru_cache(maxsize=100_000)
-def traits(shape: str) -> tuple[str, bool, bool, bool, bool, bool]:
-    """Of an element's shape: tag, whether it is a block, is left out by its tag, name or being hidden, is left out outside articles, begins an article, is shown."""
+def traits(shape: str) -> tuple[str, bool, bool, bool, bool, bool, bool]:
+    """Of an element's shape: tag, whether it is a block, is left out by its tag, name or being hidden, is left out outside articles, begins an article, is shown, is left out inside articles."""
     tag, *words = shape.split(".")
     name, hidden, named = tag.rstrip("!"), tag.endswith("!"), set(words)
     plain = name not in ("body", "html")
     starts = name in ("article", "main") or (name in ("div", "section") and "main" in named and "content" in named)
     out = hidden or name in LEFT_OUT or (bool(named & NAMED) and plain and name not in ("article", "main"))
-    return name, name not in INLINE, out, bool(named & NAMED_OUTSIDE) and plain, starts, not hidden
+    within = hidden or name in LEFT_OUT or (bool(named) and named <= NAMED - COMMON_WORDS) if name in TEXT_LEVEL else out
+    return name, name not in INLINE, out, bool(named & NAMED_OUTSIDE) and plain, starts, not hidden, within
 
 
 #: What is known of a place from the elements above it: left out, in an article, in an article's header, in a link.
@@ -303,10 +383,10 @@ NOWHERE = (False, False, False, False)
 def below(place: tuple[bool, bool, bool, bool], shape: str) -> tuple[bool, bool, bool, bool]:
     """The place inside an element of ``shape`` that stands at ``place``."""
     out, inside, header, link = place
-    name, block, left_out, left_outside, starts, _ = traits(shape)
+    name, block, left_out, left_outside, starts, _, left_within = traits(shape)
     within = (inside or (starts and not out)) and not starts
     inside = inside or (starts and not out)
-    out = out or left_out or (left_outside and not inside)
+    out = out or (left_within if inside else left_out or left_outside)
     if name == "header":
         header, out = header or within, out or not within
     elif header and within and block and name not in HEADINGS and name not in ("div", "hgroup"):
@@ -317,22 +397,23 @@ def below(place: tuple[bool, bool, bool, bool], shape: str) -> tuple[bool, bool,
 def slots_of(wrapper: list, different: int) -> tuple[dict[str, tuple[bool, bool, bool, bool]], set[tuple[str, str]]]:
     """A host's decisions: what is known of each place of its expression by path, and the constants as (path, mark).
 
-    Constants are texts that stand at the same place of every page, once ``different`` pages show that.
+    Constants are texts that stand at the same place of every page, once ``different`` pages show that, but for an article's headings, paragraphs, list items and cells.
     """
     places: dict[str, tuple[bool, bool, bool, bool]] = {}
     constants: set[tuple[str, str]] = set()
-    todo = [(wrapper, "", NOWHERE, different >= ENOUGH_PAGES)]
+    todo = [(wrapper, "", NOWHERE, different >= ENOUGH_PAGES, False)]
     while todo:
-        node, path, place, always = todo.pop()
+        node, path, place, always, own = todo.pop()
         places[path] = place
         for k in node[4]:
             if k[0] == "#":
-                if always and not k[1] and k[3] is not VARIES:
+                if always and not own and not k[1] and k[3] is not VARIES:
                     constants.add((path, k[3]))
             elif k[0] == "()":
-                todo.append((k, path, place, always and not k[1]))
+                todo.append((k, path, place, always and not k[1], own))
             else:
-                todo.append((k, f"{path}/{k[0]}", below(place, k[0]), always and not k[1]))
+                name, block, inner = *traits(k[0])[:2], below(place, k[0])
+                todo.append((k, f"{path}/{k[0]}", inner, always and not k[1], (name in TEXT_LEVEL and inner[1]) if block else own))
     return places, constants
 
 

@@ -15,7 +15,7 @@ from lakescribe.llm.components import components
 from lakescribe.llm.decontaminate import benchmark_matches, decontaminate
 from lakescribe.llm.decontaminate import words_of as phrase_words
 from lakescribe.llm.exact_dedup import exact_dedup, exact_groups
-from lakescribe.llm.html_text import align, events, expression, extract_main_text, main_text, parts, slots_of, wrapper_of, wrappers
+from lakescribe.llm.html_text import align, common, events, expression, extract_main_text, main_text, parts, slots_of, wrapper_of, wrappers
 from lakescribe.llm.labelled import isotonic
 from lakescribe.llm.mixing import mix
 from lakescribe.llm.near_dedup import near_duplicates
@@ -70,6 +70,8 @@ def test_exact_groups():
     assert smallest[60 + 7] == min(groups[BASE_TEXT])
     assert exact_groups(table([])).count() == 0
     assert exact_dedup(table(ROWS)).count() == len(groups)
+    mixed = [(5, "A", "a"), (5, "B", "a"), (None, "C", "a"), (None, "D", "a"), (None, "D", "a"), (7, "A", "a"), (8, None, "a"), (8, "", "b")]
+    assert sorted((r.doc_id or -1, r.text or "") for r in exact_dedup(table(mixed)).collect()) == [(-1, "C"), (-1, "D"), (5, "B"), (7, "A"), (8, "")]
 
 
 def test_mix():
@@ -487,6 +489,37 @@ def test_the_wrapper_decides_inside_articles():
     assert "Get our letter" in extracted([page.format(i) for i in range(4)])[0]
 
 
+def test_an_articles_own_headings_and_paragraphs_stay():
+    pages_ = [f"<article><h1>T{i}</h1><h2>Summary</h2><p>text {i}</p><p>The same <b>end</b>.</p><p class=form>form {i}</p><p class=notice-of-motion>motion {i}</p><p class=advert>buy {i}</p></article>" for i in range(6)]
+    assert extracted(pages_) == [f"T{i}\nSummary\ntext {i}\nThe same end.\nform {i}\nmotion {i}" for i in range(6)]
+
+
+def test_broken_and_flat_markup_is_linear():
+    import time
+
+    began = time.time()
+    assert main_text(parts("<a " * 300_000)) == " ".join(["<a"] * 300_000)
+    assert main_text(parts("<p>" + "<div>" * 30_000 + "x")) == "x"
+    flat = lambda k: parts("".join(f"<x{i}{k * (i % 2)}>t{i}</x{i}{k * (i % 2)}>" for i in range(20_000)))
+    assert len(align(wrapper_of(flat("a")), wrapper_of(flat("b")))[4]) > 10_000
+    assert time.time() - began < 30
+
+
+def test_common_subsequences():
+    rng = random.Random(2)
+    for n in (5, 40, 300):
+        for kinds in (3, 30, 1000):
+            x, y = ([str(rng.randint(0, kinds)) for _ in range(n)] for _ in range(2))
+            got = common(x, y)
+            assert all(x[i] == y[j] for i, j in got) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(got, got[1:]))
+            if n * n <= 10_000:
+                table = [[0] * (n + 1) for _ in range(n + 1)]
+                for i in range(n):
+                    for j in range(n):
+                        table[i + 1][j + 1] = table[i][j] + 1 if x[i] == y[j] else max(table[i][j + 1], table[i + 1][j])
+                assert len(got) == table[n][n]
+
+
 def test_a_wrapper_keeps_all_kinds_of_children():
     pages_ = [parts("<article><p>text {0}</p>{1}</article>".format(i, "".join(f"<section class=kind{chr(97 + k % 26)}{chr(97 + (k * i) % 26)}>x{k} {i}</section>" for k in range(90)))) for i in range(1, 8)]
     wrapper = wrapper_of(pages_[0])
