@@ -110,6 +110,46 @@ def test_batches_go_on_where_they_stopped(spark, pdfs, tmp_path):
     assert calls.value > before and source.batch_state(spark, store).count() == 2
 
 
+def test_a_batch_goes_on_behind_the_last_committed_page(spark, tmp_path, monkeypatch):
+    from lakescribe.sources import snapshots
+
+    (tmp_path / "in").mkdir()
+    for name, n in (("b", 7), ("c", 2)):
+        (tmp_path / "in" / f"{name}.pdf").write_text(str(n))
+    store = f"file://{tmp_path}/store"
+    seen = spark.sparkContext.accumulator(0)
+
+    def extractor(content, first):
+        for k in range(first, int(content) + 1):
+            seen.add(1)
+            yield {"text": f"page {k}"}
+
+    files_ = lambda: spark.read.format("binaryFile").load(f"file://{tmp_path}/in/*.pdf")
+    real, calls = snapshots.publish, []
+
+    def once(*a):
+        calls.append(a)
+        if len(calls) > 1:
+            raise KeyboardInterrupt
+        return real(*a)
+
+    monkeypatch.setattr(snapshots, "publish", once)
+    with pytest.raises(KeyboardInterrupt):
+        source.process_batch(spark, files_(), store, extractor, step=3)
+    monkeypatch.undo()
+    assert {(r.path[-5:], r.status, r.pages) for r in source.batch_progress(spark, store).collect()} == {("b.pdf", "partial", 3), ("c.pdf", "completed", 2)}
+    (tmp_path / "in" / "a.pdf").write_text("1")
+    (tmp_path / "in" / "d.pdf").write_text("broken")
+    before = seen.value
+    numbers = source.process_batch(spark, files_(), store, extractor, step=3, per_run=2).head()
+    assert (numbers.total, numbers.completed, numbers.failed, numbers.pending) == (4, 3, 1, 0) and seen.value - before == 4 + 1  # pages 4 to 7 of b, page 1 of a
+    pages_ = sorted((r.doc, r.page, r.text) for r in source.batch_pages(spark, store).filter("page > 0").collect())
+    assert pages_ == [("a", 1, "page 1"), *[("b", k, f"page {k}") for k in range(1, 8)], ("c", 1, "page 1"), ("c", 2, "page 2")]
+    assert source.batch_pages(spark, store).filter("page = 0").head().doc == "d"
+    loaded = source._loaded(files_(), [f"file:{tmp_path}/in/a.pdf"])
+    assert len(loaded.inputFiles()) == 1
+
+
 def test_reindex(spark, tmp_path):
     docs, base = tmp_path / "reports", f"file://{tmp_path}/store"
     docs.mkdir()
