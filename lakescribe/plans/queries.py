@@ -7,6 +7,7 @@ queries, nation and region for a mapping chain, lineitem and part for page conte
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from ..operators import catalog, chunking, enrich, evaluation, filters, layout,
 from ..sources import pages as sources_pages
 from ..sources.chunktable import ChunkTable
 from ..sources.workspace import new_path
+from ..streaming import changes as changes_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -845,3 +847,18 @@ def found_tables(spark, d):
     drawn = words.select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), F.concat(title, "spans").alias("spans"), F.when(F.col("l_orderkey") % 2 == 0, F.concat(across, down)).alias("rules"))
     found = pages.tables(tablefinding.find_tables(drawn))
     return found.select("doc", "is_borderless", F.posexplode("rows").alias("row", "cells")).withColumn("cells", F.array_join("cells", "|"))
+
+
+@query("""WITH o AS (SELECT DISTINCT 'user/' || user_id AS key, date_trunc('millisecond', ts) AS seen_at, md5(event_type) AS md5 FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL),
+e AS (SELECT *, lag(seen_at) OVER w AS s, lag(md5) OVER w AS m, lead(seen_at) OVER w AS x FROM o WINDOW w AS (PARTITION BY key ORDER BY seen_at, md5)),
+u AS (SELECT max(seen_at) - INTERVAL 1 HOUR AS until FROM o)
+SELECT key, CASE WHEN s IS NULL OR seen_at > s + INTERVAL 36 HOUR THEN 'new' ELSE 'modified' END AS status, md5, epoch_ms(seen_at) AS at_ms FROM e WHERE s IS NULL OR seen_at > s + INTERVAL 36 HOUR OR md5 <> m
+UNION ALL SELECT key, 'deleted', md5, epoch_ms(seen_at + INTERVAL 36 HOUR) FROM e, u WHERE x > seen_at + INTERVAL 36 HOUR OR (x IS NULL AND seen_at + INTERVAL 36 HOUR <= until)""")
+def stream_changes(spark, d):
+    """Users as files that events report: a stateful stream of what became new, changed or was not seen for 36 hours, run to its end."""
+    events = t(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/event[s].parquet")  # a pattern, as streams take folders and patterns only
+    seen = stream.select(F.concat(F.lit("user/"), F.col("user_id")).alias("key"), F.col("ts").alias("seen_at"), F.md5(F.col("event_type").cast("binary")).alias("md5"))
+    place = new_path(spark, "changes")
+    changes_stream.file_changes(seen, timedelta(hours=36), "1 hour").writeStream.option("checkpointLocation", f"{place}/check").trigger(availableNow=True).format("parquet").start(f"{place}/rows").awaitTermination()
+    return spark.read.parquet(f"{place}/rows").select("key", "status", "md5", F.unix_millis("at").alias("at_ms"))
