@@ -1,8 +1,9 @@
-"""Command line: reindex, rebuild-index, compact, evaluate, documents. Spark's own settings come from the environment or spark-submit."""
+"""Command line: reindex, rebuild-index, compact, evaluate, propose-config, documents. Spark's own settings come from the environment or spark-submit."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import os
 import sys
@@ -35,12 +36,33 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--limit", type=int, default=10)
     p.add_argument("--label", default="eval")
     p.add_argument("--output", default="results")
+    p.add_argument("--rerank", metavar="MODULE:FUNCTION", help="rank results anew by this scorer: a function of the query and the shown results")
+    p = command("propose-config", "ask a model for a configuration, from a sample of files")
+    p.add_argument("directories", nargs="+")
+    p.add_argument("--model", metavar="MODULE:FUNCTION", required=True, help="a function of the prompt")
+    p.add_argument("--output", default="corpus_config.yaml")
+    p.add_argument("--max-files", type=int, default=5)
     p = command("documents", "how many chunks of each document type there are")
     return top
 
 
+def function(name: str):
+    """The function ``module:name``."""
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
     given = parser().parse_args(arguments)
+    if given.command == "propose-config":
+        from .plans.analyse import propose_config
+
+        try:
+            print(propose_config(spark or SparkSession.builder.appName("lakescribe").getOrCreate(), given.directories, function(given.model), given.output, given.max_files))
+        except ConfigError as e:
+            print(e, file=sys.stderr)
+            return 1
+        return 0
     try:
         config = load_config(given.config)
     except ConfigError as e:
@@ -63,8 +85,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     elif given.command == "compact":
         print(f"version {reindex.compact(spark, config, given.base, given.vacuum)}")
     elif given.command == "evaluate":
-        per_query = evaluate.evaluate(Engine.open(spark, given.base, config=config), scan_evaluation(spark, given.dataset), given.mode, given.limit)
-        values = evaluate.report(per_query, given.mode, given.limit)
+        scorer = function(given.rerank) if given.rerank else None
+        per_query = evaluate.evaluate(Engine.open(spark, given.base, config=config, scorer=scorer), scan_evaluation(spark, given.dataset), given.mode, given.limit, scorer is not None)
+        values = evaluate.report(per_query, given.mode, given.limit, scorer is not None, given.rerank)
         print(json.dumps({k: v for k, v in values.items() if k != "per_query"}, indent=2))
         print(evaluate.save_report(values, given.label, given.output))
     else:

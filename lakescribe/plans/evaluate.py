@@ -10,7 +10,9 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluation
+from ..operators import evaluation, search
+from ..operators.enrich import with_waits
+from ..sources.workspace import written
 from .engine import MODES, RERANK_FETCH, Engine
 
 METRICS = ("p_at_5", "p_at_10", "recall_at_10", "mrr", "ndcg_at_5")
@@ -25,6 +27,37 @@ def found_by(engine: Engine, queries: DataFrame, mode: str = "hybrid", limit: in
     return engine.found(engine.chunks, frame, mode if mode in MODES else "hybrid", limit, ("query_id",))
 
 
+def reranked(engine: Engine, found: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """``found`` ranked anew by the engine's scorers, query by query, with the new ranks: the search is run and what is shown is read once for all queries.
+
+    The second scorer is asked where the first fails or cannot be read; a query that none answers keeps its order.
+    """
+    spark, found = engine.spark, written(found, "found")
+    texts = {r.query_id: r.query or "" for r in queries.select("query_id", "query").collect()}  # the stated query set
+    shown: dict[str, list[str]] = {}
+    for r in found.select("query_id", "rank", search.rerank_block(found, engine.config.entity_names).alias("b")).orderBy("query_id", "rank").toLocalIterator():
+        shown.setdefault(r.query_id, []).append(r.b)
+    scores: list[tuple] = []
+    for scorer in engine.scorers:
+        answers = []
+        for q, blocks in shown.items():
+            try:
+                answers.append((q, with_waits(lambda text, own=blocks: scorer(text, own), sleep=engine.sleep)(texts.get(q, ""))))
+            except Exception:  # another scorer is asked, or the order stays
+                continue
+        parsed = spark.createDataFrame(answers, "query_id string, answer string").select("query_id", search.parse_rerank_scores(F.col("answer")).alias("m"))
+        read = [(r.query_id, r.m) for r in parsed.filter("m IS NOT NULL").collect()]
+        scores += [(q, k, v) for q, m in read for k, v in m.items()]
+        shown = {q: b for q, b in shown.items() if q not in dict(read)}
+    first = found.filter(F.col("rank") <= limit)
+    if not scores:
+        return first
+    scored = spark.createDataFrame(scores, "query_id string, index int, rerank_score double")
+    asked = scored.select("query_id").distinct()
+    anew = search.reranked(found.join(asked, "query_id", "left_semi"), scored, limit)
+    return anew.withColumn("rank", F.col("position")).select(*found.columns).unionByName(first.join(asked, "query_id", "left_anti").select(*found.columns))
+
+
 def evaluate(engine: Engine, queries: DataFrame, mode: str = "hybrid", limit: int = 10, rerank: bool = False) -> DataFrame:
     """Per query: its fields, the metrics and n_results. With ``rerank`` four times as many results are fetched and each query's are ranked anew by the engine's scorers.
 
@@ -32,14 +65,7 @@ def evaluate(engine: Engine, queries: DataFrame, mode: str = "hybrid", limit: in
     """
     found = found_by(engine, queries, mode, limit * RERANK_FETCH if rerank else limit)
     if rerank:
-        parts = []
-        for r in queries.select("query_id", "query").collect():
-            own = engine.reranked(r.query or "", found.filter(F.col("query_id") == r.query_id), limit)
-            order = F.col("position") if "position" in own.columns else F.col("rank")
-            parts.append(own.withColumn("rank", order).select(*found.columns))
-        found = parts[0] if parts else found
-        for p in parts[1:]:
-            found = found.unionByName(p)
+        found = reranked(engine, found, queries, limit)
     names = engine.config.entity_names
     scores = evaluation.metrics(found, queries, [*names, *evaluation.ENTITY_COLUMNS])
     counted = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_results"))

@@ -862,3 +862,21 @@ def stream_changes(spark, d):
     place = new_path(spark, "changes")
     changes_stream.file_changes(seen, timedelta(hours=36), "1 hour").writeStream.option("checkpointLocation", f"{place}/check").trigger(availableNow=True).format("parquet").start(f"{place}/rows").awaitTermination()
     return spark.read.parquet(f"{place}/rows").select("key", "status", "md5", F.unix_millis("at").alias("at_ms"))
+
+
+@query("""WITH k AS (SELECT source AS document_type, lang AS entity, n_chars % 3 AS content_type FROM documents)
+SELECT document_type, entity, content_type, (grouping(document_type) * 4 + grouping(entity) * 2 + grouping(content_type))::INT AS level, count(*) AS count FROM k GROUP BY CUBE (document_type, entity, content_type)""")
+def type_cube(spark, d):
+    c = t(spark, d, "documents").select(F.col("source").alias("document_type"), F.col("lang").alias("entity"), (F.col("n_chars") % 3).alias("content_type"))
+    return catalog.cube_counts(c, ("document_type", "entity", "content_type"))
+
+
+@query("""SELECT 'l_orderkey' AS "column", count(*) AS rows, true AS close FROM lineitem UNION ALL SELECT 'l_partkey', count(*), true FROM lineitem UNION ALL SELECT 'l_suppkey', count(*), true FROM lineitem""")
+def merged_distinct(spark, d):
+    """Distinct values by sketches that are kept for each flag and merged, held against exact counts: within five standard errors."""
+    rows = t(spark, d, "lineitem")
+    names = ["l_orderkey", "l_partkey", "l_suppkey"]
+    kept = catalog.distinct_sketches(rows, names, by=("l_returnflag",))
+    exact = rows.agg(*[F.count_distinct(c).alias(c) for c in names]).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in names])).alias("e")).select("e.*")
+    found = catalog.merged_sketches(kept).join(exact, "column")
+    return found.select("column", "rows", (F.abs(F.col("distinct") - F.col("exact")) <= 5 * 1.04 / 64 * F.col("exact")).alias("close"))

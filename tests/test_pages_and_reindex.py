@@ -306,7 +306,10 @@ def test_append_aligns_columns_by_name(spark, tmp_path):
         files.append_chunks(spark.createDataFrame([("u", "b")], "document_type string, other string"), path)
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import sys
+    import types
+
     import yaml
 
     from lakescribe.__main__ import main
@@ -322,6 +325,15 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "q.json").write_text(json.dumps({"queries": [{"id": "1", "query": "inundaciones", "category": "c", "difficulty": "d", "expected_document_types": ["report"], "expected_entities": ["Boston"]}]}))
     assert main(["evaluate", str(tmp_path / "q.json"), *common, "--mode", "fts", "--output", str(tmp_path / "out")], spark) == 0
     assert '"avg_mrr": 1.0' in capsys.readouterr().out and list((tmp_path / "out").iterdir())
+    asked = []
+    module = types.ModuleType("own_scorers")
+    module.score = lambda query, shown: asked.append(query) or json.dumps([{"index": 0, "score": 5}])
+    module.model = lambda prompt: "```yaml\nproject: {name: p}\n```" if "Boston_1.md" in prompt else "no"
+    monkeypatch.setitem(sys.modules, "own_scorers", module)
+    assert main(["evaluate", str(tmp_path / "q.json"), *common, "--mode", "fts", "--output", str(tmp_path / "out"), "--rerank", "own_scorers:score"], spark) == 0
+    assert '"rerank": true' in capsys.readouterr().out and asked == ["inundaciones"]
+    assert main(["propose-config", f"file://{tmp_path}/docs", "--model", "own_scorers:model", "--output", str(tmp_path / "p.yaml")], spark) == 0 and "name: p" in (tmp_path / "p.yaml").read_text()
+    assert main(["compact", *common, "--vacuum"], spark) == 0 and "version" in capsys.readouterr().out
     assert main(["reindex", "--config", str(tmp_path / "none.yaml")], spark) == 1
 
 
