@@ -880,3 +880,32 @@ def merged_distinct(spark, d):
     exact = rows.agg(*[F.count_distinct(c).alias(c) for c in names]).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in names])).alias("e")).select("e.*")
     found = catalog.merged_sketches(kept).join(exact, "column")
     return found.select("column", "rows", (F.abs(F.col("distinct") - F.col("exact")) <= 5 * 1.04 / 64 * F.col("exact")).alias("close"))
+
+
+# a third of the documents as paragraphs of one section, a third as one paragraph, a third as paragraphs of a subsection: sections longer than a chunk are split, what is still too long is cut
+@query(f"""WITH RECURSIVE p0 AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, E' \\t\\r')), lambda x: x <> ''), lambda x: 'x ' || x) AS p FROM documents),
+z AS (SELECT doc_id, q AS p, array_to_string(q, E'\\n\\n') AS body, list_transform(q, lambda x: {TOKENS.format('x')}) AS k FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN [array_to_string(p, ' ')] ELSE p END AS q FROM p0 WHERE len(p) > 0)),
+f AS (SELECT *, {TOKENS.format('body')} AS own, {TOKENS.format("(CASE WHEN doc_id % 3 = 2 THEN E'### One\\n\\n' ELSE '' END || body)")} AS whole FROM z),
+r AS (
+  SELECT doc_id, 0 AS n, 1 AS s, 1 AS j, k, NULL::INT AS e, NULL::INT AS b FROM f WHERE own > 1500
+  UNION ALL
+  SELECT doc_id, CASE WHEN fit THEN n ELSE n + 1 END, CASE WHEN fit THEN s ELSE again END, j + fit::INT, k, CASE WHEN NOT fit THEN j - 1 END, CASE WHEN NOT fit THEN s END
+  FROM (SELECT *, (j = s OR forced OR coalesce(list_sum(k[s:j]), 0) <= 1500) AS fit FROM (
+    SELECT *, b IS NOT NULL AS forced, coalesce(list_min(list_filter(range(s, j + 1), lambda q: coalesce(list_sum(k[q:j - 1]), 0) <= 125)), j)::INT AS again FROM r)) WHERE j <= len(k)
+),
+runs AS (SELECT doc_id, n, array_to_string(p[b:e], E'\\n\\n') AS part FROM (SELECT doc_id, n, b, e FROM r WHERE b IS NOT NULL UNION ALL SELECT doc_id, max(n) + 1, arg_max(s, j), arg_max(j, j) - 1 FROM r GROUP BY doc_id) JOIN z USING (doc_id)),
+pieces AS (
+  SELECT doc_id, 0 AS n, E'## Long\\n\\n' || CASE WHEN doc_id % 3 = 2 THEN E'### One\\n\\n' ELSE '' END || body AS text, 'Long' AS section_title, 2 AS section_level FROM f WHERE whole BETWEEN 100 AND 1500
+  UNION ALL SELECT doc_id, 0, E'## Long\\n### One\\n\\n' || body, 'Long > One', 3 FROM f WHERE doc_id % 3 = 2 AND whole > 1500 AND own <= 1500
+  UNION ALL SELECT doc_id, n, CASE WHEN doc_id % 3 = 2 THEN E'## Long\\n### One\\n\\n' ELSE E'## Long\\n\\n' END || part, CASE WHEN doc_id % 3 = 2 THEN 'Long > One' ELSE 'Long' END, CASE WHEN doc_id % 3 = 2 THEN 3 ELSE 2 END FROM runs
+)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS chunk_index, section_title, section_level::INT AS section_level,
+  CASE WHEN len({WORDS.format('text')}) > 1384 THEN array_to_string(({WORDS.format('text')})[:1384], ' ') ELSE text END AS text FROM pieces""")
+def long_sections(spark, d):
+    lines = F.transform(tx.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n"))), lambda x: F.concat(F.lit("x "), x))
+    n = F.col("doc_id") % 3
+    body = F.array_join(lines, "\n\n")
+    text = F.when(n == 1, F.concat(F.lit("## Long\n\n"), F.array_join(lines, " ")))
+    text = text.when(n == 2, F.concat(F.lit("## Long\n\n### One\n\n"), body)).otherwise(F.concat(F.lit("## Long\n\n"), body))
+    docs = t(spark, d, "documents").select("doc_id", text.alias("text"))
+    return chunking.process_documents(docs, keep=("doc_id",)).select("doc_id", "chunk_index", "section_title", "section_level", "text")
