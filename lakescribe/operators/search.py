@@ -53,7 +53,7 @@ def text_search(chunks: DataFrame, queries: DataFrame, k: int, index: TextIndex
     """The ``k`` best chunks of each query by BM25; scores are divided by the best of the returned rows.
 
     ``index`` is that of the whole corpus (without one it is built in the shared folder); ``chunks`` may be filtered, the filter holds before the ranking. Only blocks of the index that can hold one
-    of the best are scored (all of them where ``by`` asks for the best of groups), ids alone are ranked, and the texts of the best rows are fetched then.
+    of the best are scored (all of them for queries of many terms, and where ``by`` asks for the best of groups), ids alone are ranked, and the texts of the best rows are fetched then.
     """
     index = write_index(chunks, new_path(chunks.sparkSession, "text-index")) if index is None else index
     own = [c for c in by if c != "query_id"]
@@ -61,7 +61,7 @@ def text_search(chunks: DataFrame, queries: DataFrame, k: int, index: TextIndex
     if search is None:
         scored = queries.select("query_id").limit(0).crossJoin(chunks.select("chunk_id").limit(0)).withColumn("score", F.lit(0.0))
     else:
-        scored = search.scored(None if own else best_blocks(search, chunks.select("chunk_id"), k))
+        scored = search.scored(None if own or not search.prunes else best_blocks(search, chunks.select("chunk_id"), k))
     best = top_k(scored.join(chunks.select("chunk_id", *own), "chunk_id").filter("score > 0"), k, by)
     best = best.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy(*by)))
     return chunks.drop(*own).join(best, "chunk_id")
