@@ -190,11 +190,12 @@ class Itemsets:
         rows = lines.filter(F.col(basket_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(basket_col).alias("basket"), F.col(item_col).alias("item"))
         self.baskets = rows.select("basket").distinct().count()
         self.least = max(least, -(-self.baskets // share))
-        self.salts = salts_for(rows.count(), least=16)
+        lines_of = written(rows.groupBy("item").agg(F.count("*").alias("_n")), "item-lines")
+        self.salts = salts_for(lines_of.agg(F.coalesce(F.sum("_n"), F.lit(0))).head()[0], least=16)
         self.parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), self.salts)
         self.heavy = heavy
-        lines_of = rows.groupBy("item").agg(F.count("*").alias("_n")).filter(F.col("_n") >= self.least).select("item")  # as many lines at least as baskets
-        rows = written(_meet(rows, lines_of, "item", "basket", self.salts).distinct(), "basket-items")
+        often = lines_of.filter(F.col("_n") >= self.least).select("item")  # as many lines at least as baskets
+        rows = written(_meet(rows, often, "item", "basket", self.salts).distinct(), "basket-items")
         supports = rows.groupBy("item").agg(F.count("*").alias("support")).filter(F.col("support") >= self.least)
         self.items = written(supports.orderBy("support", "item").withColumn("rank", F.monotonically_increasing_id()), "ranked-items")  # ascending in that order
         rows = written(_meet(rows, self.items.select("item", "rank"), "item", "basket", self.salts).select("basket", "rank"), "basket-ranks")
