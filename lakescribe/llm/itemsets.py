@@ -30,7 +30,7 @@ def _meet(rows: DataFrame, side: DataFrame, key: str, by: str, salts: int) -> Da
     """``rows`` with the rows of ``side`` that have their ``key``. A key is dealt to ``salts`` parts by ``by``; its rows of ``side`` go to the parts that there are."""
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64(by, F.lit(7)), F.lit(salts)).cast("int"))
     parts = rows.select(key, "_salt").distinct().join(side.hint("merge"), key)
-    return rows.join(parts.hint("merge"), [key, "_salt"]).drop("_salt")
+    return rows.join(parts.hint("shuffle_hash"), [key, "_salt"]).drop("_salt")
 
 
 class Merged:
@@ -190,12 +190,14 @@ class Itemsets:
         rows = lines.filter(F.col(basket_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(basket_col).alias("basket"), F.col(item_col).alias("item"))
         self.baskets = rows.select("basket").distinct().count()
         self.least = max(least, -(-self.baskets // share))
-        lines_of = written(rows.groupBy("item").agg(F.count("*").alias("_n")), "item-lines")
-        self.salts = salts_for(lines_of.agg(F.coalesce(F.sum("_n"), F.lit(0))).head()[0], least=16)
+        self.salts = salts_for(lines.count(), least=16)
         self.parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), self.salts)
         self.heavy = heavy
-        often = lines_of.filter(F.col("_n") >= self.least).select("item")  # as many lines at least as baskets
-        rows = written(_meet(rows, often, "item", "basket", self.salts).distinct(), "basket-items")
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("basket", F.lit(7)), F.lit(self.salts)).cast("int"))
+        counted = written(salted.groupBy("item", "_salt").agg(F.count("*").alias("_n")), "item-lines")
+        often = counted.groupBy("item").agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= self.least).select("item")  # as many lines at least as baskets
+        often = counted.select("item", "_salt").join(often.hint("shuffle_hash"), "item")
+        rows = written(salted.join(often.hint("shuffle_hash"), ["item", "_salt"]).select("basket", "item").distinct(), "basket-items")
         supports = rows.groupBy("item").agg(F.count("*").alias("support")).filter(F.col("support") >= self.least)
         self.items = written(supports.orderBy("support", "item").withColumn("rank", F.monotonically_increasing_id()), "ranked-items")  # ascending in that order
         rows = written(_meet(rows, self.items.select("item", "rank"), "item", "basket", self.salts).select("basket", "rank"), "basket-ranks")
@@ -282,7 +284,7 @@ def _meet_left(rows: DataFrame, giants: DataFrame, salts: int) -> DataFrame:
     """(basket, rank, giant) of all rows; a basket is dealt to ``salts`` parts by its items."""
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("rank", F.lit(7)), F.lit(salts)).cast("int"))
     parts = giants.select("basket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), F.lit(True).alias("giant"))
-    return rows.join(parts.hint("merge"), ["basket", "_salt"], "left").select("basket", "rank", F.coalesce("giant", F.lit(False)).alias("giant"))
+    return rows.join(parts.hint("shuffle_hash"), ["basket", "_salt"], "left").select("basket", "rank", F.coalesce("giant", F.lit(False)).alias("giant"))
 
 
 def _meet_stems(entries: DataFrame, stems: DataFrame, salts: int) -> DataFrame:
