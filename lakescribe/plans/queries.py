@@ -20,6 +20,7 @@ from ..sources import pages as sources_pages
 from ..sources.chunktable import ChunkTable
 from ..sources.workspace import new_path
 from ..streaming import changes as changes_stream
+from . import sqlfunctions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -909,3 +910,32 @@ def long_sections(spark, d):
     text = text.when(n == 2, F.concat(F.lit("## Long\n\n### One\n\n"), body)).otherwise(F.concat(F.lit("## Long\n\n"), body))
     docs = t(spark, d, "documents").select("doc_id", text.alias("text"))
     return chunking.process_documents(docs, keep=("doc_id",)).select("doc_id", "chunk_index", "section_title", "section_level", "text")
+
+
+@query(f"""SELECT * FROM ({ORACLES["token_estimate"]}) JOIN ({ORACLES["content_type"]}) USING (doc_id) JOIN ({ORACLES["quantitative_flag"]}) USING (doc_id) JOIN ({ORACLES["truncate_text"]}) USING (doc_id)""")
+def sql_functions(spark, d):
+    """Text functions called from SQL."""
+    sqlfunctions.register(spark)
+    return spark.sql("SELECT doc_id, token_count(text) AS tokens, content_kind(text) AS content_type, quantitative(text) AS quantitative, cut_text(text) AS text FROM {docs}", docs=t(spark, d, "documents"))
+
+
+@query(ORACLES["process_documents"])
+def chunk_document(spark, d):
+    """Chunks by the table function, called laterally from SQL."""
+    sqlfunctions.register(spark, skip_exact=["user 2"])
+    return spark.sql(
+        """SELECT CAST(d.conv_id AS STRING) AS source_file, 'talk' AS document_type, concat('c', d.conv_id % 3) AS city, c.*
+        FROM {docs} d, LATERAL chunk_document(d.text, concat('city: c', d.conv_id % 3)) c""",
+        docs=conversations_md(spark, d),
+    )
+
+
+@query(ORACLES["sections_hierarchical"])
+def sql_sections(spark, d):
+    """Sections as an array from SQL, numbered by position."""
+    sqlfunctions.register(spark)
+    return spark.sql(
+        """SELECT conv_id, CAST(i + 1 AS INT) AS main_no, s.title, s.content, CAST(size(s.subsections) AS BIGINT) AS subsections, array_join(transform(s.subsections, x -> x.title), '|') AS sub_titles
+        FROM (SELECT conv_id, sections_of(text) AS sections FROM {docs} WHERE text RLIKE '(?md)^## ') LATERAL VIEW posexplode(sections) AS i, s""",
+        docs=conversations_md(spark, d),
+    )
