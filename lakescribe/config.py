@@ -150,6 +150,15 @@ def load_config(path: str) -> CorpusConfig:
     return parse_config(yaml.safe_load(Path(path).read_text(encoding="utf-8")))
 
 
+def optional_config(path: str | None) -> dict | None:
+    """The plain YAML of a configuration, or None where there is no file or it is empty: what an evaluation needs that can do without one."""
+    import yaml
+
+    if not path or not Path(path).exists():
+        return None
+    return yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+
+
 def dump_config(raw: dict, path: str) -> None:
     """Writes a configuration as YAML."""
     import yaml

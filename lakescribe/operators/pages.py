@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import layout
 from .layout import LEAST_IMAGE, header_names, image_coverage, is_table, ocr_confidence, page_type, section_type
 
 #: How far beside, above and below an image its caption is looked for, how long it may be, and the parser's version.
@@ -132,14 +133,39 @@ def image_name() -> Column:
     return F.format_string("%s_p%d_i%d.%s", "doc", "page", "image_index", "format")
 
 
-def write_images(found_images: DataFrame, path: str) -> None:
-    """The images as rows (file_name, data), partitioned by document hash: a store of any number of images in few files."""
-    rows = found_images.select(image_name().alias("file_name"), "doc", "is_chart", "data")
-    rows.write.mode("overwrite").parquet(path)
+def image_files(found_images: DataFrame) -> DataFrame:
+    """(file_name, content) of images."""
+    return found_images.select(image_name().alias("file_name"), F.col("data").alias("content"))
 
 
-def write_documents(markdown: DataFrame, json: DataFrame, found_images: DataFrame, path: str) -> None:
-    """Markdown (doc, md), JSON (doc, json) and images of all documents under ``path``, each in as many files as there are tasks."""
-    markdown.write.mode("overwrite").parquet(f"{path}/markdown")
-    json.write.mode("overwrite").parquet(f"{path}/json")
-    write_images(found_images, f"{path}/images")
+def table_markdown() -> Column:
+    """A found table in Markdown: its column names, then its rows, but for a first row that the names were taken from. Cells are one line each, bars in them escaped, short rows filled up."""
+    cell = lambda c: F.replace(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")), F.lit("|"), F.lit("\\|"))
+    filled = lambda r: F.transform(F.sequence(F.lit(0), F.col("col_count") - 1), lambda k: cell(F.get(r, k)))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(filled(r), " | "), F.lit(" |"))
+    first = F.transform(F.coalesce(F.get("rows", F.lit(0)), F.array().cast("array<string>")), lambda c: F.coalesce(c, F.lit("")))
+    body = F.when(first == F.col("header_names"), F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))).otherwise(F.col("rows"))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.col("col_count")))
+    return F.when(F.col("col_count") > 0, F.array_join(F.concat(F.array(line(F.col("header_names")), rule), F.transform(body, line)), "\n"))
+
+
+def page_spans(pages: DataFrame) -> DataFrame:
+    """A row per span of pages: doc, page, seq, page_height and the span's fields."""
+    return pages.filter("page > 0").select("doc", "page", F.col("height").alias("page_height"), F.posexplode("spans").alias("seq", "s")).select("doc", "page", F.col("seq").cast("long").alias("seq"), "page_height", "s.*")
+
+
+def composed_markdown(pages: DataFrame, found_tables: DataFrame, found_images: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc, md) of analysed pages: each document's title, then every page under its marker with lines, tables, images and recognised text in reading order.
+
+    ``texts`` is what ``processed`` gives. Running headers and footers and the spans inside tables are left out of the lines. A page with nothing has its marker only; a document without headings is titled by its name.
+    """
+    spans = layout.with_levels(page_spans(pages))
+    body = layout.outside_tables(layout.without_running_text(spans), found_tables.select("doc", "page", "bbox.*"))
+    lines = layout.lines_to_markdown(layout.line_groups(body)).select("doc", "page", "y0", F.lit(0).alias("kind_no"), F.col("line").cast("long").alias("seq"), "md")
+    place = lambda rows, kind, seq, md: rows.select("doc", "page", F.col("bbox.y0").alias("y0"), F.lit(kind).alias("kind_no"), F.col(seq).cast("long").alias("seq"), md.alias("md"))
+    pictures = F.concat(F.lit("![Image "), (F.col("image_index") + 1).cast("string"), F.lit(", page "), F.col("page").cast("string"), F.lit("](images/"), image_name(), F.lit(")"))
+    read = texts.filter("ocr_applied AND text <> ''").select("doc", "page", F.lit(0.0).alias("y0"), F.lit(0).alias("kind_no"), F.lit(-1).cast("long").alias("seq"), F.col("text").alias("md"))
+    parts = layout.interleaved(lines, place(found_tables, 1, "table_index", table_markdown()).filter("md IS NOT NULL"), place(found_images, 2, "image_index", pictures), read)
+    whole = pages.filter("page > 0").select("doc", "page").join(parts, ["doc", "page"], "left").withColumn("md", F.coalesce("md", F.lit("")))
+    names = whole.select("doc").distinct().join(layout.titles(spans), "doc", "left").select("doc", F.coalesce("title", F.col("doc").cast("string")).alias("title"))
+    return layout.documents_markdown(whole, names)

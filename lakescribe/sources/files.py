@@ -140,7 +140,8 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_markdown(documents: DataFrame, path: str, folders: int = 64) -> None:
-    """(doc, md) as a text file per document, dealt to ``folders`` folders by the document's hash, so that a folder's listing stays short."""
-    rows = documents.select(F.col("md").alias("value"), F.pmod(F.xxhash64(F.col("doc").cast("string")), F.lit(folders)).alias("folder"), F.col("doc").cast("string").alias("doc"))
-    rows.write.mode("overwrite").partitionBy("folder", "doc").text(path)
+def write_markdown(documents: DataFrame, path: str) -> DataFrame:
+    """(doc, md) as ``<doc>.md`` under ``path``, a file per document; gives (file_name, bytes)."""
+    from .filesink import write_files
+
+    return write_files(documents.select(F.concat(F.col("doc").cast("string"), F.lit(".md")).alias("file_name"), F.col("md").alias("content")), path)

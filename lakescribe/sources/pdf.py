@@ -12,8 +12,10 @@ SPANS = (
 )
 
 
-def scan_pdfs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of the PDF files of a directory."""
+def scan_pdfs(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
+    """(path, content) of the PDF files of a directory, or of the one file ``only`` in it (with or without .pdf); no other file is opened then."""
+    if only is not None:
+        path = f"{path.rstrip('/')}/{only.removesuffix('.pdf')}.pdf"
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
 
 
