@@ -1,4 +1,4 @@
-"""Command line: reindex, rebuild-index, compact, evaluate, propose-config, documents. Spark's own settings come from the environment or spark-submit."""
+"""Command line: reindex, rebuild-index, compact, evaluate, propose-config, parse, documents. Spark's own settings come from the environment or spark-submit."""
 
 from __future__ import annotations
 
@@ -42,6 +42,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--model", metavar="MODULE:FUNCTION", required=True, help="a function of the prompt")
     p.add_argument("--output", default="corpus_config.yaml")
     p.add_argument("--max-files", type=int, default=5)
+    p = command("parse", "Markdown, JSON and images of PDF files")
+    p.add_argument("directory")
+    p.add_argument("output")
+    p.add_argument("--file", help="only this file of the directory")
+    p.add_argument("--extractor", metavar="MODULE:FUNCTION", required=True, help="a function of a file's bytes that gives its pages")
+    p.add_argument("--recognise", metavar="MODULE:FUNCTION", help="a function of a picture and a language that gives words and confidences")
+    p.add_argument("--language", default="spa")
     p = command("documents", "how many chunks of each document type there are")
     return top
 
@@ -63,6 +70,13 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             print(e, file=sys.stderr)
             return 1
         return 0
+    if given.command == "parse":
+        from .plans.parse import parse_files
+
+        spark = spark or SparkSession.builder.appName("lakescribe").getOrCreate()
+        done = parse_files(spark, given.directory, given.output, function(given.extractor), function(given.recognise) if given.recognise else None, given.file, given.language)
+        done.orderBy("doc").show(1000, truncate=False)
+        return 1 if done.filter("error IS NOT NULL").head(1) else 0
     try:
         config = load_config(given.config)
     except ConfigError as e:

@@ -939,3 +939,19 @@ def sql_sections(spark, d):
         FROM (SELECT conv_id, sections_of(text) AS sections FROM {docs} WHERE text RLIKE '(?md)^## ') LATERAL VIEW posexplode(sections) AS i, s""",
         docs=conversations_md(spark, d),
     )
+
+
+@query(r"""WITH l AS (SELECT l_orderkey AS doc, l_linenumber, l_partkey, CASE WHEN l_quantity <= 30 THEN l_returnflag || '|' || l_linestatus END AS flags FROM lineitem)
+SELECT doc, '| line | part\|item | flags |' || E'\n| --- | --- | --- |\n' || string_agg('| ' || l_linenumber || ' | part ' || l_partkey || ' | ' || coalesce(replace(flags, '|', '\|'), '') || ' |', E'\n' ORDER BY l_linenumber, l_partkey, flags NULLS FIRST) AS md
+FROM l GROUP BY doc""")
+def table_markdown(spark, d):
+    """Orders as tables of pages, rendered in Markdown; in every other one the names of columns are the first row."""
+    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.struct("l_linenumber", "l_partkey", F.when(F.col("l_quantity") <= 30, F.concat("l_returnflag", F.lit("|"), "l_linestatus")).alias("flags")).alias("x"))
+    lines = F.transform(F.array_sort(F.collect_list("x")), lambda x: F.array(x["l_linenumber"].cast("string"), F.concat(F.lit("part\n "), x["l_partkey"]), x["flags"]))
+    names = F.array(F.lit("line"), F.lit("part|item"), F.lit("flags"))
+    first = F.col("doc") % 2 == 0
+    orders = rows.groupBy("doc").agg(lines.alias("lines")).select("doc", F.struct(
+        F.expr("named_struct('x0', 0D, 'y0', 0D, 'x1', 0D, 'y1', 0D)").alias("bbox"), F.when(~first, names).alias("header"), F.when(first, F.concat(F.array(names), "lines")).otherwise(F.col("lines")).alias("rows"),
+    ).alias("found"))
+    drawn = orders.select("doc", F.lit(1).alias("page"), F.array("found").alias("bordered"), F.array().cast(orders.select(F.array("found")).schema[0].dataType).alias("borderless"))
+    return pages.tables(drawn, try_borderless=False).select("doc", pages.table_markdown().alias("md"))

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lakescribe.__main__ import main
 from lakescribe.config import optional_config
 from lakescribe.operators import pages
 from lakescribe.plans.parse import parse_files
@@ -102,3 +103,9 @@ def test_one_file_only(spark, folder, tmp_path):
 def test_optional_config(tmp_path):
     (tmp_path / "c.yaml").write_text("project: {name: x}")
     assert optional_config(str(tmp_path / "c.yaml")) == {"project": {"name": "x"}} and optional_config(str(tmp_path / "none.yaml")) is None and optional_config(None) is None
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    given = ["parse", str(folder), str(tmp_path / "out"), "--extractor", "tests.test_pages_and_reindex:read_pdf"]
+    assert main([*given, "--file", "one.pdf"], spark) == 0 and "one" in capsys.readouterr().out and (tmp_path / "out/one.json").exists()
+    assert main([*given, "--file", "three"], spark) == 1
