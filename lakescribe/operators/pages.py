@@ -40,19 +40,20 @@ def tables(pages: DataFrame, try_borderless: bool = True) -> DataFrame:
     Tables found without borders count only on pages without bordered ones, and only where they look like tables; table_index is the place in what was found.
     """
 
-    def of(column: str, borderless: bool) -> DataFrame:
-        rows = pages.filter(F.coalesce(F.size("bordered"), F.lit(0)) == 0) if borderless else pages
-        rows = rows.select("doc", "page", F.posexplode(column).alias("table_index", "t"))
-        rows = rows.filter(F.coalesce(is_table(F.col("t.rows")), F.lit(False))) if borderless else rows
-        cells = F.flatten("t.rows")
-        return rows.select(
-            "doc", "page", "table_index", F.col("t.bbox").alias("bbox"), F.col("t.rows").alias("rows"), header_names(F.when(F.size("t.header") > 0, F.col("t.header")), F.col("t.rows")).alias("header_names"),
-            F.coalesce(F.size("t.rows"), F.lit(0)).alias("row_count"), F.coalesce(F.array_max(F.transform("t.rows", F.size)), F.lit(0)).alias("col_count"), F.lit(borderless).alias("is_borderless"),
-            F.coalesce(F.size(F.filter(cells, lambda c: c.isNull())) > F.size(cells) * F.lit(REVIEW_SHARE), F.lit(False)).alias("needs_review"),
-        )
+    def of(column: str, borderless: bool) -> Column:
+        return F.transform(column, lambda t, i: F.struct(i.alias("table_index"), F.lit(borderless).alias("is_borderless"), t["bbox"].alias("bbox"), t["rows"].alias("rows"), t["header"].alias("header")))
 
     found = of("bordered", False)
-    return found.unionByName(of("borderless", True)) if try_borderless else found
+    if try_borderless:  # one array, so that pages, which may be the work of a Python stage, are gone over once
+        found = F.when(F.coalesce(F.size("bordered"), F.lit(0)) == 0, of("borderless", True)).otherwise(found)
+    rows = pages.select("doc", "page", F.explode(found).alias("t")).select("doc", "page", "t.*")
+    rows = rows.filter(~F.col("is_borderless") | F.coalesce(is_table(F.col("rows")), F.lit(False)))
+    cells = F.flatten("rows")
+    return rows.select(
+        "doc", "page", "table_index", "bbox", "rows", header_names(F.when(F.size("header") > 0, F.col("header")), F.col("rows")).alias("header_names"),
+        F.coalesce(F.size("rows"), F.lit(0)).alias("row_count"), F.coalesce(F.array_max(F.transform("rows", F.size)), F.lit(0)).alias("col_count"), "is_borderless",
+        F.coalesce(F.size(F.filter(cells, lambda c: c.isNull())) > F.size(cells) * F.lit(REVIEW_SHARE), F.lit(False)).alias("needs_review"),
+    )
 
 
 def images(pages: DataFrame, least: int = LEAST_IMAGE, charts_only: bool = False) -> DataFrame:

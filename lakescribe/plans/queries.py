@@ -835,18 +835,18 @@ def windowed_events(spark, d):
 FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey) > 1 OR l_orderkey % 2 = 0""")
 def found_tables(spark, d):
     """Tables of drawn pages: each order's lines as words at their places, ruled on even orders and with gaps alone on odd ones, under a title."""
-    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_returnflag")) - 1
-    rows = t(spark, d, "lineitem").select("l_orderkey", n.alias("n"), F.array(F.lit("line"), F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string"), F.col("l_returnflag")).alias("words"))
     word = lambda text, x, y: F.struct(text.alias("text"), F.lit(float(x)).alias("x0"), y.alias("y0"), (F.lit(float(x)) + 5.0 * F.length(text)).alias("x1"), (y + 10.0).alias("y1"))
-    y = 100.0 + 20.0 * F.col("n")
-    words = rows.groupBy("l_orderkey").agg(F.flatten(F.collect_list(F.array(*(word(F.col("words")[k], x, y) for k, x in enumerate((50, 72, 150, 250)))))).alias("spans"), F.count(F.lit(1)).alias("rows"))
+    text = lambda r: (F.lit("line"), r["l_linenumber"].cast("string"), r["l_quantity"].cast("int").cast("string"), r["l_returnflag"])
+    line = lambda r, n: F.array(*(word(w, x, 100.0 + 20.0 * n) for w, x in zip(text(r), (50, 72, 150, 250))))
+    orders = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag"))).alias("lines"))
+    words = orders.select("l_orderkey", F.flatten(F.transform("lines", line)).alias("spans"), F.size("lines").alias("rows"))
     title = F.array(word(F.lit("Order"), 50, F.lit(40.0)), word(F.col("l_orderkey").cast("string"), 77, F.lit(40.0)))
     box = lambda x0, y0, x1, y1: F.struct(*(v.cast("double").alias(k) for k, v in zip(("x0", "y0", "x1", "y1"), (x0, y0, x1, y1))))
     low = 95 + 20 * F.col("rows")
     across = F.transform(F.sequence(F.lit(0), F.col("rows")), lambda k: box(F.lit(45), 95 + 20 * k, F.lit(345), 95 + 20 * k))
     down = F.array(*(box(F.lit(x), F.lit(95), F.lit(x), low) for x in (45, 145, 245, 345)))
     drawn = words.select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), F.concat(title, "spans").alias("spans"), F.when(F.col("l_orderkey") % 2 == 0, F.concat(across, down)).alias("rules"))
-    found = pages.tables(tablefinding.find_tables(drawn))
+    found = pages.tables(tablefinding.find_tables(drawn, keep=("doc", "page")))
     return found.select("doc", "is_borderless", F.posexplode("rows").alias("row", "cells")).withColumn("cells", F.array_join("cells", "|"))
 
 
