@@ -59,10 +59,12 @@ def text_search(chunks: DataFrame, queries: DataFrame, k: int, index: TextIndex
     own = [c for c in by if c != "query_id"]
     search = plan(index, queries)
     if search is None:
-        scored = queries.select("query_id").limit(0).crossJoin(chunks.select("chunk_id").limit(0)).withColumn("score", F.lit(0.0))
+        scored = queries.select("query_id").limit(0).crossJoin(chunks.select("chunk_id", *own).limit(0)).withColumn("score", F.lit(0.0))
+    elif own or not search.prunes:
+        scored = search.best(chunks.select("chunk_id", *own), k, own)
     else:
-        scored = search.scored(None if own or not search.prunes else best_blocks(search, chunks.select("chunk_id"), k))
-    best = top_k(scored.join(chunks.select("chunk_id", *own), "chunk_id").filter("score > 0"), k, by)
+        scored = search.scored(best_blocks(search, chunks.select("chunk_id"), k)).join(chunks.select("chunk_id"), "chunk_id").filter("score > 0")
+    best = top_k(scored, k, by)
     best = best.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy(*by)))
     return chunks.drop(*own).join(best, "chunk_id")
 

@@ -216,3 +216,22 @@ def group(rows):
     for r in rows:
         out.setdefault(r.query_id, []).append(r)
     return out
+
+
+def test_passages_are_scored_chunk_by_chunk_and_equal_all_lists(spark, tmp_path):
+    rng = random.Random(3)
+    texts = {i: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 2) for _ in range(rng.randint(0, 30))) for i in range(300)}
+    index = textindex.write_index(corpus(spark, texts), str(tmp_path / "chunks"))
+    index = textindex.refresh_index(index, corpus(spark, {i: "" for i in range(0, 300, 7)}), corpus(spark, {i: f"new a b {i}" for i in range(0, 300, 14)}))
+    asked = spark.createDataFrame([(f"q{i}", " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60))) for i in range(12)] + [("none", "xyzzy")], "query_id string, query string")
+    allowed = corpus(spark, {**texts, 999: "not in the index"}).select("chunk_id").filter("chunk_id % 3 > 0").withColumn("g", F.col("chunk_id") % 2)
+    found = textindex.plan(index, asked)
+    assert not found.prunes
+    for by in (("query_id",), ("query_id", "g")):
+        every = search.top_k(found.scored().join(allowed, "chunk_id").filter("score > 0"), 5, by)
+        few = found.best(allowed, 5, by[1:])
+        assert few.rdd.getNumPartitions() * 12 * 5 * len(by) >= few.count()
+        assert "HashAggregate" not in few._jdf.queryExecution().executedPlan().toString()  # no row for each query and chunk is moved
+        best = search.top_k(few, 5, by)
+        rows = lambda df: sorted((r.query_id, r.chunk_id, r.g if len(by) > 1 else 0, round(r.score, 8), r["rank"]) for r in df.collect())
+        assert rows(best) == rows(every) and rows(best)
