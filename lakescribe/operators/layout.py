@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import let, strip, trimmed
 
 # Zones, tolerances and limits in points, counts and characters.
 ZONE = 72.0
@@ -17,8 +17,11 @@ BOX_PADDING = 5.0
 REPEATED = 3
 LEVELS = 6
 LEAST_IMAGE = 100
+OPEN_STARTS = 32
 SECTION_WORDS = {"anejo": r"(?iu)\bANEJOS?\b", "anexo": r"(?iu)\bANEXOS?\b", "apendice": r"(?iu)\bAP[EÉ]NDICES?\b"}
 
+LEAST_WORD = 5
+
 
 def rounded_size(size: Column) -> Column:
     """To half points, halves to even."""
@@ -36,7 +39,7 @@ def is_italic(flags: Column, font: Column) -> Column:
 def heading_levels(spans: DataFrame) -> DataFrame:
     """(doc, font_size, chars, level): body is the size of most characters (the smallest of equals), larger sizes are levels from the largest down, at most six; others 0."""
     size = rounded_size(F.col("font_size"))
-    counted = spans.withColumn("_n", F.length(strip(F.col("text")))).filter("_n > 0").groupBy("doc", size.alias("font_size")).agg(F.sum("_n").alias("chars"))
+    counted = spans.withColumn("_n", F.length(trimmed(F.col("text")))).filter("_n > 0").groupBy("doc", size.alias("font_size")).agg(F.sum("_n").alias("chars"))
     body = F.first("font_size").over(Window.partitionBy("doc").orderBy(F.desc("chars"), "font_size"))
     larger = counted.withColumn("_body", body)
     rank = F.dense_rank().over(Window.partitionBy("doc").orderBy(F.desc("font_size")))
@@ -44,14 +47,30 @@ def heading_levels(spans: DataFrame) -> DataFrame:
 
 
 def with_levels(spans: DataFrame) -> DataFrame:
-    """Spans with their heading level, 0 where their size has none."""
-    levels = heading_levels(spans).select("doc", F.col("font_size").alias("_size"), "level")
-    sized = spans.withColumn("_size", rounded_size(F.col("font_size")))
-    return sized.join(levels, ["doc", "_size"], "left").withColumn("heading_level", F.coalesce("level", F.lit(0))).drop("_size", "level")
+    """Spans with their heading level, 0 where their size has none.
+
+    The levels are those of ``heading_levels``. A document's spans are sorted once, by size, and windows over that order find the characters of each size, the body size and the
+    rank; so spans that lie by document already do not move, and nothing is read twice.
+    """
+    n = F.length(trimmed(F.col("text")))
+    s = spans.withColumn("_size", rounded_size(F.col("font_size"))).withColumn("_n", F.when(n > 0, n))
+    s = s.withColumns({"_key": F.when(F.col("_n").isNotNull(), F.col("_size")), "_blank": F.col("_n").isNull()})
+    # spans with text stand first of their size, so a size is counted where its first span has text, and blank spans see whether their size is counted
+    by_size = Window.partitionBy("doc").orderBy(F.desc("_size"), "_blank")
+    so_far = by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = s.withColumns({"_before": F.lag("_size").over(by_size), "_chars": F.sum("_n").over(by_size.rangeBetween(Window.currentRow, Window.currentRow))})
+    s = s.withColumn("_opens", (~F.col("_blank") & ~F.col("_before").eqNullSafe(F.col("_size"))).cast("int"))
+    s = s.withColumns({"_rank": F.sum("_opens").over(so_far), "_counted": F.last("_key", ignorenulls=True).over(so_far)})
+    # the size of most characters, of equals the smallest, where a null size is smaller than all
+    most = F.when(~F.col("_blank"), F.struct("_chars", F.col("_size").isNull().alias("none"), (-F.col("_size")).alias("minus")))
+    s = s.withColumn("_body", F.max(most).over(Window.partitionBy("doc")))
+    larger = (F.col("_size") > -F.col("_body.minus")) & (F.col("_size") == F.col("_counted")) & F.col("doc").isNotNull()
+    level = F.when(larger, F.least(F.col("_rank").cast("int"), F.lit(LEVELS))).otherwise(0)
+    return s.select(*spans.columns, level.alias("heading_level"))
 
 
 def normalised(text: Column) -> Column:
-    return strip(F.substring(strip(text), 1, 100))
+    return trimmed(F.substring(trimmed(text), 1, 100))
 
 
 def zone(y0: Column, y1: Column, height: Column) -> Column:
@@ -66,11 +85,16 @@ def repeated_texts(spans: DataFrame) -> DataFrame:
 
 
 def without_running_text(spans: DataFrame) -> DataFrame:
-    """Spans that are no repeated header or footer; a span in both zones is tested for both."""
-    found = repeated_texts(spans).select("doc", F.col("zone").alias("_zone"), F.col("norm").alias("_norm"))
-    s = spans.withColumn("_n", normalised(F.col("text")))
-    in_zone = ((F.col("_zone") == "header") & (F.col("y0") < ZONE)) | ((F.col("_zone") == "footer") & (F.col("y1") > F.col("page_height") - ZONE))
-    return s.join(found.withColumnRenamed("doc", "_doc"), (F.col("doc") == F.col("_doc")) & (F.col("_n") == F.col("_norm")) & in_zone, "left_anti").drop("_n")
+    """Spans that are no repeated header or footer (see ``repeated_texts``); a span in both zones is tested for both.
+
+    Each text of a document is counted by a window, so spans that lie by document already do not move, and nothing is read twice.
+    """
+    same = Window.partitionBy("doc", "_norm")
+    s = spans.withColumn("_norm", normalised(F.col("text"))).withColumn("_zone", zone(F.col("y0"), F.col("y1"), F.col("page_height")))
+    s = s.withColumns({"_headers": F.count_if(F.col("_zone") == "header").over(same), "_footers": F.count_if(F.col("_zone") == "footer").over(same)})
+    repeated = ((F.col("_headers") >= REPEATED) & (F.col("y0") < ZONE)) | ((F.col("_footers") >= REPEATED) & (F.col("y1") > F.col("page_height") - ZONE))
+    running = F.col("doc").isNotNull() & (F.col("_norm") != "") & repeated
+    return s.filter(~F.coalesce(running, F.lit(False))).drop("_norm", "_zone", "_headers", "_footers")
 
 
 def outside_tables(spans: DataFrame, tables: DataFrame) -> DataFrame:
@@ -81,55 +105,65 @@ def outside_tables(spans: DataFrame, tables: DataFrame) -> DataFrame:
     return spans.join(t, (F.col("doc") == F.col("_d")) & (F.col("page") == F.col("_p")) & inside, "left_anti")
 
 
-def line_groups(spans: DataFrame) -> DataFrame:
-    """Spans with ``line``: neighbours in order whose y0 is within 5 points of the y0 of the line's first span.
+def page_lines(spans: DataFrame, *columns: Column | str) -> DataFrame:
+    """(doc, page, lines): a page's spans in order, as an array of lines, each an array of (seq, y0, columns).
 
-    The anchor is the line's start, so this is a fold over each page's spans, in order. It collects the places at which lines start, 256 at a time, so that no long array is
-    copied for each span; a span's line is the number of starts up to it, counted by a window over the page.
+    A line holds neighbours whose y0 is within 5 points of the y0 of the line's first span. This anchor makes it a fold over each page's spans. The fold collects the places
+    at which lines start, some at a time, so that no long array is copied for each span; the lines are slices between these places.
     """
-    starts = "array<bigint>"
+    starts = "array<int>"
     zero = F.struct(F.array().cast(f"array<{starts}>").alias("done"), F.array().cast(starts).alias("open"), F.lit(None).cast("double").alias("y"))
 
     def step(a: Column, x: Column) -> Column:
-        full = F.size(a["open"]) >= 256
-        own = F.array(x["seq"])
-        opened = F.struct(F.when(full, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]).alias("done"), F.when(full, own).otherwise(F.concat(a["open"], own)).alias("open"), x["y0"].alias("y"))
-        return F.when(F.coalesce(F.abs(x["y0"] - a["y"]) <= SAME_LINE, F.lit(False)), a).otherwise(opened)
+        full = F.size(a["open"]) >= OPEN_STARTS
+        own = F.array(x["at"])
+        opened = F.struct(F.when(full, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]).alias("done"), F.when(full, own).otherwise(F.concat(a["open"], own)).alias("open"), x["y"].alias("y"))
+        return F.when(F.coalesce(F.abs(x["y"] - a["y"]) <= SAME_LINE, F.lit(False)), a).otherwise(opened)
+
+    def cut(s: Column) -> Column:
+        placed = F.transform(s, lambda x, i: F.struct((i + 1).alias("at"), x["y0"].cast("double").alias("y")))
+        found = F.aggregate(placed, zero, step, lambda a: F.concat(F.flatten(a["done"]), a["open"]))
+        return let(found, lambda begins: F.transform(begins, lambda at, k: F.slice(s, at, F.coalesce(F.get(begins, k + 1), F.size(s) + 1) - at)))
+
+    pages = spans.groupBy("doc", "page").agg(F.sort_array(F.collect_list(F.struct("seq", "y0", *columns))).alias("_s"))
+    return pages.select("doc", "page", cut(F.col("_s")).alias("lines"))
 
-    pages = spans.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("bigint").alias("seq"), F.col("y0").cast("double").alias("y0")))).alias("_s"))
-    found = F.aggregate("_s", zero, step, lambda a: F.concat(F.flatten(a["done"]), a["open"]))
-    begins = pages.select("doc", "page", F.explode(found).alias("seq")).withColumn("_begin", F.lit(1))
-    by_page = Window.partitionBy("doc", "page").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = spans.join(begins, ["doc", "page", "seq"], "left").select(*spans.columns, "_begin")
-    return joined.withColumn("line", (F.count("_begin").over(by_page) - 1).cast("int")).drop("_begin")
+
+def line_groups(spans: DataFrame) -> DataFrame:
+    """Spans with ``line``, the number of their line in the page (see ``page_lines``)."""
+    others = [c for c in spans.columns if c not in ("doc", "page", "seq", "y0")]
+    # a page has a line at least; the outer forms spare a test of the fold's result, which would compute it twice
+    lines = page_lines(spans, *others).select("doc", "page", F.posexplode_outer("lines").alias("line", "_l"))
+    return lines.select("doc", "page", "line", F.inline_outer("_l")).select(*spans.columns, "line")
 
 
 def inline(text: Column, bold: Column, italic: Column, escape: bool = True) -> Column:
     """Body text in Markdown, blank text as it is."""
-    safe = F.regexp_replace(text, r"([*_])", r"\\$1") if escape else text
+    safe = F.replace(F.replace(text, F.lit("*"), F.lit("\\*")), F.lit("_"), F.lit("\\_")) if escape else text
     mark = F.when(bold & italic, "***").when(bold, "**").when(italic, "*").otherwise("")
-    return F.when(strip(text) == "", text).otherwise(F.concat(mark, safe, mark))
+    return F.when(trimmed(text) == "", text).otherwise(F.concat(mark, safe, mark))
 
 
 def section_type(text: Column) -> Column:
     """anejo, anexo or apendice where a heading has such a word, else main."""
-    out = None
+    out = F.when(F.length(text) < LEAST_WORD, "main")
     for name, pattern in SECTION_WORDS.items():
-        out = F.when(text.rlike(pattern), name) if out is None else out.when(text.rlike(pattern), name)
+        out = out.when(text.rlike(pattern), name)
     return out.otherwise("main")
 
 
 def lines_to_markdown(spans: DataFrame) -> DataFrame:
-    """(doc, page, line, y0, md) of spans with line and heading_level: headings with their marks, appendices after a rule, body spans put together."""
-    grouped = spans.groupBy("doc", "page", "line").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "text", "heading_level", "is_bold", "is_italic"))).alias("_s"), F.min("y0").alias("y0"), F.max("heading_level").alias("_level")
+    """(doc, page, line, y0, md) of the lines of spans with heading_level: headings with their marks, appendices after a rule, body spans put together."""
+    title, body = trimmed(F.col("text")).alias("title"), inline(F.col("text"), F.col("is_bold"), F.col("is_italic")).alias("body")
+    of_line = lambda l: F.struct(
+        F.array_min(l["y0"]).alias("y0"), F.element_at(l, 1)["heading_level"].alias("first"), F.array_join(F.array_remove(l["title"], ""), " ").alias("title"), F.array_join(l["body"], "").alias("body")
     )
-    heading = F.concat_ws(" ", F.filter(F.transform("_s", lambda s: strip(s["text"])), lambda t: t != ""))
-    body = F.array_join(F.transform("_s", lambda s: inline(s["text"], s["is_bold"], s["is_italic"])), "")
-    first = F.element_at("_s", 1)["heading_level"]
-    title = F.concat(F.repeat(F.lit("#"), first), F.lit(" "), heading)
-    md = F.when(first > 0, F.when(section_type(heading) != "main", F.concat(F.lit("---\n\n"), title, F.lit("\n\n*[Appendix section]*"))).otherwise(title)).otherwise(body)
-    return grouped.select("doc", "page", "line", "y0", md.alias("md")).filter(strip(F.col("md")) != "")
+    pages = page_lines(spans, "heading_level", title, body).select("doc", "page", F.posexplode_outer(F.transform("lines", of_line)).alias("line", "_l"))
+    lines = pages.select("doc", "page", "line", "_l.*").filter((F.col("first") > 0) | (trimmed(F.col("body")) != ""))
+    heading = F.concat(F.repeat(F.lit("#"), F.col("first")), F.lit(" "), F.col("title"))
+    marked = F.when(section_type(F.col("title")) != "main", F.concat(F.lit("---\n\n"), heading, F.lit("\n\n*[Appendix section]*"))).otherwise(heading)
+    md = F.when(F.col("first") > 0, marked).otherwise(F.col("body"))
+    return lines.select("doc", "page", "line", "y0", md.alias("md"))
 
 
 def interleaved(*parts: DataFrame) -> DataFrame:
@@ -137,20 +171,20 @@ def interleaved(*parts: DataFrame) -> DataFrame:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    ordered = F.array_sort(F.collect_list(F.struct("y0", "kind_no", "seq", "md")))
+    ordered = F.sort_array(F.collect_list(F.struct("y0", "kind_no", "seq", "md")))
     return rows.groupBy("doc", "page").agg(F.array_join(F.transform(ordered, lambda r: r["md"]), "\n\n").alias("md"))
 
 
 def documents_markdown(pages: DataFrame, titles: DataFrame) -> DataFrame:
     """(doc, md): title, then each page under its marker."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "md"))), lambda p: F.concat(F.lit("<!-- Page "), p["page"].cast("string"), F.lit(" -->\n\n"), p["md"])), "\n\n")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "md"))), lambda p: F.concat(F.lit("<!-- Page "), p["page"].cast("string"), F.lit(" -->\n\n"), p["md"])), "\n\n")
     return pages.groupBy("doc").agg(text.alias("_md")).join(titles, "doc").select("doc", F.concat(F.lit("# "), "title", F.lit("\n\n"), "_md").alias("md"))
 
 
 def titles(spans: DataFrame) -> DataFrame:
     """(doc, title): the first heading of level 1, else the document's name."""
     first = F.min(F.when(F.col("heading_level") == 1, F.struct("page", "seq", "text")))
-    return spans.groupBy("doc").agg(first.alias("_t")).select("doc", F.coalesce(strip(F.col("_t.text")), F.col("doc").cast("string")).alias("title"))
+    return spans.groupBy("doc").agg(first.alias("_t")).select("doc", F.coalesce(trimmed(F.col("_t.text")), F.col("doc").cast("string")).alias("title"))
 
 
 def forward_filled(cells: DataFrame) -> DataFrame:

@@ -162,7 +162,7 @@ def composed_markdown(pages: DataFrame, found_tables: DataFrame, found_images: D
     """
     spans = layout.with_levels(page_spans(pages))
     body = layout.outside_tables(layout.without_running_text(spans), found_tables.select("doc", "page", "bbox.*"))
-    lines = layout.lines_to_markdown(layout.line_groups(body)).select("doc", "page", "y0", F.lit(0).alias("kind_no"), F.col("line").cast("long").alias("seq"), "md")
+    lines = layout.lines_to_markdown(body).select("doc", "page", "y0", F.lit(0).alias("kind_no"), F.col("line").cast("long").alias("seq"), "md")
     place = lambda rows, kind, seq, md: rows.select("doc", "page", F.col("bbox.y0").alias("y0"), F.lit(kind).alias("kind_no"), F.col(seq).cast("long").alias("seq"), md.alias("md"))
     pictures = F.concat(F.lit("![Image "), (F.col("image_index") + 1).cast("string"), F.lit(", page "), F.col("page").cast("string"), F.lit("](images/"), image_name(), F.lit(")"))
     read = texts.filter("ocr_applied AND text <> ''").select("doc", "page", F.lit(0.0).alias("y0"), F.lit(0).alias("kind_no"), F.lit(-1).cast("long").alias("seq"), F.col("text").alias("md"))

@@ -585,10 +585,10 @@ def cache_lookup(spark, d):
 
 
 def spans(spark, d):
-    """lineitem as text spans: the supplier is the document, the line number the page."""
+    """lineitem as text spans: the supplier is the document, the line number the page. Rows move once, to their document."""
     size = 8 + F.round(F.col("l_discount") * 100) / 2
     keys = ["l_suppkey", "l_orderkey", "l_linenumber"]
-    rows = t(spark, d, "lineitem").groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax")])
+    rows = t(spark, d, "lineitem").repartition("l_suppkey").groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax")])
     return rows.select(
         F.col("l_suppkey").alias("doc"), F.col("l_linenumber").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.concat("l_returnflag", "l_linestatus", F.col("l_quantity").cast("int") % 5).alias("text"),
         size.alias("font_size"), (F.col("l_quantity") > 25).alias("is_bold"), (F.col("l_tax") > 0.04).alias("is_italic"), (F.col("l_tax") * 1000).alias("x0"), (F.col("l_quantity") * 15).alias("y0"),
@@ -661,7 +661,7 @@ p AS (SELECT doc, page, string_agg(md, E'\\n\\n' ORDER BY y0, line, md) AS md FR
 h AS (SELECT doc, coalesce(trim(arg_min(text, page * 1000000000000 + seq) FILTER (level = 1)), doc::VARCHAR) AS title FROM s JOIN lv USING (doc, font_size) GROUP BY doc)
 SELECT doc, '# ' || any_value(title) || E'\\n\\n' || string_agg('<!-- Page ' || page || ' -->' || E'\\n\\n' || md, E'\\n\\n' ORDER BY page) AS md FROM p JOIN h USING (doc) GROUP BY doc""")
 def page_markdown(spark, d):
-    s = layout.line_groups(layout.with_levels(layout.without_running_text(spans(spark, d))))
+    s = layout.with_levels(layout.without_running_text(spans(spark, d)))
     parts = layout.lines_to_markdown(s).select("doc", "page", "y0", F.lit(0).alias("kind_no"), F.col("line").cast("long").alias("seq"), "md")
     return layout.documents_markdown(layout.interleaved(parts), layout.titles(layout.with_levels(spans(spark, d))))
 

@@ -358,3 +358,50 @@ def test_an_encoder_sees_so_many_tokens_and_gives_unit_vectors():
     vectors = enrich.pooled_encoder(Session(), tokenizer)(["a " * 5000, "b a"])
     assert seen == [{"input_ids": (2, 2048), "attention_mask": (2, 2048)}] and np.allclose(np.linalg.norm(vectors, axis=1), 1)
     assert np.allclose(vectors[0], [0, 1, 0]) and np.allclose(vectors[1], [0, 2**-0.5, 2**-0.5])
+
+
+def test_layout_steps_read_spans_once_and_move_them_by_document(spark):
+    """Odd spans: blank texts, a size that only blank texts have, no size, no document, both zones at once, equal heights; and plans without joins, with a shuffle at most."""
+    import random
+
+    from lakescribe.functions.text import SPACES, strip, trimmed
+    from lakescribe.operators import layout
+
+    rng = random.Random(4)
+    texts = ["a", " b ", "", "  ", "Anexo", "*x_", "\u3000c\x1c", None, "running"]
+    rows = []
+    for i in range(1500):
+        text, size = rng.choice(texts), rng.choice([8.0, 9.2, 9.3, 12.0, 14.0, 20.0, None, 16.0, 18.0, 22.0, 24.0])
+        if size == 24.0:
+            text = " "
+        y0 = rng.choice([10.0, 60.0, 100.0, 104.0, 108.0, 300.0, None])
+        rows.append((rng.choice([1, 2, 3, None]), rng.randint(1, 3), i, text, size, rng.random() < 0.5, rng.random() < 0.5, 0.0, y0, 5.0, None if y0 is None else y0 + 5, rng.choice([120.0, 792.0])))
+    spans = spark.createDataFrame(rows, "doc long, page int, seq long, text string, font_size double, is_bold boolean, is_italic boolean, x0 double, y0 double, x1 double, y1 double, page_height double").cache()
+    for step in (layout.with_levels, layout.without_running_text, layout.line_groups):
+        plan = step(spans.repartition("doc"))._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("Repartition") == 1, plan
+
+    key = lambda r: r["seq"]
+    levels = {(r.doc, r.font_size): r.level for r in layout.heading_levels(spans).collect()}
+    half = lambda x: None if x is None else round(x * 2) / 2
+    want = {r[2]: levels.get((r[0], half(r[4])), 0) if r[0] is not None and r[4] is not None else 0 for r in rows}
+    assert {r.seq: r.heading_level for r in layout.with_levels(spans).collect()} == want
+    assert 6 in want.values()
+
+    found = {(r.doc, r.zone, r.norm) for r in layout.repeated_texts(spans).collect() if r.doc is not None}
+    bare = lambda t: None if t is None else t.strip(SPACES)[:100].strip(SPACES)
+    dropped = lambda r: r[8] is not None and ((r[8] < 72 and (r[0], "header", bare(r[3])) in found) or (r[10] > r[11] - 72 and (r[0], "footer", bare(r[3])) in found))
+    left = sorted(layout.without_running_text(spans).collect(), key=key)
+    assert [r.seq for r in left] == [r[2] for r in rows if not dropped(r)] and 0 < len(left) < len(rows)
+
+    lines, pages = {}, {}
+    for r in rows:
+        anchor, line = pages.get((r[0], r[1]), (None, -1))
+        if anchor is None or r[8] is None or abs(r[8] - anchor) > 5:
+            anchor, line = r[8], line + 1
+        pages[r[0], r[1]], lines[r[2]] = (anchor, line), line
+    grouped = layout.line_groups(spans)
+    assert {r.seq: r.line for r in grouped.collect()} == lines and grouped.columns == [*spans.columns, "line"]
+
+    signs = spark.createDataFrame([(a + b + c,) for a in [*SPACES, "", "x", "\x00", "\x7f", "\u200b"] for b in ("", "y z") for c in [*SPACES, "", "x", "\u180e", "\ufeff"]], "t string")
+    assert signs.filter(~trimmed(F.col("t")).eqNullSafe(strip(F.col("t")))).count() == 0
