@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
@@ -29,6 +30,7 @@ class PieceEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
@@ -43,7 +45,12 @@ class PieceEncoder:
         self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         special = [t["content"] for t in spec.get("added_tokens", [])]
         #: Pieces that go to the library one by one: a space inside, or a special string's first two characters.
-        self.odd = re.compile("|".join([" ", *sorted({re.escape(x[:2]) for x in special})]))
+        begins = sorted({re.escape(x[:2]) for x in special})
+        self.odd = re.compile("|".join([" ", *begins]))
+        self.special = re.compile("|".join(begins)) if begins else None
+        #: The vocabulary's own model on words that are cut already, in the byte-level alphabet: its first step, which looks for words in text, is left out.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = CharDelimiterSplit(" ")
 
     def encode_whole(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -56,32 +63,49 @@ class PieceEncoder:
                 batch, size = [], 0
         return out
 
+    def encode_words(self, words: list[str]) -> np.ndarray:
+        """The ids of words of letters, each after a space."""
+        text = " ".join(["\u0120" + (w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LEVEL)) for w in words])
+        return np.asarray(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+
+    def cut(self, pieces: list[str], encode, out: dict[str, bytes]) -> bool:
+        """Puts the ids of ``pieces``, encoded many at a time, into ``out``; false where their boundaries are not clear."""
+        for part in by_bytes(pieces, BATCH_BYTES // 8):
+            ids = encode(part)
+            places = np.flatnonzero(self.begins[ids])
+            if len(places) != len(part):
+                return False
+            data, ends = ids.tobytes(), [*(places[1:] * self.width).tolist(), len(ids) * self.width]
+            out.update(zip(part, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+        return True
+
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of distinct pieces, each as it stands after a space."""
         out: dict[str, bytes] = {}
-        odd, ends_in_signs, kept, tails = self.odd.search, ENDS_IN_SIGNS.fullmatch, self.kept, self.tails
-        plain, with_tail = [], []
+        word_and_signs, kept, tails = WORD_AND_SIGNS.fullmatch, self.kept, self.tails
+        # one look at all pieces tells whether each has to be looked at
+        if self.special is None or not self.special.search("\n".join(pieces)):
+            odd = lambda piece: " " in piece
+        else:
+            odd = self.odd.search
+        words, plain, with_tail = [], [], []
         for piece in pieces:
             if not odd(piece):
-                if m := ends_in_signs(piece):
-                    with_tail.append((piece, m[1], m[2]))
-                else:
+                if not (m := word_and_signs(piece)):
                     plain.append(piece)
+                elif m[2]:
+                    with_tail.append((piece, *m.groups()))
+                else:
+                    words.append(piece)
         # a word and the signs after it are tokens apart, and most words are known
-        plain += {core for _, core, _ in with_tail}.difference(kept, plain)
+        words += {core for _, core, _ in with_tail}.difference(kept, words)
         new = list({tail for _, _, tail in with_tail}.difference(tails))
         tails.update(zip(new, (ids.tobytes() for ids in self.encode_whole(new))))
-        for part in by_bytes(plain, BATCH_BYTES // 8):
-            # many pieces are one text to the library; a boundary stands before each, and each has one space, its first character
-            (ids,) = self.encode_whole([" " + " ".join(part)])
-            places = np.flatnonzero(self.begins[ids])
-            if len(places) != len(part):
-                out.clear()
-                break
-            data, ends = ids.tobytes(), [*(places[1:] * self.width).tolist(), len(ids) * self.width]
-            out.update(zip(part, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends))))
-        else:
+        # many pieces are one text to the library; a boundary stands before each, and each has one space, its first character
+        if self.cut(words, self.encode_words, out) and self.cut(plain, lambda part: self.encode_whole([" " + " ".join(part)])[0], out):
             out.update([(piece, (out.get(core) or kept[core]) + tails[tail]) for piece, core, tail in with_tail])
+        else:
+            out.clear()
         whole = [p for p in pieces if p not in out]
         for piece, ids in zip(whole, self.encode_whole([" " + p for p in whole])):
             out[piece] = ids.tobytes()
@@ -95,24 +119,26 @@ class PieceEncoder:
             return [ids.tobytes() for ids in self.encode_whole(texts)]
         kept = self.kept
         cut = [pieces_of(text) for text in texts]
-        unknown = set().union(*[pieces for _, pieces in cut]).difference(kept)
-        too_many: list[str] = []
+        got = [list(map(kept.get, pieces)) for _, pieces in cut]
+        missing = [[i for i, x in enumerate(ids) if x is None] if None in ids else [] for ids in got]
+        unknown = {pieces[i] for (_, pieces), places in zip(cut, missing) for i in places}
         if unknown:
             learnt = self.learn(list(unknown))
-            kept |= learnt
-            if len(kept) > KEPT_PIECES:
-                too_many = list(learnt)[: len(kept) - KEPT_PIECES]
-            too_many += [p for p in learnt if len(p) > KEPT_LENGTH]
+            # once the table is full, nothing goes in and nothing has to be taken out again
+            kept.update(islice(((p, ids) for p, ids in learnt.items() if len(p) <= KEPT_LENGTH), KEPT_PIECES - len(kept)))
+            for (_, pieces), ids, places in zip(cut, got, missing):
+                for i in places:
+                    ids[i] = learnt[pieces[i]]
         first = self.encode_whole([head for head, _ in cut])
-        out = [a.tobytes() + b"".join(map(kept.__getitem__, pieces)) for a, (_, pieces) in zip(first, cut)]
-        for piece in too_many:
-            kept.pop(piece, None)
+        out = [a.tobytes() + b"".join(ids) for a, ids in zip(first, got)]
         return out
 
 
 #: Pieces of letters with signs after them, which the published pattern takes for a word and one run of signs.
 SIGNS = r"""!"#$%&()*+,./:;<=>?@[\]^_`{|}~-"""
-ENDS_IN_SIGNS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([" + re.escape(SIGNS) + "]{1,8})")
+WORD_AND_SIGNS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([" + re.escape(SIGNS) + "]{0,8})")
+#: How byte-level vocabularies spell the bytes of such letters that are no ASCII.
+BYTE_LEVEL = {b: chr(b) if 0xA1 <= b <= 0xFF and b != 0xAD else chr(0x100 + 33 + b - 0x7F if b < 0xA1 else 0x143) for b in range(0x80, 0x100)}
 #: White space other than the space, beside which no boundary is.
 OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 

@@ -83,3 +83,23 @@ def test_files_edges(docs):
     odd = docs.withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id") % 5))
     got = sorted(token_files(odd, VOCABULARY).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((r.doc_id for r in odd.select("doc_id").collect()), key=lambda x: (x is not None, x or 0))
+
+
+def test_full_table_stays_as_it_is_and_words_give_the_librarys_ids(monkeypatch):
+    from lakescribe.llm import tokens
+
+    class Kept(dict):
+        def pop(self, *a):
+            raise AssertionError("a piece was put into the full table and taken out again")
+
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 50)
+    e = tokens.PieceEncoder(VOCABULARY)
+    e.kept = Kept()
+    rng = random.Random(2)
+    letters = [chr(c) for c in range(0xC0, 0x180)] + list("abcXYZ")
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 45))) + rng.choice(["", "", ",", "...", "<|", "\nNd"])
+    for extra in ([], ["x <|endoftext|>y <| z"]):
+        texts = [" ".join(word() for _ in range(60)) for _ in range(20)] + extra
+        whole = Tokenizer.from_file(VOCABULARY).encode_batch(texts, add_special_tokens=False)
+        assert [np.frombuffer(x, "<u2").tolist() for x in e.encode(texts)] == [x.ids for x in whole]
+    assert len(e.kept) == 50 and all(len(p) <= tokens.KEPT_LENGTH for p in e.kept)
