@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,19 +25,20 @@ def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import encoder
+        from .tokens import SLICE_BYTES, SLICE_ROWS, encoder
 
         if vocabulary.endswith(".model"):
             import sentencepiece
 
             processor = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
-            lengths = lambda texts: [len(x) for x in processor.encode(texts, num_threads=1)]
+            lengths = lambda texts: pa.array([len(x) for x in processor.encode(texts.to_pylist(), num_threads=1)], pa.int64())
+            batches = slices(batches)
         else:
             e = encoder(vocabulary)
-            lengths = lambda texts: [len(x) // e.width for x in e.encode(texts)]
-        for batch in slices(batches):
-            texts = batch.column("_text").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("n_bytes"), pa.array(lengths(texts), pa.int64())], ["_id", "n_bytes", "n_tokens"])
+            lengths = lambda texts: pc.divide(pc.binary_length(e.encode_array(texts)).cast(pa.int64()), e.width)
+            batches = slices(batches, SLICE_ROWS, SLICE_BYTES)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("n_bytes"), lengths(batch.column("_text"))], ["_id", "n_bytes", "n_tokens"])
 
     kind = df.schema[id_col].dataType
     schema = T.StructType([T.StructField("_id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])

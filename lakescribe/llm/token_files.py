@@ -69,19 +69,19 @@ def encoded(df: DataFrame, vocabulary: str, id_col: str, text_col: str, end_id:
     for each partition with nothing but the number of times that each id came there."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import encoder
+        from .tokens import SLICE_BYTES, SLICE_ROWS, encoder
 
         e = encoder(vocabulary)
         end = b"" if end_id is None else np.array([end_id], dtype=e.dtype).tobytes()
         total, kind = np.zeros(0, dtype=np.int64), None
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_ROWS, SLICE_BYTES):
             kind = batch.column("_id").type
-            ids = [x + end for x in e.encode(batch.column("_text").to_pylist())]
-            n = np.bincount(np.frombuffer(b"".join(ids), dtype=e.dtype))
+            ids = e.encode_array(batch.column("_text"), end)
+            n = np.bincount(e.ids(ids))
             if len(n) > len(total):
                 n, total = total, n
             total[: len(n)] += n
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(ids, pa.binary()), pa.array([e.width] * len(ids), pa.int8()), pa.nulls(len(ids), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), ids, pa.array([e.width] * len(ids), pa.int8()), pa.nulls(len(ids), pa.binary())], names)
         if kind is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int8()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 

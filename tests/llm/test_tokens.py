@@ -103,3 +103,29 @@ def test_full_table_stays_as_it_is_and_words_give_the_librarys_ids(monkeypatch):
         whole = Tokenizer.from_file(VOCABULARY).encode_batch(texts, add_special_tokens=False)
         assert [np.frombuffer(x, "<u2").tolist() for x in e.encode(texts)] == [x.ids for x in whole]
     assert len(e.kept) == 50 and all(len(p) <= tokens.KEPT_LENGTH for p in e.kept)
+
+
+def test_arrays_are_cut_in_arrow_and_a_piece_is_met_once():
+    import pyarrow as pa
+
+    from lakescribe.llm import tokens
+
+    class Kept(dict):
+        met = []
+
+        def get(self, piece, *a):
+            self.met.append(piece)
+            return dict.get(self, piece, *a)
+
+    library = Tokenizer.from_file(VOCABULARY)
+    e = tokens.PieceEncoder(VOCABULARY)
+    texts = ["the end.\nThe  end", "the end.\nThe end", "\nThe end\n\n\nThe end\n's 's\n1 <|x\n<|endoftext|>\nend", "the \n end", "", "The", "\n", "a\r\n b\x85", "end.\n\n\n\n\nend \u2028 x"]
+    texts += ["\n".join(["le garçon a été là."] * n) for n in range(1, 6)] + ["a" + "\n" * n + "b" for n in range(12)] + ["Āſ ŀx,\nÀß!!\nÝ." * n for n in range(4)]
+    for some in (texts, texts[4:5], texts[1:2], texts[3:4], texts[:0], texts[::-1], texts):
+        coded = e.encode_array(pa.array(["x", *some], pa.string())[1:], b"\2\0")
+        want = [[*x.ids, 2] for x in library.encode_batch(some, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u2").tolist() for x in coded.to_pylist()] == want
+        assert e.ids(coded).tolist() == [i for ids in want for i in ids]
+    e.kept = Kept(e.kept)
+    e.encode_array(pa.array(["the end.\nThe end of the end.\nThe end"] * 100, pa.string()))
+    assert sorted(e.kept.met) == sorted(["the", "end.", "\nThe", "end", "of"])
