@@ -39,6 +39,8 @@ def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             batches = slices(batches, SLICE_ROWS, SLICE_BYTES)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("n_bytes"), lengths(batch.column("_text"))], ["_id", "n_bytes", "n_tokens"])
+        # the worker lives on, beside those of later stages
+        pa.default_memory_pool().release_unused()
 
     kind = df.schema[id_col].dataType
     schema = T.StructType([T.StructField("_id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])

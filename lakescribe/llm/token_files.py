@@ -82,6 +82,8 @@ def encoded(df: DataFrame, vocabulary: str, id_col: str, text_col: str, end_id:
                 n, total = total, n
             total[: len(n)] += n
             yield pa.RecordBatch.from_arrays([batch.column("_id"), ids, pa.array([e.width] * len(ids), pa.int8()), pa.nulls(len(ids), pa.binary())], names)
+        # the worker lives on, beside those of later stages
+        pa.default_memory_pool().release_unused()
         if kind is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int8()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 

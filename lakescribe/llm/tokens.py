@@ -25,7 +25,7 @@ KEPT_LENGTH = 40
 BATCH_BYTES = 1 << 20
 BATCH_PIECES = 1 << 14
 #: What ``encode_array`` is best given at a time: the larger, the fewer pieces are met again.
-SLICE_ROWS, SLICE_BYTES = 4000, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 4000, 4 << 20
 
 
 class PieceEncoder:
